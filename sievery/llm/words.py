@@ -35,7 +35,7 @@ def _byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
 #: Everything but ASCII white space.
 SPACED = _byte_class([(0x20, 0x20), (0x09, 0x0D)])
 #: Digits, letters and every byte outside ASCII.
-PLAIN = _byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+PLAIN = _byte_class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
