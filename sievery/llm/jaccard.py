@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,6 +53,15 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-size * percent // 100) + 1
 
 
+def _least_in_prefixes(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that the prefixes of two linked sets of sizes n and m share at least.
+
+    What the sets share outside the prefixes lies beyond the prefix of the one whose prefix ends first.
+    """
+    shared = F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
+    return shared - (F.ceil(F.greatest(n, m) * percent / F.lit(100) - 1e-9) - 1)
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Hashes of the shingles that are frequent in a sample of ``docs`` (doc_id, text), ascending."""
 
@@ -168,13 +177,22 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     members = described.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()
     members = work.table(_ranked(members), "members")
     distances, known, edges, labels = _Distances(docs, described, work, percent), None, None, None
-    pivots = 1
+    # Of each set, in how many large regions it is: more shingles than these two sets cannot share unseen.
+    large = members.where(F.col("members") > SMALL).groupBy("key").agg(F.count(F.lit(1)).alias("large"))
+    together, pivots = None, 1
     while not members.isEmpty():
         head = members.where((F.col("place") <= pivots) | (F.col("members") <= SMALL)).select("h", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"))
         met = members.join(head, "h").where(F.col("place") > F.col("pivot_place"))
-        wanted = met.where(close).select("pivot", "key").distinct()
-        if known is not None:
+        small = F.count(F.when(F.col("members") <= SMALL, 1)).alias("small")
+        wanted = met.where(close).groupBy("pivot", "key", "n", "pivot_n").agg(small)
+        if together is None:
+            together = wanted = work.table(wanted, "together")
+        else:
+            wanted = wanted.drop("small").join(together.select("pivot", "key", "small"), ["pivot", "key"], "left").withColumn("small", F.coalesce("small", F.lit(0)))
             wanted = wanted.join(known.select("pivot", "key"), ["pivot", "key"], "left_anti")
+        wanted = wanted.join(large, "key", "left").join(large.select(F.col("key").alias("pivot"), F.col("large").alias("pivot_large")), "pivot", "left")
+        most = F.col("small") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("pivot_large", F.lit(0)))
+        wanted = wanted.where(most >= _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent)).select("pivot", "key")
         found = distances.of(wanted)
         known = found if known is None else work.table(known.unionByName(found), "known")
         sizes = members.select("key", "n").distinct()
