@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievery.llm.words import mix, shingle_sets
+from sievery.llm.words import mix, shingle_sets, small_batches
 from sievery.storage import Workspace, broadcast_if_small
 
 #: Least similarity, in hundredths of the union.
@@ -38,6 +38,8 @@ SMALL = 8
 SAMPLE = 16
 FREQUENT = 4
 MOST_FREQUENT = 1 << 20
+#: Bytes of sets that a Python worker holds before it passes them on.
+SETS_HELD = 1 << 22
 #: Ids that a broadcast table may hold (16 bytes each).
 IDS_BROADCAST = 1_000_000
 
@@ -104,8 +106,14 @@ def _describe(frequent, percent: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = list(shingle_sets(batch.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "shingles"])
+        keys, sets, held = [], [], 0
+        for i, found in enumerate(shingle_sets(batch.column(0))):
+            keys.append(set_key(found))
+            sets.append(found.tobytes())
+            held += len(sets[-1])
+            if held > SETS_HELD or i + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "shingles"])
+                keys, sets, held = [], [], 0
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +162,12 @@ class _Distances:
         ids = self.described.where(F.col("doc_id").isNotNull()).join(broadcast_if_small(keys, IDS_BROADCAST), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
         ids = broadcast_if_small(self.work.table(ids, "ids"), IDS_BROADCAST)
         texts = self.docs.join(ids, "doc_id", "left_semi").select("text")
-        sets = self.work.table(texts.mapInArrow(_sets, "key long, shingles binary"), "sets")
+        with small_batches(texts.sparkSession):
+            sets = self.work.table(texts.mapInArrow(_sets, "key long, shingles binary"), "sets")
         with_pivot = pairs.join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a")), "pivot")
         met = with_pivot.join(sets.withColumnRenamed("shingles", "b"), "key").select("pivot", "key", "a", "b")
-        return self.work.table(met.mapInArrow(_intersect, "pivot long, key long, shared long").distinct(), "distances")
+        with small_batches(met.sparkSession):
+            return self.work.table(met.mapInArrow(_intersect, "pivot long, key long, shared long").distinct(), "distances")
 
 
 def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> DataFrame:
@@ -171,7 +181,8 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
-    described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, prefix array<long>"), "described")
+    with small_batches(spark):
+        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, prefix array<long>"), "described")
     # Far apart in size is far apart: the distance is at least 1 - smaller / larger.
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     members = described.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()

@@ -11,11 +11,13 @@ words collide with a probability of about 2**-64 for each pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text taken at a time. Temporary arrays need about 40 bytes for each.
 BLOCK = 1 << 20
@@ -60,6 +62,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While it lasts, Arrow batches that go to Python end at ``size`` bytes, for rows that hold whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class Block:
     """Words of the texts ``rows[0]`` to ``rows[1]`` of an array, those of text i at ``first[i]`` to ``first[i + 1]``.
