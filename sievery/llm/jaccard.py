@@ -10,7 +10,8 @@ The sets with a shingle in common form a region around a pivot:
   ball that lie within r of the nearest set outside it are boundary sets: they stay, replicated into the next round,
   while the others are done;
 * sets outside the ball stay as well, and what stayed is divided again around new pivots, more of them each round,
-  until no region is left that holds two sets not yet known to be connected.
+  until no region is left that holds two sets not yet known to be connected. Sets that are connected already, through
+  whatever links, are not compared.
 
 Equal sets are one. Regions are rows, never lists; a pivot meets its region by a join, so no task holds a region.
 The order of the shingles puts frequent ones last, as seen in a sample of the texts. It affects the size of regions
@@ -118,12 +119,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared = []
+        shared, sizes = [], ([], [])
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            sizes[0].append(len(a))
+            sizes[1].append(len(b))
             a, b = (a, b) if len(a) >= len(b) else (b, a)
             shared.append(int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], ["pivot", "key", "shared"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (shared, *sizes)]], ["pivot", "key", "shared", "pivot_n", "n"])
 
 
 def connected(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -141,8 +144,30 @@ def connected(edges: DataFrame, work: Workspace) -> DataFrame:
             return labels
 
 
+def labelled(df: DataFrame, labels: DataFrame | None, column: str, name: str) -> DataFrame:
+    """``df`` with the label of the set in ``column``: itself where nothing is linked to it."""
+    if labels is None:
+        return df.withColumn(name, F.col(column))
+    known = labels.select(F.col("key").alias(column), F.col("label").alias(name))
+    return df.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def merged(labels: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame | None:
+    """``labels`` after more ``links`` (pivot, key). Only links between different labels count, each pair of labels once."""
+    ends = labelled(labelled(links, labels, "pivot", "a"), labels, "key", "b").where("a <> b")
+    edges = work.table(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    if edges.isEmpty():
+        return labels
+    moved = connected(edges, work)
+    if labels is None:
+        return moved
+    to = moved.select(F.col("key").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+    return work.table(old.unionByName(moved.join(labels.select("key"), "key", "left_anti")), "labels")
+
+
 def _ranked(members: DataFrame) -> DataFrame:
-    """Members (h, key, n) of regions with more than one, with their number and their place in the order of pivots."""
+    """Members (h, key, n, label) of regions with more than one, with their number and their place in the order of pivots."""
     region = Window.partitionBy("h")
     turn = F.xxhash64("key")
     ranked = members.withColumn("place", F.row_number().over(region.orderBy(turn, "key"))).withColumn("members", F.count(F.lit(1)).over(region))
@@ -156,7 +181,7 @@ class _Distances:
         self.docs, self.described, self.work, self.percent = docs, described, work, percent
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """pivot, key and shared, the size of the intersection, for pairs (pivot, key)."""
+        """pivot, key, shared, the size of the intersection, pivot_n and n, those of the sets, for pairs (pivot, key)."""
         pairs = self.work.table(pairs, "pairs")
         keys = pairs.select(F.col("pivot").alias("key")).union(pairs.select("key")).distinct()
         ids = self.described.where(F.col("doc_id").isNotNull()).join(broadcast_if_small(keys, IDS_BROADCAST), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -167,7 +192,7 @@ class _Distances:
         with_pivot = pairs.join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a")), "pivot")
         met = with_pivot.join(sets.withColumnRenamed("shingles", "b"), "key").select("pivot", "key", "a", "b")
         with small_batches(met.sparkSession):
-            return self.work.table(met.mapInArrow(_intersect, "pivot long, key long, shared long").distinct(), "distances")
+            return self.work.table(met.mapInArrow(_intersect, "pivot long, key long, shared long, pivot_n long, n long").distinct(), "distances")
 
 
 def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> DataFrame:
@@ -186,48 +211,53 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     # Far apart in size is far apart: the distance is at least 1 - smaller / larger.
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     members = described.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()
-    members = work.table(_ranked(members), "members")
-    distances, known, edges, labels = _Distances(docs, described, work, percent), None, None, None
+    members = work.table(_ranked(members.withColumn("label", F.col("key"))), "members")
+    distances, known, labels = _Distances(docs, described, work, percent), None, None
     # Of each set, in how many large regions it is: more shingles than these two sets cannot share unseen.
-    large = members.where(F.col("members") > SMALL).groupBy("key").agg(F.count(F.lit(1)).alias("large"))
+    large = work.table(members.where(F.col("members") > SMALL).groupBy("key").agg(F.count(F.lit(1)).alias("large")), "large")
     together, pivots = None, 1
     while not members.isEmpty():
-        head = members.where((F.col("place") <= pivots) | (F.col("members") <= SMALL)).select("h", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"))
-        met = members.join(head, "h").where(F.col("place") > F.col("pivot_place"))
+        head = members.where((F.col("place") <= pivots) | (F.col("members") <= SMALL)).select("h", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"), F.col("label").alias("pivot_label"))
+        met = members.join(head, "h").where((F.col("place") > F.col("pivot_place")) & (F.col("label") != F.col("pivot_label")) & close)
         small = F.count(F.when(F.col("members") <= SMALL, 1)).alias("small")
-        wanted = met.where(close).groupBy("pivot", "key", "n", "pivot_n").agg(small)
+        wanted = met.groupBy("pivot", "key", "n", "pivot_n").agg(small)
         if together is None:
             together = wanted = work.table(wanted, "together")
         else:
             wanted = wanted.drop("small").join(together.select("pivot", "key", "small"), ["pivot", "key"], "left").withColumn("small", F.coalesce("small", F.lit(0)))
-            wanted = wanted.join(known.select("pivot", "key"), ["pivot", "key"], "left_anti")
         wanted = wanted.join(large, "key", "left").join(large.select(F.col("key").alias("pivot"), F.col("large").alias("pivot_large")), "pivot", "left")
         most = F.col("small") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("pivot_large", F.lit(0)))
-        wanted = wanted.where(most >= _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent)).select("pivot", "key")
-        found = distances.of(wanted)
-        known = found if known is None else work.table(known.unionByName(found), "known")
-        sizes = members.select("key", "n").distinct()
-        linked = found.join(sizes, "key").join(sizes.select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
-        union = F.col("n") + F.col("pivot_n") - F.col("shared")
-        fresh = linked.where(F.col("shared") * 100 >= union * percent).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-        edges = work.table(fresh if edges is None else edges.unionByName(fresh), "links")
-        labels = connected(edges, work)
+        wanted = wanted.withColumn("most", most).where(F.col("most") >= _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent))
+        wanted = work.table(wanted.select("pivot", "key", "most"), "wanted")
+        # First the likeliest pivot of each set; then only the pairs that this has left apart.
+        for likeliest in (True, False):
+            pairs = wanted if known is None else wanted.join(known.select("pivot", "key"), ["pivot", "key"], "left_anti")
+            if likeliest:
+                pairs = pairs.groupBy("key").agg(F.max_by("pivot", F.struct("most", "pivot")).alias("pivot"))
+            pairs = labelled(labelled(pairs, labels, "pivot", "a"), labels, "key", "b").where("a <> b")
+            found = distances.of(pairs.select("pivot", "key"))
+            known = found if known is None else work.table(known.unionByName(found), "known")
+            linked = F.col("shared") * 100 >= (F.col("n") + F.col("pivot_n") - F.col("shared")) * percent
+            labels = merged(labels, found.where(linked).select("pivot", "key"), work)
         # Regions whose sets are all connected are done, as are small ones, and sets that were pivots.
-        rest = members.where((F.col("members") > SMALL) & (F.col("place") > pivots)).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        rest = labelled(members.where((F.col("members") > SMALL) & (F.col("place") > pivots)).drop("label"), labels, "key", "label")
         region = Window.partitionBy("h")
-        rest = rest.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).where("low < high").select("h", "key", "n", "place")
+        rest = rest.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).where("low < high").select("h", "key", "n", "label")
         rest = work.table(rest, "rest")
         if rest.isEmpty():
             break
-        # Distance of each that is left to each pivot of its region, or the least that its size allows.
-        apart = rest.join(head, "h").join(known, ["pivot", "key"], "left")
-        distance = F.coalesce(1 - F.col("shared") / (F.col("n") + F.col("pivot_n") - F.col("shared")), 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"))
+        # Distance of each that is left to the first pivot of its region, or the least that its size allows.
+        first = labelled(head.where("pivot_place = 1").select("h", "pivot", "pivot_n"), labels, "pivot", "pivot_label")
+        apart = rest.join(first, "h").join(known.select("pivot", "key", "shared"), ["pivot", "key"], "left")
+        union = F.col("n") + F.col("pivot_n") - F.col("shared")
+        distance = F.coalesce(1 - F.col("shared") / union, 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"))
         radius = (100 - percent) / 100 + 1e-9
-        inside = F.col("shared").isNotNull() & (F.col("shared") * 100 >= (F.col("n") + F.col("pivot_n") - F.col("shared")) * percent)
+        inside = F.coalesce(F.col("shared") * 100 >= union * percent, F.lit(False))
         apart = apart.withColumns({"distance": distance, "inside": inside})
-        nearest = F.min(F.when(~F.col("inside"), F.col("distance"))).over(Window.partitionBy("h", "pivot"))
+        # Sets that are connected to the pivot need no link to one another; the others must be out of reach.
+        nearest = F.min(F.when(F.col("label") != F.col("pivot_label"), F.col("distance"))).over(Window.partitionBy("h"))
         settled = apart.withColumn("nearest", nearest).where(F.col("inside") & (F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > radius)))
-        left = rest.join(settled.select("h", "key").distinct(), ["h", "key"], "left_anti").select("h", "key", "n")
+        left = rest.join(settled.select("h", "key").distinct(), ["h", "key"], "left_anti").select("h", "key", "n", "label")
         members = work.table(_ranked(left), "members")
         pivots = pivots * SMALL
     thin = described.select("doc_id", "key", "n")
