@@ -90,30 +90,34 @@ def category_pivot(t: Tables) -> DataFrame:
     return agg.pivot_counts(t.events, "user_id", "event_type", TYPES)
 
 
-CHECKS = {
-    "short": F.col("n_chars") < 200,
-    "shouting": F.upper("text") == F.col("text"),
-    "assignment": F.lower("text").rlike("(token|password) ?[=:]"),
-    "repeated_mark": F.col("text").rlike("!!|%%%|&&&"),
-    "piped": F.col("text").contains(" | "),
-}
+def checks() -> dict[str, F.Column]:
+    text = F.col("text")
+    return {
+        "short": F.col("n_chars") < 200,
+        "shouting": F.upper(text) == text,
+        "assignment": F.lower(text).rlike("(token|password) ?[=:]"),
+        "repeated_mark": text.rlike("!!|%%%|&&&"),
+        "piped": text.contains(" | "),
+    }
+
+
 _FINDINGS = """
 SELECT source, doc_id, unnest(list_filter([
     CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN upper(text) = text THEN 'shouting' END,
     CASE WHEN regexp_matches(lower(text), '(token|password) ?[=:]') THEN 'assignment' END,
-    CASE WHEN regexp_matches(text, '!!|%%%|&&&') THEN 'repeated_mark' END, CASE WHEN contains(text, ' | ') THEN 'piped' END], x -> x IS NOT NULL)) AS "check"
+    CASE WHEN regexp_matches(text, '!!|%%%|&&&') THEN 'repeated_mark' END, CASE WHEN contains(text, ' | ') THEN 'piped' END], lambda x: x IS NOT NULL)) AS "check"
 FROM documents
 """
 
 
 @plan.query(_FINDINGS)
 def quality_findings(t: Tables) -> DataFrame:
-    return audit.findings(t.documents, "doc_id", CHECKS, ("source",))
+    return audit.findings(t.documents, "doc_id", checks(), ("source",))
 
 
 @plan.query(f"""SELECT "check", source, count(*) AS n FROM ({_FINDINGS}) GROUP BY ROLLUP ("check", source)""")
 def audit_totals(t: Tables) -> DataFrame:
-    return audit.totals(audit.findings(t.documents, "doc_id", CHECKS, ("source",)), "source")
+    return audit.totals(audit.findings(t.documents, "doc_id", checks(), ("source",)), "source")
 
 
 @plan.query(f"""
@@ -121,7 +125,7 @@ WITH f AS ({_FINDINGS}), r AS (SELECT *, row_number() OVER (PARTITION BY "check"
 SELECT "check", array_to_string(list(doc_id ORDER BY doc_id), ',') AS "rows", max(n) AS n FROM r WHERE place <= 10 GROUP BY "check"
 """)
 def finding_samples(t: Tables) -> DataFrame:
-    found = audit.sample(audit.findings(t.documents, "doc_id", CHECKS, ("source",)), "doc_id")
+    found = audit.sample(audit.findings(t.documents, "doc_id", checks(), ("source",)), "doc_id")
     return found.select("check", F.concat_ws(",", F.transform("rows", lambda r: r.cast("string"))).alias("rows"), "n")
 
 
@@ -154,7 +158,7 @@ def board_health(t: Tables) -> DataFrame:
 
 
 @plan.query("""
-WITH r AS (SELECT user_id, unnest(list_filter([CASE WHEN event_type = 'error' THEN 'failed' END, CASE WHEN value > 50 THEN 'large' END, CASE WHEN value < 1 THEN 'tiny' END], x -> x IS NOT NULL)) AS reason FROM events)
+WITH r AS (SELECT user_id, unnest(list_filter([CASE WHEN event_type = 'error' THEN 'failed' END, CASE WHEN value > 50 THEN 'large' END, CASE WHEN value < 1 THEN 'tiny' END], lambda x: x IS NOT NULL)) AS reason FROM events)
 SELECT user_id, reason, count(*) AS n FROM r GROUP BY user_id, reason
 """)
 def rejection_summary(t: Tables) -> DataFrame:

@@ -39,7 +39,7 @@ def _part_keys(df: DataFrame) -> DataFrame:
 
 
 @plan.query(f"""
-WITH k AS (SELECT p_partkey, p_type, unnest(list_filter({_PART_KEYS}, x -> x IS NOT NULL)) AS key FROM part)
+WITH k AS (SELECT p_partkey, p_type, unnest(list_filter({_PART_KEYS}, lambda x: x IS NOT NULL)) AS key FROM part)
 SELECT a.p_partkey, array_to_string(list_sort(list(DISTINCT split_part(a.key, ':', 1))), ',') AS matched FROM k a WHERE a.p_type <> 'ECONOMY' AND a.key IN (SELECT key FROM k WHERE p_type = 'ECONOMY') GROUP BY a.p_partkey
 """)
 def overlap_methods(t: Tables) -> DataFrame:
@@ -49,7 +49,7 @@ def overlap_methods(t: Tables) -> DataFrame:
 
 
 @plan.query(f"""
-WITH k AS (SELECT p_partkey, p_type, unnest(list_filter({_PART_KEYS}, x -> x IS NOT NULL)) AS key FROM part)
+WITH k AS (SELECT p_partkey, p_type, unnest(list_filter({_PART_KEYS}, lambda x: x IS NOT NULL)) AS key FROM part)
 SELECT p_partkey, p_name FROM part WHERE p_type <> 'ECONOMY' AND p_partkey NOT IN (SELECT a.p_partkey FROM k a JOIN k b USING (key) WHERE a.p_type <> 'ECONOMY' AND b.p_type = 'ECONOMY')
 """)
 def unmatched_by_any_key(t: Tables) -> DataFrame:
@@ -58,7 +58,7 @@ def unmatched_by_any_key(t: Tables) -> DataFrame:
 
 
 @plan.query(f"""
-WITH k AS (SELECT p_partkey, p_type, unnest(list_filter({_PART_KEYS}, x -> x IS NOT NULL)) AS key FROM part), s AS (SELECT * FROM k WHERE split_part(key, ':', 1) <> 'tb')
+WITH k AS (SELECT p_partkey, p_type, unnest(list_filter({_PART_KEYS}, lambda x: x IS NOT NULL)) AS key FROM part), s AS (SELECT * FROM k WHERE split_part(key, ':', 1) <> 'tb')
 SELECT a.p_partkey, min(b.p_partkey) AS archived, array_to_string(list_sort(list(DISTINCT split_part(a.key, ':', 1))), ',') AS matched
 FROM s a JOIN s b ON a.key = b.key WHERE a.p_type <> 'LARGE' AND b.p_type = 'LARGE' GROUP BY a.p_partkey
 """)
@@ -100,7 +100,7 @@ def near_duplicate_chains(t: Tables) -> DataFrame:
 
 
 @plan.query(f"""
-WITH k AS (SELECT p_partkey, unnest(list_filter({_PART_KEYS}, x -> x IS NOT NULL)) AS key FROM part)
+WITH k AS (SELECT p_partkey, unnest(list_filter({_PART_KEYS}, lambda x: x IS NOT NULL)) AS key FROM part)
 SELECT key, count(DISTINCT p_partkey) AS members, min(p_partkey) AS first FROM k GROUP BY key HAVING count(DISTINCT p_partkey) >= 2
 """)
 def canonical_identity_groups(t: Tables) -> DataFrame:

@@ -66,7 +66,7 @@ def explained_drop(t: Tables) -> DataFrame:
 WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price, o_orderpriority AS priority FROM orders WHERE o_orderkey % 11 <> 0),
 b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderpriority AS priority FROM orders WHERE o_orderkey % 17 <> 0)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.status IS DISTINCT FROM b.status OR a.price IS DISTINCT FROM b.price OR a.priority IS DISTINCT FROM b.priority THEN 'changed' ELSE 'same' END AS status,
-    CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.status IS DISTINCT FROM b.status THEN 'status' END, CASE WHEN a.price IS DISTINCT FROM b.price THEN 'price' END, CASE WHEN a.priority IS DISTINCT FROM b.priority THEN 'priority' END], x -> x IS NOT NULL), ',') END AS changed
+    CASE WHEN a.k IS NULL OR b.k IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN a.status IS DISTINCT FROM b.status THEN 'status' END, CASE WHEN a.price IS DISTINCT FROM b.price THEN 'price' END, CASE WHEN a.priority IS DISTINCT FROM b.priority THEN 'priority' END], lambda x: x IS NOT NULL), ',') END AS changed
 FROM a FULL JOIN b ON a.k = b.k
 """)
 def snapshot_drift(t: Tables) -> DataFrame:
