@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ END = 1
 SEQUENCE = 2048
 BATCH = 256
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 
 _coders: dict[str, WordCoder] = {}
 
@@ -42,33 +43,50 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _forget(self) -> None:
+        """Known words by hash, ascending: where their ids begin in ``flat``, and how many. The first of ``flat`` is the end id."""
+        self.hashes, self.begin, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, self.type)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words, in ascending order of their hashes."""
+        ids, counts = [self.flat], [np.zeros(0, np.int64)]
         for low in range(0, len(words), 4096):
-            some = words[low : low + 4096]
-            coded = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, self.type).tobytes()) for w, c in zip(some, coded, strict=True))
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in words[low : low + 4096]], add_special_tokens=False)
+            lists = [c.ids for c in coded]
+            counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), self.type, int(counts[-1].sum())))
+        length = np.concatenate(counts)
+        begin = len(self.flat) + np.cumsum(length) - length
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.length = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.length, at, length)
+        self.flat = np.concatenate(ids)
+
+    def _new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes aren't known."""
+        if not len(self.hashes):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[at] != hashes)
 
     def encode(self, column: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of blocks of texts, each text closed by ``end``, and how many each text has."""
         for block in blocks(column, SPACED, 1 << 21):
-            _, first, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
-            data = block.data.tobytes()
-            words = [data[a:b] for a, b in zip(block.start[first].tolist(), (block.start[first] + block.length[first]).tolist(), strict=True)]
-            new = [w for w in words if w not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = words
-            self._learn(new)
-            coded = [self.known[w] for w in words]
-            flat = np.frombuffer(b"".join(coded), self.type)
-            length = np.array([len(c) for c in coded], dtype=np.int64) // self.type.itemsize
-            at = np.concatenate([[0], np.cumsum(length)])
+            hashes, first, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
+            new = self._new(hashes)
+            if len(self.hashes) + len(new) > REMEMBERED:
+                self._forget()
+                new = np.arange(len(hashes))
+            if len(new):
+                data, at = block.data.tobytes(), first[new]
+                self._learn(hashes[new], [data[a:b] for a, b in zip(block.start[at].tolist(), (block.start[at] + block.length[at]).tolist(), strict=True)])
+            place = np.searchsorted(self.hashes, hashes)[inverse]
+            flat = self.flat
+            flat[0] = end
             # A text's end is one more word behind its own.
-            flat = np.append(flat, self.type.type(end))
-            of_word = np.insert(at[:-1][inverse] if len(inverse) else np.zeros(0, np.int64), block.first[1:], at[-1])
-            n_of_word = np.insert(length[inverse] if len(inverse) else np.zeros(0, np.int64), block.first[1:], 1)
+            of_word = np.insert(self.begin[place], block.first[1:], 0)
+            n_of_word = np.insert(self.length[place], block.first[1:], 1)
             stop = np.cumsum(n_of_word)
             ids = flat[np.repeat(of_word - (stop - n_of_word), n_of_word) + np.arange(stop[-1])]
             ends = stop[block.first[1:] + np.arange(len(block.first) - 1)]
