@@ -13,6 +13,11 @@ The sets with a shingle in common form a region around a pivot:
   until no region is left that holds two sets not yet known to be connected. Sets that are connected already, through
   whatever links, are not compared.
 
+After the first round, two sets that can still link share a known number of regions at least, all of them large: they
+meet only in a region that is early enough in the order of both, smaller regions first, for that number to follow. Of
+each set an odd sketch is kept, the parities of its shingles in each of ``SKETCH`` bins. Sets differ in as many shingles
+as their sketches do in bins, or more, so a pair whose sketches differ too much cannot link. Neither loses a link.
+
 Equal sets are one. Regions are rows, never lists; a pivot meets its region by a join, so no task holds a region.
 The order of the shingles puts frequent ones last, as seen in a sample of the texts. It affects the size of regions
 only: whatever the order, every link is found.
@@ -39,6 +44,9 @@ SMALL = 8
 SAMPLE = 16
 FREQUENT = 4
 MOST_FREQUENT = 1 << 20
+#: Bins of an odd sketch, a multiple of 64, and the columns that hold it.
+SKETCH = 256
+BINS = [f"bins{i}" for i in range(SKETCH // 64)]
 #: Bytes of sets that a Python worker holds before it passes them on.
 SETS_HELD = 1 << 22
 #: Ids that a broadcast table may hold (16 bytes each).
@@ -51,18 +59,28 @@ def set_key(found: np.ndarray) -> int:
         return int(mix(np.array([np.uint64(len(found)) + mix(found ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)], dtype=np.uint64)).view(np.int64)[0])
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """The parities of the number of shingles in each bin, as 64-bit words."""
+    odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     """Shingles that two linked sets cannot both do without: all but one fewer than they share at least."""
     return size - -(-size * percent // 100) + 1
 
 
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that two linked sets of sizes n and m share at least."""
+    return F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
+
+
 def _least_in_prefixes(n: Column, m: Column, percent: int) -> Column:
     """Shingles that the prefixes of two linked sets of sizes n and m share at least.
 
     What the sets share outside the prefixes lies beyond the prefix of the one whose prefix ends first.
     """
-    shared = F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
-    return shared - (F.ceil(F.greatest(n, m) * percent / F.lit(100) - 1e-9) - 1)
+    return _least_shared(n, m, percent) - (F.ceil(F.greatest(n, m) * percent / F.lit(100) - 1e-9) - 1)
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -84,11 +102,12 @@ def _describe(frequent, percent: int):
         last = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, sketches, prefixes = [], [], [], []
             for doc_id, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 key = set_key(found)
                 keys.append(key)
                 sizes.append(len(found))
+                sketches.append(odd_sketch(found))
                 if doc_id is None or not len(found) or key in seen:
                     prefixes.append(np.zeros(0, np.int64))
                     continue
@@ -100,7 +119,9 @@ def _describe(frequent, percent: int):
                     late = last[at] == found
                     found = np.concatenate([found[~late], found[late]])
                 prefixes.append(found[: prefix_length(len(found), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "key", "n", "prefix"])
+            words = np.array(sketches, np.int64).reshape(-1, len(BINS)).T
+            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array(x) for x in words]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "prefix", *BINS])
 
     return describe
 
@@ -174,6 +195,19 @@ def _ranked(members: DataFrame) -> DataFrame:
     return ranked.where(F.col("members") > 1)
 
 
+def _with_turns(members: DataFrame, described: DataFrame) -> DataFrame:
+    """Members with the number of regions that their set is in (``held``), their turn among them, smaller regions first, and its sketch."""
+    own = Window.partitionBy("key")
+    turns = members.withColumn("held", F.count(F.lit(1)).over(own)).withColumn("turn", F.row_number().over(own.orderBy("members", "h")))
+    sketches = described.join(members.select("key").distinct(), "key", "left_semi").select("key", *BINS).dropDuplicates(["key"])
+    return turns.join(sketches, "key")
+
+
+def _differing_bins() -> Column:
+    """Bins in which the sketches of a set and of its pivot differ: at least so many shingles are in one of them only."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"pivot_{x}"))) for x in BINS), F.lit(0))
+
+
 class _Distances:
     """Exact distances between sets, computed once for each pair."""
 
@@ -207,7 +241,7 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     with small_batches(spark):
-        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, prefix array<long>"), "described")
+        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, prefix array<long>, " + ", ".join(f"{x} long" for x in BINS)), "described")
     # Far apart in size is far apart: the distance is at least 1 - smaller / larger.
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     members = described.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()
@@ -215,19 +249,22 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     distances, known, labels = _Distances(docs, described, work, percent), None, None
     # Of each set, in how many large regions it is: more shingles than these two sets cannot share unseen.
     large = work.table(members.where(F.col("members") > SMALL).groupBy("key").agg(F.count(F.lit(1)).alias("large")), "large")
-    together, pivots = None, 1
+    pivots, turns = 1, []
     while not members.isEmpty():
-        head = members.where((F.col("place") <= pivots) | (F.col("members") <= SMALL)).select("h", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"), F.col("label").alias("pivot_label"))
+        head = members.where((F.col("place") <= pivots) | (F.col("members") <= SMALL)).select("h", *[F.col(x).alias("pivot" if x == "key" else f"pivot_{x}") for x in ("key", "n", "place", "label", *turns)])
         met = members.join(head, "h").where((F.col("place") > F.col("pivot_place")) & (F.col("label") != F.col("pivot_label")) & close)
-        small = F.count(F.when(F.col("members") <= SMALL, 1)).alias("small")
-        wanted = met.groupBy("pivot", "key", "n", "pivot_n").agg(small)
-        if together is None:
-            together = wanted = work.table(wanted, "together")
+        needed = _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent)
+        if not turns:
+            small = F.count(F.when(F.col("members") <= SMALL, 1)).alias("small")
+            wanted = met.groupBy("pivot", "key", "n", "pivot_n").agg(small)
+            wanted = wanted.join(large, "key", "left").join(large.select(F.col("key").alias("pivot"), F.col("large").alias("pivot_large")), "pivot", "left")
+            most = F.col("small") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("pivot_large", F.lit(0)))
+            wanted = wanted.withColumn("most", most).where(F.col("most") >= needed)
         else:
-            wanted = wanted.drop("small").join(together.select("pivot", "key", "small"), ["pivot", "key"], "left").withColumn("small", F.coalesce("small", F.lit(0)))
-        wanted = wanted.join(large, "key", "left").join(large.select(F.col("key").alias("pivot"), F.col("large").alias("pivot_large")), "pivot", "left")
-        most = F.col("small") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("pivot_large", F.lit(0)))
-        wanted = wanted.withColumn("most", most).where(F.col("most") >= _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent))
+            # Pairs that share a small region have been compared: all regions that these share are among those held.
+            early = (F.col("turn") + needed - 1 <= F.col("held")) & (F.col("pivot_turn") + needed - 1 <= F.col("pivot_held"))
+            near = _differing_bins() <= F.col("n") + F.col("pivot_n") - 2 * _least_shared(F.col("n"), F.col("pivot_n"), percent)
+            wanted = met.where(early & near).withColumn("most", -_differing_bins()).groupBy("pivot", "key").agg(F.max("most").alias("most"))
         wanted = work.table(wanted.select("pivot", "key", "most"), "wanted")
         # First the likeliest pivot of each set; then only the pairs that this has left apart.
         for likeliest in (True, False):
@@ -242,23 +279,29 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
         # Regions whose sets are all connected are done, as are small ones, and sets that were pivots.
         rest = labelled(members.where((F.col("members") > SMALL) & (F.col("place") > pivots)).drop("label"), labels, "key", "label")
         region = Window.partitionBy("h")
-        rest = rest.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).where("low < high").select("h", "key", "n", "label")
+        rest = rest.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).where("low < high").select("h", "key", "n", "label", *turns)
         rest = work.table(rest, "rest")
         if rest.isEmpty():
             break
-        # Distance of each that is left to the first pivot of its region, or the least that its size allows.
-        first = labelled(head.where("pivot_place = 1").select("h", "pivot", "pivot_n"), labels, "pivot", "pivot_label")
+        # Distance of each that is left to the first pivot of its region, or the least that its size and sketch allow.
+        first = labelled(head.where("pivot_place = 1").drop("pivot_place", "pivot_label"), labels, "pivot", "pivot_label")
         apart = rest.join(first, "h").join(known.select("pivot", "key", "shared"), ["pivot", "key"], "left")
         union = F.col("n") + F.col("pivot_n") - F.col("shared")
-        distance = F.coalesce(1 - F.col("shared") / union, 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n"))
+        most = F.least("n", "pivot_n")
+        if turns:
+            most = F.least(most, (F.col("n") + F.col("pivot_n") - _differing_bins()) / 2)
+        distance = F.coalesce(1 - F.col("shared") / union, 1 - most / (F.col("n") + F.col("pivot_n") - most))
         radius = (100 - percent) / 100 + 1e-9
         inside = F.coalesce(F.col("shared") * 100 >= union * percent, F.lit(False))
         apart = apart.withColumns({"distance": distance, "inside": inside})
         # Sets that are connected to the pivot need no link to one another; the others must be out of reach.
         nearest = F.min(F.when(F.col("label") != F.col("pivot_label"), F.col("distance"))).over(Window.partitionBy("h"))
         settled = apart.withColumn("nearest", nearest).where(F.col("inside") & (F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > radius)))
-        left = rest.join(settled.select("h", "key").distinct(), ["h", "key"], "left_anti").select("h", "key", "n", "label")
-        members = work.table(_ranked(left), "members")
+        left = rest.join(settled.select("h", "key").distinct(), ["h", "key"], "left_anti").select("h", "key", "n", "label", *turns)
+        members = _ranked(left)
+        if not turns:
+            members, turns = _with_turns(members, described), ["turn", "held", *BINS]
+        members = work.table(members, "members")
         pivots = pivots * SMALL
     thin = described.select("doc_id", "key", "n")
     if labels is not None:
