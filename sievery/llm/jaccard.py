@@ -223,8 +223,10 @@ class _Distances:
         texts = self.docs.join(ids, "doc_id", "left_semi").select("text")
         with small_batches(texts.sparkSession):
             sets = self.work.table(texts.mapInArrow(_sets, "key long, shingles binary"), "sets")
-        with_pivot = pairs.join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a")), "pivot")
-        met = with_pivot.join(sets.withColumnRenamed("shingles", "b"), "key").select("pivot", "key", "a", "b")
+        # Pairs are thin: broadcast while they are few, they meet the sets of their pivots without a shuffle of sets.
+        with_pivot = sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a")).join(broadcast_if_small(pairs, IDS_BROADCAST), "pivot")
+        others = sets.join(broadcast_if_small(pairs.select("key").distinct(), IDS_BROADCAST), "key", "left_semi")
+        met = with_pivot.join(others.withColumnRenamed("shingles", "b"), "key").select("pivot", "key", "a", "b")
         with small_batches(met.sparkSession):
             return self.work.table(met.mapInArrow(_intersect, "pivot long, key long, shared long, pivot_n long, n long").distinct(), "distances")
 
