@@ -333,3 +333,17 @@ def test_ppm(spark, piece, monkeypatch):
     assert ppm.score(table.limit(0), Workspace(spark)).count() == 0
     alone = ppm.score(table.withColumn("held_out", table["doc_id"].isNotNull()).limit(3), Workspace(spark)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in alone)
+
+
+@pytest.mark.parametrize("most", [1, 64])
+def test_ppm_with_more_nodes_than_are_broadcast(spark, most, monkeypatch):
+    monkeypatch.setattr(ppm, "NODES", most)
+    monkeypatch.setattr(ppm, "PART", 100)
+    monkeypatch.setattr(ppm, "GROUP", 200)
+    rng = random.Random(5)
+    texts = [*ODD, *("".join(rng.choice("abcdefgh日本語é😀\n") for _ in range(rng.randint(1, 80))) for _ in range(40)), "zebra qué"]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    table = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r.score for r in ppm.score(table, Workspace(spark)).collect()}
+    expected = brute_ppm([t for t, h in zip(texts, held, strict=True) if not h], texts)
+    assert got == {i: pytest.approx(e, rel=1e-5) for i, e in enumerate(expected)}
