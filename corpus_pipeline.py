@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 from sievery.llm import decontamination, jaccard, language, mixing, tokens
 from sievery.storage import Workspace, broadcast_if_small
 
-#: A text whose ranking is this far out of place or farther, in every language, is in none of them.
-LEAST_LANGUAGE_SCORE = 0.02
 #: Ids that a broadcast table may hold (16 bytes each).
 IDS_BROADCAST = 1_000_000
 
@@ -30,11 +28,12 @@ def _workspace(spark: SparkSession) -> Workspace:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in one of the languages learned from the labelled documents."""
-    _workspace(spark)
+    """Keep documents in one of the languages learned from the labelled documents, which also set the least score."""
+    work = _workspace(spark)
     profiles = language.learn(docs)
-    told = docs.withColumn("_p", language.predicted(spark, F.col("text"), profiles))
-    return told.where((F.col("_p.lang") != language.UNKNOWN) & (F.col("_p.score") >= LEAST_LANGUAGE_SCORE)).drop("_p")
+    told = work.table(docs.withColumn("_p", language.predicted(spark, F.col("text"), profiles)), "told")
+    least = language.least_score(told.select("lang", "_p.scores"), sorted(profiles))
+    return told.where((F.col("_p.lang") != language.UNKNOWN) & (F.col("_p.score") >= least)).drop("_p")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

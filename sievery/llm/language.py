@@ -121,36 +121,61 @@ def _lookup(profiles: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray, np.n
     return [(lang, np.sort(p), np.argsort(p, kind="stable")) for lang, p in sorted(profiles.items())]
 
 
-def closest(text: str | None, lookup: list[tuple[str, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[str, float]:
-    """The language of a text, and how far its ranking is from being wholly out of place (0 to 1)."""
+def compared(text: str | None, lookup: list[tuple[str, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[str, float, list[float]]:
+    """The language of a text, and how far its ranking is from being wholly out of place (0 to 1), there and in each language."""
     own = ranked(*grams(text or ""), length)
     if not len(own) or not lookup:
-        return UNKNOWN, 0.0
-    place, best = np.arange(len(own)), (UNKNOWN, -1)
+        return UNKNOWN, 0.0, []
+    place, best, scores = np.arange(len(own)), (UNKNOWN, -1), []
     for lang, codes, ranks in lookup:
         at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
         distance = int(np.where(codes[at] == own, np.abs(ranks[at] - place), length).sum())
         if best[1] < 0 or distance < best[1]:
             best = (lang, distance)
-    return best[0], max(0.0, 1.0 - best[1] / (length * len(own)))
+        scores.append(max(0.0, 1.0 - distance / (length * len(own))))
+    return best[0], max(scores), scores
+
+
+def closest(text: str | None, lookup: list[tuple[str, np.ndarray, np.ndarray]], length: int = LENGTH) -> tuple[str, float]:
+    """The language of a text and its score there."""
+    return compared(text, lookup, length)[:2]
 
 
 def predicted(spark, text: Column, profiles: dict[str, np.ndarray]) -> Column:
-    """A struct of ``lang`` and ``score`` for each text: the language ``und`` with score 0 if it is null or has no letters.
+    """A struct of ``lang``, ``score`` and ``scores``, by language in code point order, for each text.
+
+    A text that is null or has no letters has the language ``und`` with score 0, and no scores.
 
     Ties go to the language that is first in code point order. Texts are read whole, in pieces of bounded size.
     """
     shared = spark.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, scores array<double>")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lookup = _lookup(shared.value)
         for texts in series:
-            yield pd.DataFrame([closest(t, lookup) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([compared(t, lookup) for t in texts], columns=["lang", "score", "scores"])
 
     return predict(text.cast("string"))
 
 
+def least_score(told: DataFrame, langs: list[str]) -> float:
+    """The score that tells texts in a language from others, from labelled texts: midway between what all but a hundredth
+    of them have in their own language and what half of them have in another one, which is as near as unlearned ones come.
+
+    ``told`` has ``lang`` and ``scores``, in the order of ``langs``. Scores count to a thousandth; without labelled texts it is 0.
+    """
+    each = told.where(F.col("lang").isNotNull()).select("lang", F.posexplode("scores").alias("at", "score"))
+    own = F.element_at(F.array(*[F.lit(x) for x in langs]), F.col("at") + 1) == F.col("lang")
+    rows = each.groupBy(own.alias("own"), F.floor(F.col("score") * 1000).alias("bin")).count().collect() if langs else []
+    found = []
+    for mine, share in ((True, 0.01), (False, 0.5)):
+        bins = sorted((r["bin"], r["count"]) for r in rows if r["own"] == mine)
+        below = np.cumsum([n for _, n in bins])
+        found.append(bins[int(np.searchsorted(below, share * below[-1]))][0] / 1000 if bins else 0.0)
+    return min(found[0], sum(found) / 2)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: a third, by the CRC of the id; null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1

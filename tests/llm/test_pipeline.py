@@ -1,5 +1,7 @@
 """The stages of the pipeline, each against plain Python on its own input."""
 
+import base64
+import random
 import re
 from collections import Counter
 
@@ -55,3 +57,15 @@ def test_mix_repeated_rows(spark):
     mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
     assert max(Counter(r.text for r in mixed).values()) <= 6
     assert set(r.text for r in mixed) <= {"a b c", "d e f", "x", "g h"}
+
+
+def test_language_id_drops_gibberish_and_unlearned_languages(spark):
+    rng = random.Random(1)
+    clean = ["All human beings are born free and equal in dignity and rights.", "Tous les êtres humains naissent libres et égaux.", "The cat sat on the mat."]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(3000)), "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(40))]
+    junk.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.")
+    junk.append("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate([*clean, *junk])], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(extra), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} | {10**6 + i for i in range(len(clean))}
