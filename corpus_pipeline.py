@@ -37,11 +37,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document, by id, of each component of near copies, and every document without words or id."""
+    """Keep the first row of each component of near copies, by id, rows without id last, and every row without words.
+
+    Rows are told apart by a number of their own, so repeated and missing ids decide nothing but the order.
+    """
     work = _workspace(spark)
-    found = jaccard.components(docs, work).where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id")))
-    copies = work.table(found.select("doc_id").distinct(), "copies")
-    return docs.join(broadcast_if_small(copies, IDS_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
+    rows = work.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.components(rows.select(F.col("_row").alias("doc_id"), "text"), work).where("n_shingles > 0")
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("place"))
+    found = work.table(found.select(F.col("doc_id").alias("_row"), "component_id"), "components")
+    # Only components of several rows have copies.
+    several = found.where("_row <> component_id")
+    several = several.unionByName(several.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    placed = work.table(several.join(order, "_row"), "placed")
+    first = work.table(placed.groupBy("component_id").agg(F.min("place").alias("first")), "first")
+    copies = work.table(placed.join(broadcast_if_small(first, IDS_BROADCAST), "component_id").where(F.col("_row") != F.col("first._row")).select("_row"), "copies")
+    return rows.join(broadcast_if_small(copies, IDS_BROADCAST), "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

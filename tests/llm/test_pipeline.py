@@ -69,3 +69,11 @@ def test_language_id_drops_gibberish_and_unlearned_languages(spark):
     extra = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate([*clean, *junk])], docs.schema)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(extra), SF).collect()}
     assert kept == {r.doc_id for r in docs.collect()} | {10**6 + i for i in range(len(clean))}
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(5, text(0)), (9, text(0)), (9, text(1)), (7, text(2)), (7, text(2)), (7, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (8, text(4)), (None, ""), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect())
+    assert kept == Counter([(5, text(0)), (9, text(1)), (7, text(2)), (None, text(3)), (8, text(4)), (None, ""), (None, ""), (5, None)])
