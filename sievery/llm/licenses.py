@@ -29,7 +29,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 class Rule:
     label: str
     priority: int
-    #: The rule runs on texts with any of these words.
+    #: The rule runs on texts with any of these words; whatever the pattern matches has one of them.
     keywords: tuple[str, ...]
     pattern: str
 
@@ -37,26 +37,26 @@ class Rule:
 #: label, names (patterns over words), identifier words of the SPDX form, keywords
 FAMILIES = (
     ("mit", r"(?:the )?(?:mit|expat|x11)", "mit", ("mit", "expat", "x11")),
-    ("apache-2.0", r"(?:the )?apache(?: software)?(?: license)?(?: version)?(?: v)? ?2(?: 0)?", "apache 2 0", ("apache",)),
+    ("apache-2.0", r"(?:the )?apache(?: software)?(?: license)?(?: version)?(?: ?v)? ?2(?: 0)?", "apache 2 0", ("apache", "apache2", "apachev2", "apachev")),
     ("apache-1.1", r"(?:the )?apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1", ("apache",)),
     ("bsd-2-clause", r"(?:the )?(?:2|two) clause bsd|(?:simplified|freebsd) bsd|bsd 2 clause", "bsd 2 clause", ("bsd",)),
     ("bsd-3-clause", r"(?:the )?(?:3|three) clause bsd|(?:new|revised|modified) bsd|bsd 3 clause", "bsd 3 clause", ("bsd",)),
     ("bsd-4-clause", r"(?:the )?(?:4|four) clause bsd|original bsd|bsd 4 clause", "bsd 4 clause", ("bsd",)),
-    ("gpl-1.0", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", "gpl 1 0", ("gpl", "gplv1", "general")),
-    ("gpl-2.0", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?", "gpl 2 0", ("gpl", "gplv2", "general")),
-    ("gpl-3.0", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?", "gpl 3 0", ("gpl", "gplv3", "general")),
-    ("lgpl-2.0", r"(?:the )?(?:gnu )?(?:lgpl|(?:library|lesser) general public license)(?: version| v)? ?2(?: 0)?", "lgpl 2 0", ("lgpl", "lesser", "library")),
-    ("lgpl-2.1", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1", "lgpl 2 1", ("lgpl", "lesser")),
-    ("lgpl-3.0", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?", "lgpl 3 0", ("lgpl", "lesser")),
-    ("agpl-3.0", r"(?:the )?(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3?(?: 0)?", "agpl 3 0", ("agpl", "agplv3", "affero")),
+    ("gpl-1.0", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| ?v)? ?1(?: 0)?", "gpl 1 0", ("gpl", "gpl1", "gplv1", "gplv", "general")),
+    ("gpl-2.0", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| ?v)? ?2(?: 0)?", "gpl 2 0", ("gpl", "gpl2", "gplv2", "gplv", "general")),
+    ("gpl-3.0", r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| ?v)? ?3(?: 0)?", "gpl 3 0", ("gpl", "gpl3", "gplv3", "gplv", "general")),
+    ("lgpl-2.0", r"(?:the )?(?:gnu )?(?:lgpl|(?:library|lesser) general public license)(?: version| ?v)? ?2(?: 0)?", "lgpl 2 0", ("lgpl", "lgpl2", "lgplv2", "lgplv", "lesser", "library")),
+    ("lgpl-2.1", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license)(?: version| ?v)? ?2 1", "lgpl 2 1", ("lgpl", "lgpl2", "lgplv2", "lgplv", "lesser")),
+    ("lgpl-3.0", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license)(?: version| ?v)? ?3(?: 0)?", "lgpl 3 0", ("lgpl", "lgpl3", "lgplv3", "lgplv", "lesser")),
+    ("agpl-3.0", r"(?:the )?(?:gnu )?(?:agpl|affero general public license)(?:(?: version| ?v)? ?3(?: 0)?| version| v)?", "agpl 3 0", ("agpl", "agpl3", "agplv3", "agplv", "affero")),
     ("gfdl", r"(?:the )?gnu free documentation license(?: version)?(?: 1 [1-3])?", "gfdl 1 3", ("gfdl", "documentation")),
-    ("mpl-1.1", r"(?:the )?(?:mpl|mozilla public license)(?: version| v)? ?1 1", "mpl 1 1", ("mpl", "mozilla")),
-    ("mpl-2.0", r"(?:the )?(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", "mpl 2 0", ("mpl", "mozilla")),
-    ("epl-1.0", r"(?:the )?(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", "epl 1 0", ("epl", "eclipse")),
-    ("epl-2.0", r"(?:the )?(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", "epl 2 0", ("epl", "eclipse")),
-    ("cddl-1.0", r"(?:the )?(?:cddl|common development and distribution license)(?: version| v)? ?1?(?: 0)?", "cddl 1 0", ("cddl", "development")),
+    ("mpl-1.1", r"(?:the )?(?:mpl|mozilla public license)(?: version| ?v)? ?1 1", "mpl 1 1", ("mpl", "mpl1", "mplv1", "mplv", "mozilla")),
+    ("mpl-2.0", r"(?:the )?(?:mpl|mozilla public license)(?: version| ?v)? ?2(?: 0)?", "mpl 2 0", ("mpl", "mpl2", "mplv2", "mplv", "mozilla")),
+    ("epl-1.0", r"(?:the )?(?:epl|eclipse public license)(?: version| ?v)? ?1(?: 0)?", "epl 1 0", ("epl", "epl1", "eplv1", "eplv", "eclipse")),
+    ("epl-2.0", r"(?:the )?(?:epl|eclipse public license)(?: version| ?v)? ?2(?: 0)?", "epl 2 0", ("epl", "epl2", "eplv2", "eplv", "eclipse")),
+    ("cddl-1.0", r"(?:the )?(?:cddl|common development and distribution license)(?:(?: version| ?v)? ?1(?: 0)?| version| v)?", "cddl 1 0", ("cddl", "cddl1", "cddlv1", "cddlv", "development")),
     ("cpl-1.0", r"(?:the )?common public license(?: version)?(?: 1 0)?", "cpl 1 0", ("common",)),
-    ("eupl-1.2", r"(?:the )?(?:eupl|european union public licen[cs]e)(?: version| v)?(?: 1 [0-2])?", "eupl 1 2", ("eupl", "european")),
+    ("eupl-1.2", r"(?:the )?(?:eupl|european union public licen[cs]e)(?:(?: version| ?v)? ?1 [0-2]| version| v)?", "eupl 1 2", ("eupl", "eupl1", "euplv1", "euplv", "european")),
     ("artistic-1.0", r"(?:the )?(?:perl )?artistic license(?: version)?(?: 1 0)?", "artistic 1 0", ("artistic",)),
     ("artistic-2.0", r"(?:the )?artistic license(?: version)? 2(?: 0)?", "artistic 2 0", ("artistic",)),
     ("isc", r"(?:the )?isc", "isc", ("isc",)),

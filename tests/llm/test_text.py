@@ -219,6 +219,48 @@ def test_licenses(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(texts[r.doc_id])
 
 
+def sampled(rng, parsed):
+    """A text that a parsed regular expression matches."""
+    out = ""
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "ANY":
+            out += "x"
+        elif kind == "IN":
+            op, value = rng.choice(value)
+            out += chr(value) if str(op) == "LITERAL" else chr(rng.randint(*value)) if str(op) == "RANGE" else "7"
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, what = value
+            out += "".join(sampled(rng, what) for _ in range(rng.randint(low, min(int(high), low + 2))))
+        elif kind == "SUBPATTERN":
+            out += sampled(rng, value[3])
+        elif kind == "BRANCH":
+            out += sampled(rng, rng.choice(value[1]))
+        else:
+            raise ValueError(kind)
+    return out
+
+
+def test_license_gate_holds_all_that_rules_match():
+    rng = random.Random(4)
+    rules, patterns = licenses.rules(), licenses._compiled()[2]
+    for i, rule in enumerate(rules):
+        parsed = re._parser.parse(rule.pattern)
+        for text in {sampled(rng, parsed) for _ in range(60)}:
+            found = licenses.detect(text, list(range(len(rules))))
+            gated = [k for k, x in enumerate(rules) if set(x.keywords) & set(text.split())]
+            assert patterns[i].search(text) and i in gated, (rule, text)
+            assert licenses.detect(text, gated) == found, (rule, text)
+
+
+def test_license_joined_versions(spark):
+    texts = {"Licensed under GPLv2": "gpl-2.0", "licensed under apache2": "apache-2.0", "released under the LGPLv2.1": "lgpl-2.1", "under AGPLv3 license": "agpl-3.0", "MPL2 license": "mpl-2.0", "License: GPL v3": "gpl-3.0", "covered by EUPLv1.2": "eupl-1.2", "provided under CDDL": "cddl-1.0", "GPLv1 licence": "gpl-1.0"}
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(texts))).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_license_suppression():
     text = "released under the mit license and mit license 2 mit"
     rules = licenses.rules()
