@@ -11,6 +11,7 @@ see the same leftmost matches, and a running sum over the lengths of both gives
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ class Kind:
     strong: bool = False
     #: Part of a credential that it can be.
     part: str = ""
+    #: Patterns that a match has to contain to count.
+    holds: tuple[str, ...] = ()
 
 
 KINDS = (
@@ -39,9 +42,9 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, True, "identifier"),
     # A maximal run is found whole or not at all, so the least length can be part of the pattern.
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, True, "secret"),
-    Kind("identifier", r"""(?i)\b(?:access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", 1, 3, False, "identifier"),
-    Kind("key", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]{0,87}[0-9])(?=[a-z0-9+/_-]{0,87}[A-Z])(?=[A-Z0-9+/_-]{0,87}[a-z])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/=_-])", 0, 32, False, "secret"),
-    Kind("endpoint", r"""(?i)\b(?:https?|s3|redis|amqp|mysql|mongodb|postgres(?:ql)?|jdbc:[a-z]{2,20})://[^\s"'<>]{3,200}""", 0, 6, False, "endpoint"),
+    Kind("identifier", r"""(?i)\b(?:access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", 1, 3, False, "identifier"),
+    Kind("key", r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])", 0, 32, False, "secret", ("[0-9]", "[A-Z]", "[a-z]")),
+    Kind("endpoint", r"""(?i)\b(?:https?|s3|redis|amqp|mysql|mongodb|postgres(?:ql)?|jdbc:[a-z]{2,})://[^\s"'<>]{3,}""", 0, 6, False, "endpoint"),
 )
 #: Parts that have to be in scope of a weak candidate, by the part that it is itself.
 NEEDS = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
@@ -51,9 +54,10 @@ _MATCHES = "array<struct<gap:int,len:int,ok:boolean>>"
 def _matches(text: Column, kind: Kind) -> Column:
     """Of each match: code points since the last one, its length, and whether it counts."""
     gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.length)
+    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    lengths, held = F.transform(whole, F.length), F.transform(whole, lambda m: reduce(lambda a, p: a & m.rlike(p), kind.holds, F.lit(True)))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)), F.length)
-    zipped = F.transform(F.arrays_zip(gaps.alias("gap"), lengths.alias("len"), sizes.alias("size")), lambda m: F.struct(m["gap"].alias("gap"), m["len"].alias("len"), (m["size"] >= kind.least).alias("ok")))
+    zipped = F.transform(F.arrays_zip(gaps.alias("gap"), lengths.alias("len"), sizes.alias("size"), held.alias("held")), lambda m: F.struct(m["gap"].alias("gap"), m["len"].alias("len"), ((m["size"] >= kind.least) & m["held"]).alias("ok")))
     return F.when(text.rlike(kind.pattern), F.filter(zipped, lambda m: m["len"].isNotNull())).otherwise(F.array().cast(_MATCHES))
 
 

@@ -141,3 +141,16 @@ def test_secrets_over_documents(spark):
     got = secrets.scan(table, Workspace(spark)).select("doc_id", F.sha2(secrets.joined(F.filter("spans", lambda s: s["strong"])), 256).alias("h"))
     expected = {r.doc_id: hashlib.sha256(",".join(base_spans(r.text)).encode()).hexdigest() for r in table.collect()}
     assert {r.doc_id: r.h for r in got.collect()} == expected
+
+
+def test_secrets_of_any_length(spark):
+    key, url = "aB3dE5gH" * 40, "https://example.org/" + "p/" * 600 + "end"
+    plain, name = "abcdefgh" * 40, "n" * 90
+    texts = [f"client_id: acme {key[:89]} x", f"client_id: acme {key}== x", f"client_id: {name} {key} {url} x", f"client_id: acme {plain} x", f"{url} client_id: acme {key}"]
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in secrets.scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), Workspace(spark)).collect()}
+    place = lambda i, kind, part: (kind, texts[i].index(part), texts[i].index(part) + len(part))
+    assert got[0] == {place(0, "identifier", "client_id: acme"), place(0, "key", key[:89])}
+    assert got[1] == {place(1, "identifier", "client_id: acme"), place(1, "key", key + "==")}
+    assert got[2] == {place(2, "identifier", f"client_id: {name}"), place(2, "key", key), place(2, "endpoint", url)}
+    assert got[3] == set()
+    assert got[4] == {place(4, "identifier", "client_id: acme"), place(4, "key", key), place(4, "endpoint", url)}
