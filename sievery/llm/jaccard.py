@@ -11,15 +11,17 @@ The sets with a shingle in common form a region around a pivot:
   while the others are done;
 * sets outside the ball stay as well, and what stayed is divided again around new pivots, more of them each round,
   until no region is left that holds two sets not yet known to be connected. Sets that are connected already, through
-  whatever links, are not compared.
+  whatever links, are not compared. Regions of at most ``SMALL`` sets, after the first round ``LARGE``, have all their
+  sets as pivots.
 
 After the first round, two sets that can still link share a known number of regions at least, all of them large: they
 meet only in a region that is early enough in the order of both, smaller regions first, for that number to follow. Of
 each set an odd sketch is kept, the parities of its shingles in each of ``SKETCH`` bins. Sets differ in as many shingles
 as their sketches do in bins, or more, so a pair whose sketches differ too much cannot link. Neither loses a link.
 
-Equal sets are one. Regions are rows, never lists; a pivot meets its region by a join, so no task holds a region.
-The order of the shingles puts frequent ones last, as seen in a sample of the texts. It affects the size of regions
+Equal sets are one. Regions are rows, never lists, and a pivot meets its region by a join. Only shingles that are not
+frequent are dealt by shingle alone; the regions of frequent ones are dealt by shingle and set, and aggregated in parts
+or joined with what Spark can split. The order of the shingles puts frequent ones last, as seen in a sample of the texts. It affects the size of regions
 only: whatever the order, every link is found.
 """
 
@@ -38,8 +40,9 @@ from sievery.storage import Workspace, broadcast_if_small
 
 #: Least similarity, in hundredths of the union.
 PERCENT = 75
-#: Regions of at most so many sets are compared pair by pair.
+#: Regions of at most so many sets are compared pair by pair, in the first round and in later ones.
 SMALL = 8
+LARGE = 4096
 #: One text of so many, by the hash of its id, is looked at for frequent shingles; those in so many of them or more come last, up to a number.
 SAMPLE = 16
 FREQUENT = 4
@@ -102,26 +105,26 @@ def _describe(frequent, percent: int):
         last = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, sketches, prefixes = [], [], [], []
+            keys, sizes, sketches, rare, common = [], [], [], [], []
             for doc_id, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 key = set_key(found)
                 keys.append(key)
                 sizes.append(len(found))
                 sketches.append(odd_sketch(found))
                 if doc_id is None or not len(found) or key in seen:
-                    prefixes.append(np.zeros(0, np.int64))
+                    rare.append(np.zeros(0, np.int64))
+                    common.append(rare[-1])
                     continue
                 if len(seen) >= 1 << 18:
                     seen.clear()
                 seen.add(key)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-                    late = last[at] == found
-                    found = np.concatenate([found[~late], found[late]])
-                prefixes.append(found[: prefix_length(len(found), percent)].view(np.int64))
+                late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found if len(last) else np.zeros(len(found), bool)
+                length = prefix_length(len(found), percent)
+                rare.append(found[~late][:length].view(np.int64))
+                common.append(found[late][: length - len(rare[-1])].view(np.int64))
             words = np.array(sketches, np.int64).reshape(-1, len(BINS)).T
-            columns = [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array(x) for x in words]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "prefix", *BINS])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, common)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists, *[pa.array(x) for x in words]], ["doc_id", "key", "n", "rare", "common", *BINS])
 
     return describe
 
@@ -187,12 +190,22 @@ def merged(labels: DataFrame | None, links: DataFrame, work: Workspace) -> DataF
     return work.table(old.unionByName(moved.join(labels.select("key"), "key", "left_anti")), "labels")
 
 
-def _ranked(members: DataFrame) -> DataFrame:
-    """Members (h, key, n, label) of regions with more than one, with their number and their place in the order of pivots."""
-    region = Window.partitionBy("h")
+def _counted(members: DataFrame) -> DataFrame:
+    """Members of regions (h) that hold several sets, with the number of these."""
+    sizes = members.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return members.join(sizes, "h")
+
+
+def _as_pivots(columns: list[str], of: str = "") -> list[Column]:
+    return [F.col(of + x).alias("pivot" if x == "key" else f"pivot_{x}") for x in columns]
+
+
+def _pivots(members: DataFrame, pivots: int, columns: list[str]) -> DataFrame:
+    """Of each region, ``pivots`` sets, the first by hash of so many parts: h, the columns as ``pivot`` (the key) and ``pivot_...``, and ``first``, true for one of them."""
     turn = F.xxhash64("key")
-    ranked = members.withColumn("place", F.row_number().over(region.orderBy(turn, "key"))).withColumn("members", F.count(F.lit(1)).over(region))
-    return ranked.where(F.col("members") > 1)
+    parts = members.groupBy("h", F.pmod(turn, F.lit(pivots)).alias("part")).agg(F.min(F.struct(turn.alias("turn_"), *columns)).alias("p"))
+    least = parts.groupBy("h").agg(F.min("p.turn_").alias("least"))
+    return parts.join(least, "h").select("h", *_as_pivots(columns, "p."), (F.col("p.turn_") == F.col("least")).alias("first"))
 
 
 def _with_turns(members: DataFrame, described: DataFrame) -> DataFrame:
@@ -243,33 +256,40 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     with small_batches(spark):
-        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, prefix array<long>, " + ", ".join(f"{x} long" for x in BINS)), "described")
+        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, rare array<long>, common array<long>, " + ", ".join(f"{x} long" for x in BINS)), "described")
+    # Frequent shingles are dealt by shingle and set, the others by shingle alone, which saves a shuffle.
+    rare = _counted(described.select("key", "n", F.explode("rare").alias("h")).repartition("h").distinct())
+    common = _counted(described.select("key", "n", F.explode("common").alias("h")).distinct())
+    members = work.table(rare.unionByName(common).withColumn("label", F.col("key")), "members")
     # Far apart in size is far apart: the distance is at least 1 - smaller / larger.
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    members = described.select("key", "n", F.explode("prefix").alias("h")).repartition("h").distinct()
-    members = work.table(_ranked(members.withColumn("label", F.col("key"))), "members")
     distances, known, labels = _Distances(docs, described, work, percent), None, None
     # Of each set, in how many large regions it is: more shingles than these two sets cannot share unseen.
     large = work.table(members.where(F.col("members") > SMALL).groupBy("key").agg(F.count(F.lit(1)).alias("large")), "large")
-    pivots, turns = 1, []
+    pivots, whole, turns = 1, SMALL, []
     while not members.isEmpty():
-        head = members.where((F.col("place") <= pivots) | (F.col("members") <= SMALL)).select("h", *[F.col(x).alias("pivot" if x == "key" else f"pivot_{x}") for x in ("key", "n", "place", "label", *turns)])
-        met = members.join(head, "h").where((F.col("place") > F.col("pivot_place")) & (F.col("label") != F.col("pivot_label")) & close)
+        columns = ["key", "n", "label", *turns]
+        picked = work.table(_pivots(members.where(F.col("members") > whole), pivots, columns), "pivots")
+        head = members.where(F.col("members") <= whole).select("h", *_as_pivots(columns)).unionByName(picked.drop("first"))
+        # Each pair once: its smaller key is the pivot.
+        other = (F.col("key") > F.col("pivot")) | ((F.col("members") > whole) & (F.col("key") < F.col("pivot")))
+        met = members.join(head, "h").where(other & (F.col("label") != F.col("pivot_label")) & close)
+        pair = [F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")]
         needed = _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent)
         if not turns:
             small = F.count(F.when(F.col("members") <= SMALL, 1)).alias("small")
-            wanted = met.groupBy("pivot", "key", "n", "pivot_n").agg(small)
+            wanted = met.groupBy(*pair, needed.alias("needed")).agg(small)
             wanted = wanted.join(large, "key", "left").join(large.select(F.col("key").alias("pivot"), F.col("large").alias("pivot_large")), "pivot", "left")
             most = F.col("small") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("pivot_large", F.lit(0)))
-            wanted = wanted.withColumn("most", most).where(F.col("most") >= needed)
+            wanted = wanted.withColumn("most", most).where(F.col("most") >= F.col("needed"))
         else:
             # Pairs that share a small region have been compared: all regions that these share are among those held.
             early = (F.col("turn") + needed - 1 <= F.col("held")) & (F.col("pivot_turn") + needed - 1 <= F.col("pivot_held"))
             near = _differing_bins() <= F.col("n") + F.col("pivot_n") - 2 * _least_shared(F.col("n"), F.col("pivot_n"), percent)
-            wanted = met.where(early & near).withColumn("most", -_differing_bins()).groupBy("pivot", "key").agg(F.max("most").alias("most"))
+            wanted = met.where(early & near).withColumn("most", -_differing_bins()).groupBy(*pair).agg(F.max("most").alias("most"))
         wanted = work.table(wanted.select("pivot", "key", "most"), "wanted")
-        # First the likeliest pivot of each set; then only the pairs that this has left apart.
-        for likeliest in (True, False):
+        # In the first round, the likeliest pivot of each set comes first; then only the pairs that this has left apart.
+        for likeliest in (True, False) if not turns else (False,):
             pairs = wanted if known is None else wanted.join(known.select("pivot", "key"), ["pivot", "key"], "left_anti")
             if likeliest:
                 pairs = pairs.groupBy("key").agg(F.max_by("pivot", F.struct("most", "pivot")).alias("pivot"))
@@ -278,16 +298,17 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
             known = found if known is None else work.table(known.unionByName(found), "known")
             linked = F.col("shared") * 100 >= (F.col("n") + F.col("pivot_n") - F.col("shared")) * percent
             labels = merged(labels, found.where(linked).select("pivot", "key"), work)
-        # Regions whose sets are all connected are done, as are small ones, and sets that were pivots.
-        rest = labelled(members.where((F.col("members") > SMALL) & (F.col("place") > pivots)).drop("label"), labels, "key", "label")
-        region = Window.partitionBy("h")
-        rest = rest.withColumn("low", F.min("label").over(region)).withColumn("high", F.max("label").over(region)).where("low < high").select("h", "key", "n", "label", *turns)
-        rest = work.table(rest, "rest")
+        # Regions whose sets are all connected are done, as are those compared pair by pair, and sets that were pivots.
+        rest = members.where(F.col("members") > whole).drop("label", "members").join(picked.select("h", F.col("pivot").alias("key")), ["h", "key"], "left_anti")
+        rest = labelled(rest, labels, "key", "label")
+        apart = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+        rest = work.table(rest.join(apart, "h", "left_semi"), "rest")
         if rest.isEmpty():
             break
         # Distance of each that is left to the first pivot of its region, or the least that its size and sketch allow.
-        first = labelled(head.where("pivot_place = 1").drop("pivot_place", "pivot_label"), labels, "pivot", "pivot_label")
-        apart = rest.join(first, "h").join(known.select("pivot", "key", "shared"), ["pivot", "key"], "left")
+        first = labelled(picked.where("first").drop("first", "pivot_label"), labels, "pivot", "pivot_label")
+        met = rest.join(first, "h").withColumns({"low": F.least("pivot", "key"), "high": F.greatest("pivot", "key")})
+        met = met.join(known.select(F.col("pivot").alias("low"), F.col("key").alias("high"), "shared"), ["low", "high"], "left")
         union = F.col("n") + F.col("pivot_n") - F.col("shared")
         most = F.least("n", "pivot_n")
         if turns:
@@ -295,16 +316,15 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
         distance = F.coalesce(1 - F.col("shared") / union, 1 - most / (F.col("n") + F.col("pivot_n") - most))
         radius = (100 - percent) / 100 + 1e-9
         inside = F.coalesce(F.col("shared") * 100 >= union * percent, F.lit(False))
-        apart = apart.withColumns({"distance": distance, "inside": inside})
+        met = met.select("h", "key", distance.alias("distance"), inside.alias("inside"), (F.col("label") != F.col("pivot_label")).alias("foreign"))
         # Sets that are connected to the pivot need no link to one another; the others must be out of reach.
-        nearest = F.min(F.when(F.col("label") != F.col("pivot_label"), F.col("distance"))).over(Window.partitionBy("h"))
-        settled = apart.withColumn("nearest", nearest).where(F.col("inside") & (F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > radius)))
-        left = rest.join(settled.select("h", "key").distinct(), ["h", "key"], "left_anti").select("h", "key", "n", "label", *turns)
-        members = _ranked(left)
+        nearest = met.where("foreign").groupBy("h").agg(F.min("distance").alias("nearest"))
+        settled = met.where("inside").join(nearest, "h", "left").where(F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > radius))
+        members = _counted(rest.join(settled.select("h", "key"), ["h", "key"], "left_anti"))
         if not turns:
             members, turns = _with_turns(members, described), ["turn", "held", *BINS]
         members = work.table(members, "members")
-        pivots = pivots * SMALL
+        pivots, whole = pivots * SMALL, LARGE
     thin = described.select("doc_id", "key", "n")
     if labels is not None:
         thin = thin.join(labels, "key", "left")
