@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +30,15 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point, whether it is a letter, and its lower case where that is one code point."""
     global _tables
     if _tables is None:
-        chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x110000)]
-        lower = [c.lower() for c in chars]
-        _tables = (
-            np.fromiter((c.isalpha() for c in chars), dtype=bool, count=len(chars)),
-            np.fromiter((ord(x) if len(x) == 1 else i for i, x in enumerate(lower)), dtype=np.int64, count=len(chars)),
-        )
+        alpha, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.int32)
+        for low in range(0, 0x110000, 1 << 12):
+            # Surrogates are no letters; a slice at a time keeps the strings few.
+            chars = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(low, low + (1 << 12))]
+            alpha[low : low + (1 << 12)] = [c.isalpha() for c in chars]
+            small = [c.lower() for c in chars]
+            lower[low : low + (1 << 12)] = [ord(x) if len(x) == 1 else low + i for i, x in enumerate(small)]
+        lower[0xD800:0xE000] = 32
+        _tables = alpha, lower
     return _tables
 
 
@@ -55,7 +57,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     found = []
     last = np.array([32, 32], dtype=np.int64)
     for at in range(0, len(points) + 1, PIECE):
-        piece = lower[points[at : at + PIECE]]
+        piece = lower[points[at : at + PIECE]].astype(np.int64)
         letter = alpha[piece]
         padded = np.concatenate([last, np.where(letter, piece, 32)])
         if at + PIECE > len(points):
@@ -150,11 +152,12 @@ def predicted(spark, text: Column, profiles: dict[str, np.ndarray]) -> Column:
     """
     shared = spark.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("lang string, score double, scores array<double>")
-    def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang: string, score: double, scores: array<double>>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lookup = _lookup(shared.value)
-        for texts in series:
-            yield pd.DataFrame([compared(t, lookup) for t in texts], columns=["lang", "score", "scores"])
+        for texts in batches:
+            lang, score, scores = zip(*[compared(t.as_py(), lookup) for t in texts], strict=True) if len(texts) else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(scores, pa.list_(pa.float64()))], ["lang", "score", "scores"])
 
     return predict(text.cast("string"))
 
