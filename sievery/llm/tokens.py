@@ -35,8 +35,20 @@ REMEMBERED = 1_200_000
 _coders: dict[str, WordCoder] = {}
 
 
+def _differing(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the words of ``a`` aren't those of ``b``, byte by byte; no word is empty."""
+    if not len(length):
+        return np.zeros(0, bool)
+    begin = np.cumsum(length) - length
+    step = np.arange(int(begin[-1] + length[-1]))
+    return np.logical_or.reduceat(a[np.repeat(a_start - begin, length) + step] != b[np.repeat(b_start - begin, length) + step], begin)
+
+
 class WordCoder:
-    """Ids of texts, word by word, from a tokenizer whose pre-tokenizer splits at white space."""
+    """Ids of texts, word by word, from a tokenizer whose pre-tokenizer splits at white space.
+
+    Words are known by hash, case and all, and by their bytes: one that shares only the hash of a known word is coded by itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,22 +58,30 @@ class WordCoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Known words by hash, ascending: where their ids begin in ``flat``, and how many. The first of ``flat`` is the end id."""
-        self.hashes, self.begin, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, self.type)
+        """Known words by hash, ascending: where their bytes begin in ``text`` and their ids in ``flat``, and how many. The first of ``flat`` is the end id."""
+        self.hashes, self.flat, self.text = np.zeros(0, np.uint64), np.zeros(1, self.type), np.zeros(0, np.uint8)
+        self.begin, self.length, self.text_begin, self.text_length = (np.zeros(0, np.int64) for _ in range(4))
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Add words, in ascending order of their hashes."""
-        ids, counts = [self.flat], [np.zeros(0, np.int64)]
+    def _coded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and how many each has."""
+        ids, counts = [np.zeros(0, self.type)], [np.zeros(0, np.int64)]
         for low in range(0, len(words), 4096):
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in words[low : low + 4096]], add_special_tokens=False)
             lists = [c.ids for c in coded]
             counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
             ids.append(np.fromiter(chain.from_iterable(lists), self.type, int(counts[-1].sum())))
-        length = np.concatenate(counts)
-        begin = len(self.flat) + np.cumsum(length) - length
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words, in ascending order of their hashes."""
+        ids, length = self._coded(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.begin, self.length = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.length, at, length)
-        self.flat = np.concatenate(ids)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.begin, self.length = np.insert(self.begin, at, len(self.flat) + np.cumsum(length) - length), np.insert(self.length, at, length)
+        self.text_begin, self.text_length = np.insert(self.text_begin, at, len(self.text) + np.cumsum(size) - size), np.insert(self.text_length, at, size)
+        self.flat = np.concatenate([self.flat, ids])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
 
     def _new(self, hashes: np.ndarray) -> np.ndarray:
         """Which of the hashes aren't known."""
@@ -72,21 +92,29 @@ class WordCoder:
 
     def encode(self, column: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of blocks of texts, each text closed by ``end``, and how many each text has."""
-        for block in blocks(column, SPACED, 1 << 21):
+        for block in blocks(column, SPACED, 1 << 21, fold=False):
             hashes, first, inverse = np.unique(block.hashes, return_index=True, return_inverse=True)
             new = self._new(hashes)
             if len(self.hashes) + len(new) > REMEMBERED:
                 self._forget()
                 new = np.arange(len(hashes))
+            data = block.data.tobytes()
+            words_at = lambda at: [data[a:b] for a, b in zip(block.start[at].tolist(), (block.start[at] + block.length[at]).tolist(), strict=True)]  # noqa: E731, B023
             if len(new):
-                data, at = block.data.tobytes(), first[new]
-                self._learn(hashes[new], [data[a:b] for a, b in zip(block.start[at].tolist(), (block.start[at] + block.length[at]).tolist(), strict=True)])
+                self._learn(hashes[new], words_at(first[new]))
             place = np.searchsorted(self.hashes, hashes)[inverse]
-            flat = self.flat
+            begin, length, flat = self.begin[place], self.length[place], self.flat
             flat[0] = end
+            alike = block.length == self.text_length[place]
+            odd = ~alike
+            odd[alike] = _differing(block.data, block.start[alike], self.text, self.text_begin[place[alike]], block.length[alike])
+            if odd.any():
+                ids, counts = self._coded(words_at(np.flatnonzero(odd)))
+                begin[odd], length[odd] = len(flat) + np.cumsum(counts) - counts, counts
+                flat = np.concatenate([flat, ids])
             # A text's end is one more word behind its own.
-            of_word = np.insert(self.begin[place], block.first[1:], 0)
-            n_of_word = np.insert(self.length[place], block.first[1:], 1)
+            of_word = np.insert(begin, block.first[1:], 0)
+            n_of_word = np.insert(length, block.first[1:], 1)
             stop = np.cumsum(n_of_word)
             ids = flat[np.repeat(of_word - (stop - n_of_word), n_of_word) + np.arange(stop[-1])]
             ends = stop[block.first[1:] + np.arange(len(block.first) - 1)]

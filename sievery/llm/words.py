@@ -4,8 +4,9 @@ The hot loops of the text operators need words, not strings: positions, equality
 words of a column of texts with a few NumPy passes over the UTF-8 bytes, a bounded block at a time, so that neither a
 batch of many texts nor one very long text needs more than a small multiple of its own size.
 
-A word is a maximal run of bytes of one class; ``A-Z`` counts as ``a-z``. Equal words have equal hashes; different
-words collide with a probability of about 2**-64 for each pair.
+A word is a maximal run of bytes of one class; ``A-Z`` counts as ``a-z`` unless letters are not folded. Equal words have
+equal hashes: a sum of the bytes with a weight of its own, odd and fixed, for each place. Words that differ in few or many
+places alike then meet by chance only, for two given words about once in 2**56; where that would matter, compare bytes.
 """
 
 from __future__ import annotations
@@ -41,16 +42,18 @@ PLAIN = _byte_class([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, dtype=np.uint64)
+_weights = np.zeros(0, dtype=np.uint64)
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 4096)
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, 0xC6A4A7935BD1E995 | 1, dtype=np.uint64))])
-    return _powers
+def _weights_of(n: int) -> np.ndarray:
+    """Weights of the first ``n`` places of a word, or more; they are kept for words of usual length."""
+    global _weights
+    if len(_weights) >= n:
+        return _weights
+    made = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * _MULTIPLIER) | np.uint64(1)
+    if n <= 1 << 16:
+        _weights = made
+    return made
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +105,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def _scan(data: np.ndarray, begin: np.ndarray, inside_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scan(data: np.ndarray, begin: np.ndarray, inside_of: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and length of each word of ``data``; no word crosses a position in ``begin``."""
     empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(data):
@@ -118,16 +121,16 @@ def _scan(data: np.ndarray, begin: np.ndarray, inside_of: np.ndarray) -> tuple[n
     at = np.arange(len(data), dtype=np.int64)
     at[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(data))))
     at[~inside] = 0
-    value = _LOWER[data].astype(np.uint64)
+    value = (_LOWER[data] if fold else data).astype(np.uint64)
     value += np.uint64(1)
-    value *= _power_table(int(at.max()) + 1)[at]
+    value *= _weights_of(int(at.max()) + 1)[at]
     value[~inside] = 0
     length = np.add.reduceat(inside.astype(np.int64), start)
     return mix(np.add.reduceat(value, start) + length.astype(np.uint64) * _LENGTH), start, length
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, inside_of: np.ndarray = SPACED, size: int = BLOCK) -> Iterator[Block]:
-    """The words of a column of texts, in blocks of whole texts of about ``size`` bytes, or of one longer text."""
+def blocks(column: pa.Array | pa.ChunkedArray, inside_of: np.ndarray = SPACED, size: int = BLOCK, fold: bool = True) -> Iterator[Block]:
+    """The words of a column of texts, in blocks of whole texts of about ``size`` bytes, or of one longer text. ``fold``: ``A-Z`` counts as ``a-z``."""
     data, offsets = utf8(column)
     low, n = 0, len(offsets) - 1
     while low < n:
@@ -135,14 +138,14 @@ def blocks(column: pa.Array | pa.ChunkedArray, inside_of: np.ndarray = SPACED, s
         piece = data[offsets[low] : offsets[high]]
         begin = offsets[low : high + 1] - offsets[low]
         if len(piece) <= 2 * size:
-            hashes, start, length = _scan(piece, begin[:-1], inside_of)
+            hashes, start, length = _scan(piece, begin[:-1], inside_of, fold)
         else:
             parts, at = [], 0
             while at < len(piece):
                 end = min(at + size, len(piece))
                 while end < len(piece) and inside_of[piece[end]]:
                     end += 1
-                got = _scan(piece[at:end], np.zeros(1, np.int64), inside_of)
+                got = _scan(piece[at:end], np.zeros(1, np.int64), inside_of, fold)
                 parts.append((got[0], got[1] + at, got[2]))
                 at = end
             hashes, start, length = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -295,6 +295,32 @@ def test_tokens(spark):
     assert tokens.read(spark, tokens.write(spark.createDataFrame([], "doc_id long, text string"), Workspace(spark).folder("t"), path)).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("mask", [(1 << 64) - 1, 3])  # with two bits, almost all words share a hash
+def test_word_coder(mask, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, scan = Tokenizer.from_file(path), words._scan
+    monkeypatch.setattr(words, "_scan", lambda *a: (scan(*a)[0] & np.uint64(mask), *scan(*a)[1:]))
+    special = ["a <|endoftext|> b <|ENDOFTEXT|> c", "x <|ENDOFTEXT|>", "<|endoftext|> é", "Don't DON'T <|StartOfText|><|startoftext|>"]
+    runs = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    for texts in (special, special[::-1], [*runs, " ".join(runs), "", None, "A a a A"]):
+        coder = tokens.WordCoder(path)
+        got = [x for ids, counts in coder.encode(pa.array(texts, pa.string()), 1) for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert [x.tolist() for x in got] == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_word_hashes_of_like_words():
+    runs = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    block = next(words.blocks(pa.array([" ".join(runs)])))
+    assert block.hashes[0] != block.hashes[1]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     values = rng.normal(size=(300, 12)).astype(np.float32)
