@@ -106,7 +106,8 @@ def mix(sizes: DataFrame, work: Workspace, seed: int = 0, fan_in: int = FAN_IN,
     """How often each row of ``sizes`` (doc_id, source, size) is taken: those columns, source_size, target, copies, taken.
 
     Rows with equal columns are rounded each on its own. Documents without words are never taken. Sources without words
-    have target 0. Null is a source of its own. An empty table gives an empty table. Repeated calls agree.
+    have target 0. Null is a source of its own. An empty table gives an empty table. Repeated calls agree. How long a text
+    is makes no difference, nor do other columns of ``sizes``, which are dropped.
     """
     targets = broadcast_if_small(work.table(source_targets(sizes, **rules), "targets"), SOURCES_BROADCAST)
     known = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(sizes["doc_id"], sizes["source"], "size", "source_size", "n_sized", "target")
@@ -115,7 +116,15 @@ def mix(sizes: DataFrame, work: Workspace, seed: int = 0, fan_in: int = FAN_IN,
     open_ = (F.col("size") > 0) & (F.col("part") > 0)
     leaves = F.greatest(F.ceil(F.col("n_sized") / F.lit(fan_in)), F.lit(1))
     key = F.struct(F.col("size").alias("size"), F.col("doc_id").alias("id"))
-    items = known.where(open_).select("source", F.pmod(F.xxhash64("doc_id", "size"), leaves).alias("node"), key.alias("key"), (F.col("part") * F.col("size")).alias("mass"))
+    # Rows that share source, id and size would all meet in one leaf: where there are many, their place in the table deals them.
+    crowds = work.table(sizes.groupBy("source", "doc_id", "size").count().where(F.col("count") > fan_in), "crowds")
+    dealt = F.xxhash64("doc_id", "size")
+    if not crowds.isEmpty():
+        crowds = broadcast_if_small(crowds.withColumn("crowded", F.lit(True)), SOURCES_BROADCAST)
+        same = known["source"].eqNullSafe(crowds["source"]) & known["doc_id"].eqNullSafe(crowds["doc_id"]) & (known["size"] == crowds["size"])
+        known = known.withColumn("place", F.monotonically_increasing_id()).join(crowds, same, "left").select(*[known[x] for x in known.columns], "place", "crowded")
+        dealt = F.when(F.col("crowded"), F.xxhash64("place")).otherwise(dealt)
+    items = known.where(open_).select("source", F.pmod(dealt, leaves).alias("node"), key.alias("key"), (F.col("part") * F.col("size")).alias("mass"))
     largest = targets.agg(F.max("n_sized")).first()[0] or 0
     nodes, level, decided = max(1, -(-largest // fan_in)), 0, []
     while True:
