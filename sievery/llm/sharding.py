@@ -1,9 +1,10 @@
 """Sharding by longest processing time: groups of equal texts, largest first, each to the least loaded shard.
 
-A heap over all groups would be a loop over the corpus. Groups of equal weight are interchangeable, so it suffices to
-know how many groups there are of each weight: the heap hands out runs of equal groups, and each group finds its run by
-its rank among those of its weight. The histogram that the driver sees has a row for each distinct weight, of which
-there are at most sqrt(2 * bytes of the corpus) and in practice as many as there are text lengths.
+A heap over all groups would be a loop over the corpus. Groups are therefore heavy or light: a heavy one has at least
+one part in ``BUNDLES`` of all bytes, so there are at most that many, and the light ones go together in bundles by the
+hash of their text, at most that many as well. The heap deals heavy groups and bundles, and what the driver sees is
+bounded whatever the corpus. In a small corpus all groups are heavy; in a large one the shards differ by less than the
+lightest of what the heap deals last, a few parts in ``BUNDLES``.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievery.storage import Workspace, broadcast_if_small
+from sievery.storage import Workspace
 
 SHARDS = 16
 CELLS = 1024
-RUNS_BROADCAST = 500_000
+#: Heavy groups and bundles of light ones that the driver deals, at most so many of each (50 bytes a row).
+BUNDLES = 1 << 16
 
 
 def dense_rank_in(df: DataFrame, keys: list[str], spread: list[str], order: list[str], name: str) -> DataFrame:
@@ -34,59 +36,37 @@ def dense_rank_in(df: DataFrame, keys: list[str], spread: list[str], order: list
     return ranked.join(offsets, [*keys, "_cell"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_cell", "_rank", "_before")
 
 
-def _filled(loads: list[int], weight: int, level: int) -> list[int]:
-    """Items of ``weight`` that each shard gets while its load is at most ``level``."""
-    return [(level - load) // weight + 1 if load <= level else 0 for load in loads]
+def longest_first(weights: list[int], shards: int) -> list[int]:
+    """The shard of each weight: heaviest first, ties in the order given, each to the least loaded shard."""
+    heap, homes = [(0, s) for s in range(shards)], [0] * len(weights)
+    for i in sorted(range(len(weights)), key=lambda i: -weights[i]):
+        load, home = heap[0]
+        homes[i] = home
+        heapq.heapreplace(heap, (load + weights[i], home))
+    return homes
 
 
-def longest_first(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """Runs (weight, shard, from rank, to rank) of ``count`` groups of each ``weight``, heaviest first, to ``shards`` shards.
-
-    The result is that of a heap which takes one group at a time. Of many groups of one weight the bulk is dealt at
-    once, up to the highest level that all of them reach, and the rest by the heap.
-    """
-    loads, runs = [0] * shards, []
-    for weight, count in sorted(histogram, reverse=True):
-        given = [0] * shards
-        if count > 4 * shards:
-            low, high = min(loads) - 1, min(loads) + weight * count
-            while low < high:
-                middle = (low + high + 1) // 2
-                if sum(_filled(loads, weight, middle)) <= count:
-                    low = middle
-                else:
-                    high = middle - 1
-            given = _filled(loads, weight, low)
-        heap = [(loads[s] + weight * given[s], s) for s in range(shards)]
-        heapq.heapify(heap)
-        for _ in range(count - sum(given)):
-            load, shard = heap[0]
-            given[shard] += 1
-            heapq.heapreplace(heap, (load + weight, shard))
-        at = 0
-        for shard, n in enumerate(given):
-            loads[shard] += weight * n
-            if n:
-                runs.append((weight, shard, at, at + n))
-                at += n
-    return runs
-
-
-def shard(docs: DataFrame, work: Workspace, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, work: Workspace, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row of ``docs`` (doc_id, text).
 
     Law ``bytes``: sizes (UTF-8 bytes and 1) of the shards are near equal, and equal texts share a shard. A null text
     counts as an empty one. Rows with null or repeated doc_id are placed like any other. ``slot`` counts from 0 in each
-    shard. An empty table gives an empty table.
+    shard. An empty table gives an empty table. A very long text is a heavy group of its own. Other columns are dropped.
     """
     spark = docs.sparkSession
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.md5(data)).alias("digest"))
     thin = work.table(thin, "thin")
-    groups = thin.groupBy("digest", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("weight"))
-    groups = work.table(dense_rank_in(groups, ["weight"], ["digest"], ["digest"], "rank"), "groups")
-    histogram = [(r[0], r[1]) for r in groups.groupBy("weight").count().toLocalIterator()]
-    runs = spark.createDataFrame(longest_first(histogram, shards), "weight long, shard int, low long, high long")
-    placed = groups.join(broadcast_if_small(runs, RUNS_BROADCAST), "weight").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("digest", "size", "shard")
-    dealt = work.table(thin.join(placed, ["digest", "size"]).drop("digest"), "dealt")
-    return dense_rank_in(dealt, ["shard"], ["doc_id", "text_crc32"], ["doc_id", "text_crc32", "size"], "slot")
+    unit = -(-(thin.agg(F.sum("size")).first()[0] or 1) // bundles)
+    groups = work.table(thin.groupBy("digest").agg(F.sum("size").alias("weight")), "groups")
+    bundle = F.pmod(F.xxhash64("digest"), F.lit(bundles))
+    heavy = groups.where(F.col("weight") >= unit).select("digest", F.lit(None).cast("long").alias("bundle"), "weight")
+    light = groups.where(F.col("weight") < unit).groupBy(bundle.alias("bundle")).agg(F.sum("weight").alias("weight")).select(F.lit(None).cast("binary").alias("digest"), "bundle", "weight")
+    dealt = sorted((tuple(r) for r in heavy.unionByName(light).collect()), key=lambda r: (r[0] is None, r[0] or b"", r[1] or 0))
+    homes = longest_first([r[2] for r in dealt], shards)
+    homes = spark.createDataFrame([(bytes(d) if d is not None else None, b, h) for (d, b, _), h in zip(dealt, homes, strict=True)], "digest binary, bundle long, shard int")
+    own = F.broadcast(homes.where(F.col("digest").isNotNull()).select("digest", F.col("shard").alias("own")))
+    shared = F.broadcast(homes.where(F.col("digest").isNull()).select("bundle", F.col("shard").alias("shared")))
+    placed = thin.withColumn("bundle", bundle).join(own, "digest", "left").join(shared, "bundle", "left")
+    placed = work.table(placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard")), "dealt")
+    return dense_rank_in(placed, ["shard"], ["doc_id", "text_crc32"], ["doc_id", "text_crc32", "size"], "slot")
