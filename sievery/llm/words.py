@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text taken at a time. Temporary arrays need about 40 bytes for each.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE = 5
 
 _LOWER = np.arange(256, dtype=np.uint8)
