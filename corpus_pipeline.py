@@ -2,6 +2,9 @@
 
 Each stage takes all that its predecessor kept. Its result has to be written before the next stage starts, as ``run``
 does: tables that a stage needed on the way are deleted then.
+
+For all stages: an empty table stays empty; further columns are kept, whatever their names; texts of any length are read
+whole; null ids and sources are values like others, and rows that repeat an id are judged by their own text.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievery.llm import decontamination, jaccard, language, mixing, tokens
+from sievery.llm.words import small_batches
 from sievery.storage import Workspace, broadcast_if_small
 
 #: Ids that a broadcast table may hold (16 bytes each).
@@ -28,12 +32,16 @@ def _workspace(spark: SparkSession) -> Workspace:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in one of the languages learned from the labelled documents, which also set the least score."""
+    """Keep documents in one of the languages learned from the labelled documents, which also set the least score.
+
+    Null and empty texts, and those without letters, are in none and go. Without labelled documents, none is kept.
+    """
     work = _workspace(spark)
     profiles = language.learn(docs)
-    told = work.table(docs.withColumn("_p", language.predicted(spark, F.col("text"), profiles)), "told")
-    least = language.least_score(told.select("lang", "_p.scores"), sorted(profiles))
-    return told.where((F.col("_p.lang") != language.UNKNOWN) & (F.col("_p.score") >= least)).drop("_p")
+    with small_batches(spark):
+        told = work.table(docs.select(F.struct("*").alias("row"), "lang", language.predicted(spark, F.col("text"), profiles).alias("told")), "told")
+    least = language.least_score(told.select("lang", "told.scores"), sorted(profiles))
+    return told.where((F.col("told.lang") != language.UNKNOWN) & (F.col("told.score") >= least)).select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,44 +50,45 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows are told apart by a number of their own, so repeated and missing ids decide nothing but the order.
     """
     work = _workspace(spark)
-    rows = work.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard.components(rows.select(F.col("_row").alias("doc_id"), "text"), work).where("n_shingles > 0")
-    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("place"))
-    found = work.table(found.select(F.col("doc_id").alias("_row"), "component_id"), "components")
+    rows = work.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    found = jaccard.components(rows.select(F.col("number").alias("doc_id"), "row.text"), work).where("n_shingles > 0")
+    order = rows.select("number", F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", F.xxhash64("row").alias("hash"), "number").alias("place"))
+    found = work.table(found.select(F.col("doc_id").alias("number"), "component_id"), "components")
     # Only components of several rows have copies.
-    several = found.where("_row <> component_id")
-    several = several.unionByName(several.select(F.col("component_id").alias("_row"), "component_id").distinct())
-    placed = work.table(several.join(order, "_row"), "placed")
+    several = found.where("number <> component_id")
+    several = several.unionByName(several.select(F.col("component_id").alias("number"), "component_id").distinct())
+    placed = work.table(several.join(order, "number"), "placed")
     first = work.table(placed.groupBy("component_id").agg(F.min("place").alias("first")), "first")
-    copies = work.table(placed.join(broadcast_if_small(first, IDS_BROADCAST), "component_id").where(F.col("_row") != F.col("first._row")).select("_row"), "copies")
-    return rows.join(broadcast_if_small(copies, IDS_BROADCAST), "_row", "left_anti").select(*docs.columns)
+    copies = work.table(placed.join(broadcast_if_small(first, IDS_BROADCAST), "component_id").where(F.col("number") != F.col("first.number")).select("number"), "copies")
+    return rows.join(broadcast_if_small(copies, IDS_BROADCAST), "number", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain an item of the benchmark."""
+    """Drop documents that contain an item of the benchmark. Null and empty texts contain none; an empty benchmark drops nothing."""
     _workspace(spark)
-    found = decontamination.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    found = decontamination.search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("items") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, 0 to 2 times. Texts without words are never taken."""
     work = _workspace(spark)
     plan = work.table(mixing.mix(mixing.document_sizes(docs, work), work), "plan").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "copies")
-    sized = docs.withColumn("_n", mixing.word_count(F.col("text")))
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
     key = ["_id", "_size", "_source"]
-    same = sized["doc_id"].eqNullSafe(F.col("_id")) & (sized["_n"] == F.col("_size")) & sized["source"].eqNullSafe(F.col("_source"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source"))
     if not plan.groupBy(*key).count().where("count > 1").isEmpty():
         # Rows that share id, size and source are the same to the mix; a turn tells them apart.
         plan = plan.withColumn("_turn", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"))))
-        sized = sized.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_n", "source").orderBy("text")))
-        same = sized["doc_id"].eqNullSafe(F.col("_id")) & (sized["_n"] == F.col("_size")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["_place"] == F.col("_turn"))
+        sized = sized.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "n", "source").orderBy("row.text")))
+        same = same & (F.col("place") == F.col("_turn"))
     met = sized.join(broadcast_if_small(plan.where("copies > 0"), IDS_BROADCAST), same)
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents; a row for each with its place in the stream, read from the files."""
+    """Token files of the documents; a row for each with its place in the stream, read from the files. A null or empty text has the end id alone."""
     import public_tokenizers
 
     folder = _workspace(spark).folder("tokens")
