@@ -77,3 +77,20 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect())
     assert kept == Counter([(5, text(0)), (9, text(1)), (7, text(2)), (None, text(3)), (8, text(4)), (None, ""), (None, ""), (5, None)])
+
+
+def test_stages_with_clashing_columns_long_texts_and_no_rows(spark):
+    clashing = "doc_id long, text string, lang string, source string, n_chars long, row long, told long, number long, items string, containment double, n long, place long, _id long, copies long, _size long, `_p` long"
+    more = (1, 2, 3, "kept", 0.5, 4, 5, 6, 7, 8, 9)
+    rows = [(i, t, lang, s, 0, *more) for i, t, lang, s in [(1, "the cat sat on the mat and the dog sat by the door of the house", "en", "s"), (2, "the people of the town went to the river with the children " * 20_000, "en", "s"), (3, "the long day of the river and the house by the sea was good", "en", None), (None, "the people and the sea", None, "t")]]
+    docs, work = spark.createDataFrame(rows, clashing), Workspace(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = work.table(stage(spark, spark.createDataFrame([], clashing), SF), name)
+        assert empty.count() == 0
+        docs = work.table(stage(spark, docs, SF), name)
+        if name != "token_output":
+            assert docs.columns == [f.split()[0].strip("`") for f in clashing.split(", ")] == empty.columns
+            assert all(tuple(r)[5:] == more for r in docs.collect())
+        if name in ("language_id", "ngram_jaccard_join", "decontaminate"):
+            assert {r.doc_id for r in docs.collect()} == {1, 2, 3, None}
+    assert docs.count() > 0
