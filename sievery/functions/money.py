@@ -6,13 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievery.functions.text import normalize_whitespace
+from sievery.functions.values import let
 
-CANADA = "(?i)\\b(?:canada|ontario|quebec|toronto|vancouver|montreal|british columbia)\\b"
-BRITAIN = "(?i)\\b(?:uk|united kingdom|england|london|scotland|wales)\\b"
-EURO_AREA = "(?i)\\b(?:eu|europe|germany|france|spain|italy|netherlands|ireland|berlin|paris|madrid)\\b"
-#: Fixed patterns of amounts, currencies and periods.
+# Places, amounts, currencies and periods.
+CANADA = "(?i)\\b(?:canada|ontario|quebec|toronto|vancouver|montreal|ottawa|calgary|edmonton|british columbia|alberta|manitoba|saskatchewan|nova scotia)\\b"
+BRITAIN = "(?i)\\b(?:uk|united kingdom|england|london|scotland|wales|northern ireland|manchester|birmingham|glasgow|edinburgh)\\b"
+EURO_AREA = "(?i)\\b(?:eu|european union|europe|austria|belgium|finland|france|germany|greece|ireland|italy|netherlands|portugal|spain|berlin|paris|madrid|dublin|lisbon|brussels|vienna|rome)\\b"
 AMOUNT = "(?:USD|CAD|EUR|GBP|US\\$|CA\\$|[$€£]|C\\$)?\\s*([0-9][0-9,]*\\.?[0-9]*)\\s*([kKmM]?)"
 MARKED = "(?i)(?:USD|CAD|EUR|GBP|US\\$|CA\\$|C\\$|[$€£])\\s*[0-9][0-9,]"
+NAMED = (("CAD", "(?i)\\bCAD\\b|CA\\$"), ("USD", "(?i)\\bUSD\\b|US\\$"), ("EUR", "(?i)\\bEUR\\b|€"), ("GBP", "(?i)\\bGBP\\b|£"))
+PLACED = (("CAD", CANADA), ("GBP", BRITAIN), ("EUR", EURO_AREA))
+WITHHELD = "(?i)\\b(?:salary not listed|compensation not listed|pay not listed|salary unavailable|compensation unavailable|not disclosed|undisclosed)\\b"
+VAGUE = "(?i)\\b(?:competitive|commensurate|depending on experience|doe)\\b"
+AT_MOST = "(?i)\\b(?:up to|maximum|max\\.?)\\b"
+AT_LEAST = "(?i)\\b(?:starting at|starts at|from|minimum|min\\.?)\\b|\\+$"
+SPLIT = "\\b[0-9]{1,3}\\s+[0-9]{3}\\b"
 PERIODS = (
     ("hour", "per hour|/\\s*hour|/\\s*hr|\\bhourly\\b"),
     ("day", "per day|/\\s*day|\\bdaily\\b"),
@@ -23,20 +31,15 @@ PERIODS = (
 
 
 def currency(pay: Column, location: Column | None = None) -> Column:
-    """Code of the currency that the text names, else the one of the place, else Unknown."""
+    """Code of the currency that the text names, else the one of the place, else Unknown; a dollar is Canadian in Canada only."""
     place = F.coalesce(location, F.lit("")) if location is not None else F.lit("")
-    return (
-        F.when(F.coalesce(normalize_whitespace(pay), F.lit("")) == "", "Unknown")
-        .when(pay.rlike("(?i)\\bCAD\\b|CA\\$"), "CAD")
-        .when(pay.rlike("(?i)\\bUSD\\b|US\\$"), "USD")
-        .when(pay.rlike("(?i)\\bEUR\\b|€"), "EUR")
-        .when(pay.rlike("(?i)\\bGBP\\b|£"), "GBP")
-        .when(pay.rlike("\\$"), F.when(place.rlike(CANADA), "CAD").otherwise("USD"))
-        .when(place.rlike(CANADA), "CAD")
-        .when(place.rlike(BRITAIN), "GBP")
-        .when(place.rlike(EURO_AREA), "EUR")
-        .otherwise("Unknown")
-    )
+    code = F.when(F.coalesce(normalize_whitespace(pay), F.lit("")) == "", "Unknown")
+    for name, pattern in NAMED:
+        code = code.when(pay.rlike(pattern), name)
+    code = code.when(pay.rlike("\\$"), F.when(place.rlike(CANADA), "CAD").otherwise("USD"))
+    for name, pattern in PLACED:
+        code = code.when(place.rlike(pattern), name)
+    return code.otherwise("Unknown")
 
 
 def period(pay: Column) -> Column:
@@ -67,29 +70,33 @@ def parse_range(pay: Column, location: Column | None = None) -> Column:
     """Pay as a struct: low, high, currency, period, visible.
 
     Two amounts or more are a range of the first two; one amount is both ends, unless the text says "up to" or "from".
-    An hourly rate of 5,000 or more is taken for a yearly one. Text that withholds pay is not visible; text that only
-    praises it is, without amounts.
+    An hourly rate of 5,000 or more is taken for a yearly one. Text that withholds pay, or is malformed, is not visible
+    and has no amounts; text that only praises it is visible, without amounts.
     """
-    text = normalize_whitespace(F.coalesce(pay, F.lit("")))
-    found, named = amounts(text), period(text)
-    withheld = text.rlike("(?i)\\b(?:salary not listed|compensation not listed|pay not listed|salary unavailable|compensation unavailable|not disclosed|undisclosed)\\b")
-    vague = text.rlike("(?i)\\b(?:competitive|commensurate|depending on experience|doe)\\b") & ~text.rlike(MARKED)
-    usable = (text != "") & ~withheld & ~vague & (F.size(found) > 0)
-    many, first, second = F.size(found) > 1, F.get(found, F.lit(0)), F.get(found, F.lit(1))
-    at_most = text.rlike("(?i)\\b(?:up to|maximum|max\\.?)\\b")
-    at_least = text.rlike("(?i)\\b(?:starting at|starts at|from|minimum|min\\.?)\\b") | text.rlike("\\+$")
     none = F.lit(None).cast("double")
-    low = F.when(many, F.least(first, second)).when(at_most, none).otherwise(first)
-    high = F.when(many, F.greatest(first, second)).when(at_most, first).when(at_least, none).otherwise(first)
-    large = F.exists(found, lambda a: a >= 1000) | _prepared(text).rlike("[kKmM]")
-    guessed = F.when(named == "Unknown", F.when(large, "year").otherwise("Unknown")).when((named == "hour") & F.exists(found, lambda a: a >= 5000), "year").otherwise(named)
-    return F.struct(
-        F.when(usable, low).alias("low"),
-        F.when(usable, high).alias("high"),
-        currency(text, location).alias("currency"),
-        F.when(usable, guessed).otherwise(named).alias("period"),
-        (usable | ((text != "") & ~withheld & vague)).alias("visible"),
-    )
+
+    def shaped(text: Column, found: Column) -> Column:
+        named = period(text)
+        withheld = text.rlike(WITHHELD) | (malformed(text) != "")
+        vague = text.rlike(VAGUE) & ~text.rlike(MARKED)
+        usable = (text != "") & ~withheld & ~vague & (F.size(found) > 0)
+        many, first, second = F.size(found) > 1, F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        at_most, at_least = text.rlike(AT_MOST), text.rlike(AT_LEAST)
+        large = F.exists(found, lambda a: a >= 1000) | _prepared(text).rlike("[kKmM]")
+        guessed = let(named, lambda n: F.when(n == "Unknown", F.when(large, "year").otherwise("Unknown")).when((n == "hour") & F.exists(found, lambda a: a >= 5000), "year").otherwise(n))
+
+        def ends(usable: Column) -> Column:
+            return F.struct(
+                F.when(usable, F.when(many, F.least(first, second)).when(at_most, none).otherwise(first)).alias("low"),
+                F.when(usable, F.when(many, F.greatest(first, second)).when(at_most, first).when(at_least, none).otherwise(first)).alias("high"),
+                currency(text, location).alias("currency"),
+                F.when(usable, guessed).otherwise(named).alias("period"),
+                (usable | ((text != "") & ~withheld & vague)).alias("visible"),
+            )
+
+        return let(usable, ends)
+
+    return let(normalize_whitespace(F.coalesce(pay, F.lit(""))), lambda text: let(amounts(text), lambda found: shaped(text, found)))
 
 
 def display(low: Column, high: Column, code: Column, unit: Column) -> Column:
@@ -113,13 +120,11 @@ def pattern_of(pay: Column) -> Column:
 
 
 def malformed(pay: Column) -> Column:
-    """Why a pay text cannot be meant, or the empty text."""
-    return (
-        F.when(pay.rlike("(?i)undefined|null|NaN|\\[object"), "placeholder")
-        .when(pay.rlike("[$€£]\\s*(?:-|–|—|$)"), "missing_amount")
-        .when(pay.rlike("[0-9],[0-9]{1,2}(?![0-9])"), "bad_grouping")
-        .otherwise("")
-    )
+    """Why a pay text cannot be meant, or the empty text: amounts that a space has split, or a range with zeros for an end."""
+    text = normalize_whitespace(F.coalesce(pay, F.lit("")))
+    named = text.rlike("[€$£]|usd|cad|eur|gbp") | text.rlike("(?i)(?:range|salary|compensation|pay).*(?:-|–|—|to)")
+    halves = text.rlike("(?i)salary\\s+0{2,}\\s*-\\s*\\$[0-9]") | text.rlike("\\$[0-9]{1,3}\\s+[0-9]{3}\\s*-\\s*\\$[0-9]{1,3}\\s+[0-9]{3}")
+    return F.when(text.rlike(SPLIT) & ~named, "malformed_split_salary_fragment").when(halves, "malformed_salary_range").otherwise("")
 
 
 def suspicious_downgrade(old_low: Column, old_high: Column, new_high: Column, new_period: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievery.functions.values import let
+
 
 def first_match(x: Column, rules: tuple[tuple[str, str], ...], otherwise: str | None = None) -> Column:
     """Label of the first (label, pattern) that matches the lower-cased text."""
@@ -16,19 +18,9 @@ def first_match(x: Column, rules: tuple[tuple[str, str], ...], otherwise: str |
 
 def classify(sources: list[tuple[Column, str]], rules: tuple[tuple[str, str], ...], otherwise: str) -> Column:
     """Label and confidence from several texts in order: the first text with a match decides, with its confidence."""
-    found = [F.when(first_match(text, rules).isNotNull(), F.struct(first_match(text, rules).alias("label"), F.lit(level).alias("confidence"))) for text, level in sources]
-    return F.coalesce(*found, F.struct(F.lit(otherwise).alias("label"), F.lit("low").alias("confidence")))
-
-
-WORKPLACES = (("Hybrid", "hybrid"), ("Remote", "remote|work from home|distributed|anywhere"), ("On-site", "on-?site|in[- ]office|in person"))
-EMPLOYMENT = (("Internship", "intern"), ("Fellowship", "fellow"), ("Contract", "contract|freelance|consult"), ("Temporary", "temporary|seasonal"), ("Part-time", "part[- ]?time"), ("Full-time", "full[- ]?time|permanent"))
 
+    def told(text: Column, level: str) -> Column:
+        return let(first_match(text, rules), lambda label: F.when(label.isNotNull(), F.struct(label.alias("label"), F.lit(level).alias("confidence"))))
 
-def workplace(*texts: Column) -> Column:
-    """From the first text that says so; where none does, On-site if any text is given, else null."""
-    said = F.coalesce(*[first_match(t, WORKPLACES) for t in texts])
-    return F.coalesce(said, F.when(F.coalesce(*texts).isNotNull(), "On-site"))
-
-
-def employment(x: Column) -> Column:
-    return first_match(x, EMPLOYMENT)
+    found = [told(text, level) for text, level in sources]
+    return F.coalesce(*found, F.struct(F.lit(otherwise).alias("label"), F.lit("low").alias("confidence")))

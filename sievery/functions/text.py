@@ -179,8 +179,9 @@ def attribute(html: Column, tag: str, name: str) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of anchors, in order, the first of equal ones."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit('<a[^>]*href="([^"]+)"'), F.lit(1)))
+    """Targets of anchors, in order, the first of equal ones; in double, single or no quotes, in any case."""
+    quoted = F.regexp_extract_all(html, F.lit("(?i)<a\\b[^>]*?\\bhref\\s*=\\s*(\"[^\"]+\"|'[^']+'|[^\\s\"'>]+)"), F.lit(1))
+    return F.array_distinct(F.transform(quoted, lambda t: F.regexp_replace(t, "^[\"']|[\"']$", "")))
 
 
 def title_case_keep(x: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def has_value(x: Column) -> Column:
     """Neither null nor blank."""
     return F.coalesce(F.trim(x.cast("string")) != "", F.lit(False))

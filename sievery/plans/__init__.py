@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievery.plans import aggregates, joins, merges, pages, records, states, texts, windows
+from sievery.plans import aggregates, curation, joins, merges, pages, records, states, texts, windows
 
-MODULES = (aggregates, joins, merges, pages, records, states, texts, windows)
+MODULES = (aggregates, curation, joins, merges, pages, records, states, texts, windows)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:

@@ -139,10 +139,16 @@ def anchors(df: DataFrame, html: str = "html") -> DataFrame:
 
 
 def dispatched(df: DataFrame, url: str = "url", payload: str = "payload") -> DataFrame:
-    """Rows of payloads from many providers, told apart by their address and each mapped in its way."""
-    named = df.withColumn("_provider", provider_of(F.col(url)))
-    parts = [from_json_provider(named.where(F.col("_provider") == name).drop("_provider"), name, payload) for name in PROVIDERS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Rows of payloads from many providers, told apart by their address and each mapped in its way, in one pass.
+
+    A payload of another provider, or one without jobs, keeps its row: the fields are null and ``raw_payload`` has it whole.
+    """
+    name = provider_of(F.col(url))
+    lists, paths = F.array().cast("array<string>"), {f: F.lit(None).cast("string") for f in FIELDS}
+    for provider, (roots, fields) in PROVIDERS.items():
+        lists = F.when(F.col("_provider") == provider, json_items(F.col(payload), *roots)).otherwise(lists)
+        for f in fields:
+            paths[f] = F.when(F.col("_provider") == provider, first_value(*[F.get_json_object("_job", p) for p in fields[f]])).otherwise(paths[f])
+    items = df.withColumn("_provider", name).withColumn("_job", F.explode_outer(lists))
+    kept = [c for c in df.columns if c != payload and c not in FIELDS]
+    return items.select(*kept, F.col("_provider").alias("provider"), *[paths[f].alias(f) for f in FIELDS], F.coalesce("_job", payload).alias("raw_payload"))

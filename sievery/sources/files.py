@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,12 +39,26 @@ def content_hash(df: DataFrame) -> str:
     return ":".join(str(x) for x in df.agg(F.count(F.lit(1)), *sums).first())
 
 
+def replace_table(df: DataFrame, path: str, form: str) -> None:
+    """Write beside the path, then swap: ``df`` may read the path, and a job that fails midway leaves the old table in place."""
+    spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
+    df.write.format(form).save(new)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = fs.exists(to_path(path))
+    if before:
+        fs.rename(to_path(path), to_path(old))
+    fs.rename(to_path(new), to_path(path))
+    if before:
+        fs.delete(to_path(old), True)
+
+
 def write_if_changed(df: DataFrame, path: str, schema: StructType) -> bool:
     """Write JSON unless the rows at the path are these already."""
     before = read_json(df.sparkSession, path, schema)
     if content_hash(before) == content_hash(df.select(*before.columns)) and not before.isEmpty():
         return False
-    df.write.mode("overwrite").json(path)
+    replace_table(df, path, "json")
     return True
 
 
@@ -58,7 +74,7 @@ def guarded_overwrite(df: DataFrame, current: DataFrame, path: str, key: str, ex
         lost = unexplained_drops(current, df, known, key).count()
         if lost:
             raise RefusedWrite(f"{lost} rows would go without being explained")
-    df.write.mode("overwrite").parquet(path)
+    replace_table(df, path, "parquet")
 
 
 def bytes_by_source(df: DataFrame, source: str) -> DataFrame:
@@ -74,7 +90,7 @@ def write_limited(df: DataFrame, path: str, source: str, most: int) -> None:
     if total > most:
         worst = ", ".join(f"{r[source]} {r['bytes']}" for r in sizes.limit(5).collect())
         raise RefusedWrite(f"{total} bytes of at most {most}; largest: {worst}")
-    df.write.mode("overwrite").json(path)
+    replace_table(df, path, "json")
 
 
 def page_manifest(pages: DataFrame, previous: DataFrame, key: str, inputs: list[Column]) -> DataFrame:
