@@ -55,6 +55,25 @@ def provider(x: Column, providers: tuple[tuple[str, str], ...] = PROVIDERS, othe
     return F.coalesce(found, F.lit(otherwise))
 
 
+#: Hosts of boards, whose names say nothing of the employer.
+BOARDS = "(?i)(?:greenhouse|workable|paylocity|ultipro|smartrecruiters|ashbyhq|bamboohr|recruitee|teamtailor)[.]"
+
+
+def board_page(x: Column) -> Column:
+    """The address of a posting for people, where a board's other form of it is known; else the address as it is."""
+    return F.regexp_replace(F.trim(x), "(?i)^https?://apply[.]workable[.]com/([^/]+)/jobs/view/([A-Z0-9]+)/?(?:[?#].*)?$", "https://apply.workable.com/$1/j/$2/")
+
+
+def organization(x: Column) -> Column:
+    """A struct of ``name`` and ``confidence`` that an address tells of an employer: a board's subdomain or first path, else the domain; null if none."""
+    slug = lambda s: F.initcap(F.trim(F.regexp_replace(s, "[-_]+", " ")))
+    told = lambda s, level: F.when(s != "", F.struct(slug(s).alias("name"), F.lit(level).alias("confidence")))
+    own = F.regexp_extract(host(x), "^([a-z0-9-]+)[.]teamtailor[.]com$", 1)
+    first = F.regexp_extract(F.coalesce(x, F.lit("")), "(?i)^https?://(?:boards[.]greenhouse[.]io|apply[.]workable[.]com)/([^/?#]+)", 1)
+    domain = F.when(host(x).rlike(BOARDS), "").otherwise(F.regexp_extract(host(x), "([^.]+)[.][^.]+$", 1))
+    return F.coalesce(told(own, "high"), told(first, "medium"), told(domain, "high"))
+
+
 def page_type(x: Column) -> Column:
     """Kind of a page by its address: the first rule that matches."""
     p = F.lower(path(x))

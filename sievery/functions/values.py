@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,3 +65,46 @@ def rate(part: Column, whole: Column, empty: int = 100) -> Column:
 
 def confidence(score: Column) -> Column:
     return F.when(score >= 85, "high").when(score >= 70, "medium").otherwise("low")
+
+
+def by_name(x: Column) -> Column:
+    """A key that sorts names as people do: accents and case count last."""
+    return F.collate(x, "UNICODE")
+
+
+#: Keys of an object that come first where it is made a text: fixed values.
+FIRST_KEYS = ("name", "title", "value", "label", "text", "summary", "location", "department", "team", "description", "descriptionPlain", "content", "html", "url")
+
+
+def flat_text(x: Column) -> Column:
+    """All texts and numbers in a JSON value, those of the keys that matter first, joined by spaces; other text as it is.
+
+    Nesting has no bound, hence a vectorised UDF.
+    """
+
+    @F.arrow_udf("string")
+    def flatten(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def walk(v) -> Iterator[str]:
+            if isinstance(v, dict):
+                for k in sorted(v, key=lambda k: FIRST_KEYS.index(k) if k in FIRST_KEYS else len(FIRST_KEYS)):
+                    yield from walk(v[k])
+            elif isinstance(v, list):
+                for each in v:
+                    yield from walk(each)
+            elif isinstance(v, str):
+                yield v
+            elif isinstance(v, (int, float)) and not isinstance(v, bool):
+                yield str(v)
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return " ".join(walk(json.loads(text)))
+            except ValueError:
+                return text
+
+        for batch in batches:
+            yield pa.array([one(t) for t in batch.to_pylist()], pa.string())
+
+    return flatten(x)

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievery.functions import pay, quality
-from sievery.operators import canonical, findings, lifecycle, triage
+from sievery.functions import article, pay, quality, url, values
+from sievery.operators import board, canonical, findings, keys, lifecycle, triage
 from sievery.plans.registry import Registry, Tables
 
 plan = Registry()
@@ -239,3 +239,90 @@ def manual_candidates(t: Tables) -> DataFrame:
         F.when(kind == 3, "").when(kind == 4, "https://example.org/news/1").otherwise(F.concat(F.lit("https://example.org/job/"), F.col("page_id").cast("string"))).alias("original_url"), F.lit("").alias("description"),
     )
     return triage.manual_candidates(rows).select("page_id", "manual.valid", "manual.bucket", "manual.reason")
+
+
+_CUT = "CASE WHEN length({0}) <= 170 THEN {0} WHEN length(regexp_extract(substr({0}, 1, 171), '(?s)^(.*) [^ ]*$', 1)) > 102 THEN trim(regexp_extract(substr({0}, 1, 171), '(?s)^(.*) [^ ]*$', 1), ' ') || '…' ELSE trim(substr({0}, 1, 170), ' ') || '…' END"
+
+
+@plan.query(f"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g'), ' ') AS x FROM documents WHERE NOT contains(coalesce(text, ''), '&')),
+s AS (SELECT *, list_filter(list_transform(regexp_extract_all(x, '([^.!?]+[.!?]+)', 1), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM t)
+SELECT doc_id, {_CUT.format('x')} AS short, coalesce(l[len(l)], x) AS last FROM s
+""")
+def article_excerpt(t: Tables) -> DataFrame:
+    """Texts cut at a word, and their last sentences."""
+    rows = t.documents.where(~F.contains(F.coalesce("text", F.lit("")), F.lit("&"))).select("doc_id", article.plain(F.col("text")).alias("x"))
+    return rows.select("doc_id", article.truncate_at_word(F.col("x")).alias("short"), article.last_sentence(F.col("x")).alias("last"))
+
+
+@plan.query("""
+SELECT page_id, CASE WHEN h = '' THEN NULL ELSE array_to_string(list_transform(string_split(trim(regexp_replace(h, '[-_]+', ' ', 'g'), ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS name
+FROM (SELECT page_id, regexp_extract(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www[.]', ''), '([^.]+)[.][^.]+$', 1) AS h FROM pages)
+""")
+def organization_from_url(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", url.organization(F.col("url"))["name"].alias("name"))
+
+
+@plan.query("""
+SELECT source, n, round(n * 100.0 / (SELECT count(*) FROM documents), 1) AS percent FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) WHERE n > 3
+""")
+def board_diversity(t: Tables) -> DataFrame:
+    return board.shares(t.documents, "source", 3)
+
+
+_AREAS = {"data": "data|number", "people": "people|team", "water": "water|river", "none": "zzzzzz"}
+
+
+@plan.query(" UNION ALL ".join(f"SELECT '{a}' AS area, count(*) FILTER (regexp_matches(lower(text), '{p}')) AS n FROM documents" for a, p in _AREAS.items()))
+def mission_areas(t: Tables) -> DataFrame:
+    return board.areas(t.documents, F.col("text"), _AREAS)
+
+
+@plan.query("""
+WITH pub AS (SELECT * FROM orders WHERE o_orderkey % 10 < 6), pen AS (SELECT * FROM orders WHERE o_orderkey % 10 >= 6)
+SELECT o_custkey, count(*) AS n, min(o_orderpriority) AS example FROM pen WHERE o_custkey NOT IN (SELECT o_custkey FROM pub) GROUP BY o_custkey HAVING count(*) >= 1
+""")
+def waiting_elsewhere(t: Tables) -> DataFrame:
+    named = t.orders.withColumn("title", F.col("o_orderpriority"))
+    return board.waiting_elsewhere(named.where("o_orderkey % 10 < 6"), named.where("o_orderkey % 10 >= 6"), "o_custkey", 1)
+
+
+@plan.query("""
+WITH pub AS (SELECT * FROM documents WHERE doc_id % 4 > 0), n AS (SELECT count(*) AS r, count(DISTINCT lower(source)) AS o, count(*) FILTER (regexp_matches(text, '^[)][ ]*[A-Z]')) AS b FROM pub),
+p AS (SELECT count(*) AS p, count(*) FILTER (lang <> 'en') AS f FROM documents WHERE doc_id % 4 = 0), g AS (SELECT count(*) AS g FROM documents WHERE doc_id % 8 = 0),
+a AS (SELECT count(*) AS a FROM (VALUES ('nowhere'), ('elsewhere')) v(name) WHERE name NOT IN (SELECT lower(source) FROM pub WHERE source IS NOT NULL)),
+c AS (SELECT 'failure' AS level, 'published_missing' AS "check", g AS n, g > 0 AS hit FROM g UNION ALL SELECT 'warning', 'expected_missing', a, a > 0 FROM a UNION ALL SELECT 'warning', 'broad_sources', f, f > p * 0.4 FROM p
+    UNION ALL SELECT 'failure', 'broken_opening', b, b > 0 FROM n UNION ALL SELECT 'warning', 'few_organizations', o, o < 15 FROM n UNION ALL SELECT 'warning', 'few', r, r < 30 FROM n UNION ALL SELECT 'failure', 'critically_few', r, r < 20 FROM n)
+SELECT level, "check", n FROM c WHERE hit
+""")
+def editorial_health(t: Tables) -> DataFrame:
+    """Documents as a board: three of four are public, the others pending, and every eighth was published and is gone."""
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("organization"), F.lit("").alias("salary"), F.col("text").alias("description"), "lang")
+    expected = t.spark.createDataFrame([("nowhere",), ("elsewhere",)], "name string")
+    return board.health(d.where("id % 4 > 0"), d.where("id % 4 = 0"), d.where("id % 8 = 0").select("id"), F.coalesce(F.col("lang") != "en", F.lit(False)), expected)
+
+
+@plan.query("""
+WITH arc AS (SELECT DISTINCT trim(text, ' ') AS k FROM documents WHERE doc_id % 5 = 0 AND trim(text, ' ') <> ''),
+f AS (SELECT CASE WHEN doc_id % 5 < 3 THEN 'public' ELSE 'pending' END AS dataset FROM documents WHERE doc_id % 5 > 0 AND trim(text, ' ') IN (SELECT k FROM arc))
+SELECT dataset, 'au' AS matched, count(*) AS n FROM f GROUP BY dataset
+""")
+def archive_diagnostics(t: Tables) -> DataFrame:
+    """Documents equal to an archived one, in two datasets; a key of the weak kind alone stops nothing."""
+    tagged = lambda d: keys.tagged(("au", F.md5(F.nullif(F.trim("text"), F.lit("")).cast("binary"))), ("ot", F.col("source")))
+    d = t.documents.withColumn("status", F.when(F.col("doc_id") % 5 == 0, "Archived").otherwise("live"))
+    archive = board.archive_of(d, tagged(d)).select(F.col("doc_id").alias("archive_id"), "keys")
+    rest = d.where("doc_id % 5 > 0").withColumn("keys", tagged(d))
+    return board.guard_diagnostics({"public": rest.where("doc_id % 5 < 3"), "pending": rest.where("doc_id % 5 >= 3")}, archive, "doc_id", "archive_id")
+
+
+@plan.query("""
+SELECT s_suppkey, row_number() OVER (ORDER BY lower(s_name), s_name, s_suppkey) AS place FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE s_name END AS s_name FROM supplier)
+QUALIFY place <= 20
+""")
+def name_sort(t: Tables) -> DataFrame:
+    """The first twenty suppliers by name as people sort names."""
+    named = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.lower("s_name")).otherwise(F.col("s_name")).alias("name"))
+    first = named.orderBy(values.by_name(F.col("name")), "s_suppkey").limit(20)
+    rows = first.agg(F.array_sort(F.collect_list(F.struct(values.by_name(F.col("name")).alias("name"), "s_suppkey"))).alias("l"))
+    return rows.select(F.posexplode("l").alias("at", "e")).select("e.s_suppkey", (F.col("at") + 1).cast("long").alias("place"))

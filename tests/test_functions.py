@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from sievery.functions import dates, fields, money, pay, quality, taxonomy, text, url, values
+from sievery.functions import article, dates, fields, money, pay, quality, taxonomy, text, url, values
 from sievery.operators import canonical, findings, lifecycle, state, triage
 from sievery.sources import connectors, files
 
@@ -281,3 +281,20 @@ def test_streaming(spark, tmp_path):
     query = replay.failure_streaks(stream(), "error").writeStream.format("memory").queryName("streaks").outputMode("update").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert max(r.streak for r in spark.table("streaks").where("user_id = 8").collect()) == 2
+
+
+def test_articles(of):
+    html = "<p>Share this now.</p><p>The river town has a new library, which opens to all in the spring of next year.</p><blockquote>Books are for everyone.</blockquote><h2>One</h2><h3>Two</h3>"
+    assert of(lambda h: article.excerpt(F.lit("d"), h, F.lit("Library")), html, "", "no markup at all") == ["The river town has a new library, which opens to all in the spring of next year.", "d", "no markup at all"]
+    assert of(lambda h: article.pull_quote(h, F.lit("x")), html, "<p>Short.</p>", "") == ["Books are for everyone.", "Short.", "x"]
+    assert of(article.contents, html) == [[Row(level=2, text="One"), Row(level=3, text="Two")]]
+    long_ = "This first sentence is long enough to be taken as one. Then more."
+    assert of(article.first_sentence, long_, "Short") == [long_[:54], "Short"]
+    assert of(article.last_sentence, long_, "none") == ["Then more.", "none"]
+    assert of(lambda x: article.truncate_at_word(x, 20), "one two three four five six") == ["one two three four…"]
+
+
+def test_addresses_and_json(of):
+    assert of(url.board_page, "https://apply.workable.com/acme/jobs/view/AB12/?x=1", "https://x.org/1") == ["https://apply.workable.com/acme/j/AB12/", "https://x.org/1"]
+    assert of(url.organization, "https://river-town.teamtailor.com/jobs", "https://boards.greenhouse.io/blue_sky/jobs/1", "https://www.acme.org/x", "https://jobs.ashbyhq.com/acme", "none") == [Row(name="River Town", confidence="high"), Row(name="Blue Sky", confidence="medium"), Row(name="Acme", confidence="high"), None, None]
+    assert of(values.flat_text, '{"z":"last","title":"first","n":{"a":[1,true,"x"]}}', "plain", None) == ["first last 1 x", "plain", None]
