@@ -284,8 +284,8 @@ def test_streaming(spark, tmp_path):
 
 
 def test_articles(of):
-    html = "<p>Share this now.</p><p>The river town has a new library, which opens to all in the spring of next year.</p><blockquote>Books are for everyone.</blockquote><h2>One</h2><h3>Two</h3>"
-    assert of(lambda h: article.excerpt(F.lit("d"), h, F.lit("Library")), html, "", "no markup at all") == ["The river town has a new library, which opens to all in the spring of next year.", "d", "no markup at all"]
+    html = "<p>Share this now.</p><p>The river town has a new library, which opens to all in the spring of the coming year, they say.</p><blockquote>Books are for everyone.</blockquote><h2>One</h2><h3>Two</h3>"
+    assert of(lambda h: article.excerpt(F.lit("d"), h, F.lit("Library")), html, "", "no markup at all") == ["The river town has a new library, which opens to all in the spring of the coming year, they say.", "d", "no markup at all"]
     assert of(lambda h: article.pull_quote(h, F.lit("x")), html, "<p>Short.</p>", "") == ["Books are for everyone.", "Short.", "x"]
     assert of(article.contents, html) == [[Row(level=2, text="One"), Row(level=3, text="Two")]]
     long_ = "This first sentence is long enough to be taken as one. Then more."
