@@ -12,7 +12,7 @@ from sievery.functions.values import first_value
 CLOSED = (
     r"(?i)\b(?:applications? closed|no longer accepting applications|closed for applications|new applications are no longer being accepted)\b",
     r"(?i)\b(?:position has been filled|this role has been filled|job is no longer available|(?:position|role) (?:is |has been )?closed)\b",
-    r"(?i)\b404\b|\bpage not found\b|\bthe page you are looking for does not exist\b|\bpage may have moved\b|\bnot found\b",
+    r"(?i)404\b|\bpage not found\b|\bthe page you are looking for does not exist\b|\bpage may have moved\b|\bnot found\b",
 )
 ALIASES = {
     "external_id": ("external_id", "externalId", "requisition_id"),

@@ -42,7 +42,7 @@ def _postings(t: Tables) -> DataFrame:
         return chosen
 
     said = F.replace(F.replace(shape(4), F.lit("{a}"), low), F.lit("{b}"), high)
-    url = F.concat(F.lit("https://jobs.example.org/job/"), key.cast("string"), F.when(kind == 5, "/feed.xml").otherwise(""))
+    url = F.concat(F.lit("https://jobs.example.org/job/"), key.cast("string"), F.when(kind == 5, "x/feed.xml").otherwise("x"))
     return t.part.select(
         "p_partkey", kind.alias("kind"), shape(0).alias("title"), shape(1).alias("location"), shape(2).alias("workplace_type"), shape(3).alias("organization"),
         F.concat(F.lit("<p>The person leads work on climate and energy with the team, writes, plans and reports.</p><p>"), said, F.lit("</p>")).alias("description"),
