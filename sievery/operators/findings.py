@@ -17,6 +17,8 @@ MODES = ("remote", "hybrid", "on-site", "on site")
 DEAD_STATES = ("closed", "expired", "removed", "archived")
 LOW_PAY, HIGH_PAY = (0.0, 6.0), 500_000.0
 
+LOWERED = ("title", "location", "workplace_type", "description", "source_url", "apply_url", "status")
+
 #: Checks whose findings a repair can mend; records with others need a person.
 REPAIRABLE = ("work_mode", "structure", "title_location", "description")
 
@@ -33,9 +35,9 @@ def _starts(x: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def cases(job: quality.Fields, description: Column) -> list[tuple[str, str, str, Column]]:
-    """check, issue, field and condition of all findings; ``description`` keeps its line ends."""
-    low = {x: F.lower(job[x]) for x in ("title", "location", "workplace_type", "description", "source_url", "apply_url", "status")}
-    raw, said = job["raw_salary"], F.coalesce(description, F.lit(""))
+    """check, issue, field and condition of all findings; ``description`` keeps its line ends, and ``low_...`` are fields in lower case."""
+    low = {x: job[f"low_{x}"] for x in LOWERED}
+    raw, said = job["raw_salary"], description
     amount = F.regexp_extract(F.regexp_replace(job["salary"], "[$,£€¥]", ""), r"^ *([0-9]+(?:[.][0-9]+)?)", 1).try_cast("double")
     whole = F.regexp_extract(F.regexp_replace(raw, "[$,£€¥ ]", ""), r"^([0-9]+(?:[.][0-9]+)?)", 1).try_cast("double")
     letters = F.length(F.regexp_replace(raw, "[^a-zA-Z]", ""))
@@ -74,9 +76,14 @@ def cases(job: quality.Fields, description: Column) -> list[tuple[str, str, str,
 def findings(df: DataFrame, id_: str) -> DataFrame:
     """id, check, issue and field of each finding in ``df``; columns that it lacks find nothing, nor do nulls."""
     job = quality.of(df)
-    description = F.col("description").cast("string") if "description" in df.columns else F.lit("")
-    told = [F.when(c, F.struct(F.lit(check).alias("check"), F.lit(issue).alias("issue"), F.lit(field).alias("field"))) for check, issue, field, c in cases(job, description)]
-    return df.select(F.col(id_), F.explode(F.array_compact(F.array(*told))).alias("f")).select(id_, "f.*")
+    used = ("title", "location", "workplace_type", "description", "source_url", "apply_url", "status", "salary", "raw_salary", "external_id", "published", "manual_pay_approved")
+    whole = F.col("description").cast("string") if "description" in df.columns else F.lit("")
+    # Fields are columns of their own, made once, however many cases read them.
+    step = df.select(F.col(id_).alias("id_"), F.coalesce(whole, F.lit("")).alias("whole_"), *[job[x].alias(f"{x}_") for x in used])
+    step = step.withColumns({f"low_{x}": F.lower(f"{x}_") for x in LOWERED})
+    made = quality.Fields({x: F.col(f"{x}_") for x in used} | {f"low_{x}": F.col(f"low_{x}") for x in LOWERED})
+    told = [F.when(c, F.struct(F.lit(check).alias("check"), F.lit(issue).alias("issue"), F.lit(field).alias("field"))) for check, issue, field, c in cases(made, F.col("whole_"))]
+    return step.select(F.col("id_").alias(id_), F.explode(F.array_compact(F.array(*told))).alias("f")).select(id_, "f.*")
 
 
 def routed(found: DataFrame, id_: str) -> DataFrame:
