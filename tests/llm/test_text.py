@@ -111,6 +111,7 @@ def corpus(seed, n=40):
 def test_jaccard(spark, seed, monkeypatch):
     if seed == 2:  # many regions need rounds of pivots
         monkeypatch.setattr(jaccard, "SMALL", 2)
+        monkeypatch.setattr(jaccard, "LARGE", 3)
         monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
     rows = list(enumerate(corpus(seed)))
     got = jaccard.components(docs(spark, [t for _, t in rows]), Workspace(spark)).collect()
