@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from sievery.llm.words import blocks, shingle_sets, shingles
+from sievery.llm.words import blocks, shingle_sets, shingles, small_batches
+from sievery.storage import Workspace
 
 #: Least share of an item's shingles, in hundredths.
 PERCENT = 75
@@ -88,34 +89,43 @@ def _search_all(shared, percent: int):
 
 
 def _search_joined(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The same through joins on shingles, for an index that is too large to broadcast."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    """The same through joins on shingles, for an index that is too large to broadcast.
+
+    Texts are taken apart once; of their shingles only those that some item has are written, with the number of their row.
+    """
+    work = Workspace(docs.sparkSession)
+    rows = work.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
-            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["_key", "hash"])
-
-    of_docs = keyed.select("_key", F.col("text").cast("string")).mapInArrow(explode, "_key long, hash long").distinct()
-    size = F.udf(lambda n: minima(n, percent), "int")
-    sized = items.withColumn("n", F.size("hashes")).withColumn("set", F.xxhash64("hashes"))
-    signature = sized.select("item_id", "set", "n", F.explode(F.slice("hashes", F.lit(1), size("n"))).alias("hash"))
+            for key, found in zip(batch.column(0), shingle_sets(batch.column(1)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(found)), pa.array(found.view(np.int64))], ["key", "hash"])
+
+    sized = items.withColumns({"n": F.size("hashes"), "set": F.xxhash64("hashes")})
+    sized = work.table(sized, "items")
     whole = sized.select("item_id", "set", F.explode("hashes").alias("hash"))
-    candidates = of_docs.join(signature, "hash").select("_key", "item_id", "set", "n").distinct()
-    shared = candidates.join(whole, ["item_id", "set"]).join(of_docs, ["_key", "hash"])
-    hits = shared.groupBy("_key", "item_id", "set", "n").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") * 100 >= F.col("n") * percent)
-    by_doc = hits.groupBy("_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("share") / F.col("n")).alias("containment"))
-    none = F.array().cast("array<long>")
-    return keyed.join(by_doc, "_key", "left").withColumns({"items": F.coalesce("items", none), "containment": F.coalesce("containment", F.lit(0.0))}).drop("_key")
+    with small_batches(docs.sparkSession):
+        exploded = rows.select("key", F.col("row.text")).mapInArrow(explode, "key long, hash long")
+        of_docs = work.table(exploded.join(whole.select("hash").distinct(), "hash", "left_semi"), "shingles")
+    # As ``minima``: the largest size of the partition is the next power of two.
+    largest = F.expr("if(n = 1, 1L, shiftleft(1L, length(bin(n - 1))))")
+    minima_of = F.least(F.col("n"), F.floor(largest * (100 - percent) / 100) + 1).cast("int")
+    signature = sized.select("item_id", "set", "n", F.explode(F.slice("hashes", F.lit(1), minima_of)).alias("hash"))
+    candidates = of_docs.join(signature, "hash").select("key", "item_id", "set", "n").distinct()
+    shared = candidates.join(whole, ["item_id", "set"]).join(of_docs, ["key", "hash"])
+    hits = shared.groupBy("key", "item_id", "set", "n").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") * 100 >= F.col("n") * percent)
+    by_row = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("share") / F.col("n")).alias("containment"))
+    met = rows.join(work.table(by_row, "hits"), "key", "left")
+    return met.select("row.*", F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 
 def search(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast: int = BROADCAST) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``items``, the ids of the items that the text contains, and ``containment``, the largest share.
 
     An item of fewer than five words is found only in a text of just these words. Null and empty texts contain nothing,
-    nor are null and empty items found. Columns of ``docs`` named items or containment are replaced. Rows are judged
-    each for itself, repeated and null ids included.
+    nor are null and empty items found. Columns of ``docs`` named items or containment are replaced, others are kept
+    whatever their names. Rows are judged each for itself, repeated and null ids included, and texts of any length are
+    read whole. No documents give no rows, and without items nothing is contained.
     """
     docs = docs.drop("items", "containment").withColumn("text", F.col("text").cast("string"))
     items = item_sets(benchmark)

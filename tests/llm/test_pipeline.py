@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
+from sievery.llm import jaccard
 from sievery.storage import Workspace
 from tests.llm.test_text import brute_components, shingled
 
@@ -51,7 +54,9 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
 
-def test_mix_repeated_rows(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_mix_repeated_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(corpus_pipeline, "IDS_BROADCAST", broadcast)
     rows = [(1, "a b c", "en", "s", 5)] * 3 + [(1, "d e f", "en", "s", 5), (None, "x", "en", None, 1), (2, "g h", "en", "t", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
@@ -71,7 +76,10 @@ def test_language_id_drops_gibberish_and_unlearned_languages(spark):
     assert kept == {r.doc_id for r in docs.collect()} | {10**6 + i for i in range(len(clean))}
 
 
-def test_near_copies_with_repeated_and_null_ids(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_near_copies_with_repeated_and_null_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(corpus_pipeline, "IDS_BROADCAST", broadcast)
+    monkeypatch.setattr(jaccard, "IDS_BROADCAST", broadcast)
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
     rows = [(5, text(0)), (9, text(0)), (9, text(1)), (7, text(2)), (7, text(2)), (7, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (8, text(4)), (None, ""), (None, ""), (5, None)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")

@@ -131,7 +131,8 @@ def test_decontamination(spark):
     texts = [*ODD, *(fresh(50) for _ in range(5))]
     for item in items[:7]:
         texts += [item, fresh(300) + " " + item.upper() + " " + fresh(200), fresh(9) + " " + " ".join(item.split()[: max(1, len(item.split()) * 3 // 4)]) + " " + fresh(5), edited(rng, item, 0.02) + " " + fresh(30)]
-    table = docs(spark, texts, [(None, items[4])]).withColumnRenamed("lang", "items")
+    texts.append(fresh(60_000) + " " + items[5] + " " + fresh(60_000))
+    table = docs(spark, texts, [(None, items[4])]).withColumnRenamed("lang", "items").withColumnsRenamed({"source": "_key", "n_chars": "key"})
     benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(4, items[4]), (None, items[5])], "item_id long, text string")
     expected = {}
     for i, t in [*enumerate(texts), (None, items[4])]:
@@ -141,7 +142,8 @@ def test_decontamination(spark):
         found = decontamination.search(table, benchmark, broadcast=limit)
         got = {r.doc_id: r for r in found.collect()}
         assert {i: r["items"] for i, r in got.items()} == expected
-        assert all((r.containment >= 0.75) == bool(r["items"]) for r in got.values())
+        assert all((r.containment >= 0.75) == bool(r["items"]) and (r["_key"], r["key"]) == ("s", 0) for r in got.values())
+        assert decontamination.search(docs(spark, []), benchmark, broadcast=limit).count() == 0
     assert sum(map(bool, expected.values())) > 12
     assert decontamination.search(docs(spark, []), benchmark).count() == 0
     assert decontamination.search(table, benchmark.limit(0)).where("containment > 0").count() == 0
