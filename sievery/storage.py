@@ -11,12 +11,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
+
+#: Bytes of text and nested values that a broadcast table may hold.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests on one machine), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and Spark runs on this machine alone (tests), a temporary folder.
+
+    On a cluster the executors would not see each other's temporary folders, so there the setting is required.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master or 'the cluster'} share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,6 +54,14 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, which takes a count; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and at most ``size`` bytes of text and nested values.
+
+    To tell takes a pass over ``df``. Beyond either bound it is returned as it is, to be shuffled.
+    """
+    held = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        if not isinstance(field.dataType, (NumericType, BooleanType, DatetimeType)):
+            held = held + F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
+    found = df.select(held.alias("held")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("held").alias("held")).first()
+    return F.broadcast(df) if found.n <= rows and (found.held or 0) <= size else df

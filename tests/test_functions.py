@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from sievery import storage
 from sievery.functions import article, dates, fields, money, pay, quality, taxonomy, text, url, values
 from sievery.operators import canonical, findings, lifecycle, state, triage
 from sievery.sources import connectors, files
@@ -298,3 +299,23 @@ def test_addresses_and_json(of):
     assert of(url.board_page, "https://apply.workable.com/acme/jobs/view/AB12/?x=1", "https://x.org/1") == ["https://apply.workable.com/acme/j/AB12/", "https://x.org/1"]
     assert of(url.organization, "https://river-town.teamtailor.com/jobs", "https://boards.greenhouse.io/blue_sky/jobs/1", "https://www.acme.org/x", "https://jobs.ashbyhq.com/acme", "none") == [Row(name="River Town", confidence="high"), Row(name="Blue Sky", confidence="medium"), Row(name="Acme", confidence="high"), None, None]
     assert of(values.flat_text, '{"z":"last","title":"first","n":{"a":[1,true,"x"]}}', "plain", None) == ["first last 1 x", "plain", None]
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    table = spark.createDataFrame([(i, "é" * 10, (i, "x" * 5), None) for i in range(20)], "id long, name string, pair struct<a:long,b:string>, none string")
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(storage.broadcast_if_small(table, 20)) and not hinted(storage.broadcast_if_small(table, 19))
+    assert not hinted(storage.broadcast_if_small(table, 20, 399)) and hinted(storage.broadcast_if_small(table.select("id"), 20, 0))
+    assert hinted(storage.broadcast_if_small(table.where("id < 0"), 0, 0))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        def __init__(self, master):
+            self.conf, self.set = self, {"spark.master": master}.__setitem__
+            self.get = {"spark.master": master}.get
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_folder(Unset(master))
+    assert storage.shared_folder(Unset("local[2]")).startswith("file://")
