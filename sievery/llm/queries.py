@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievery.llm import topk
+from sievery.llm import merkle, topk
 from sievery.storage import Workspace
 
 
@@ -88,6 +88,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.verified(_table(spark, sf_dir, "documents"), Workspace(spark), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_search": op1_search,
     "op2_mix": op2_mix,
@@ -99,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm": op8_ppm,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_merkle": op11_merkle,
 }
-SQL: dict[str, str] = {"op1_search": topk.SQL}
+SQL: dict[str, str] = {"op1_search": topk.SQL, "op11_merkle": merkle.SQL}
