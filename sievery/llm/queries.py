@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievery.llm import merkle, topk
+from sievery.llm import collocations, merkle, topk
 from sievery.storage import Workspace
 
 
@@ -94,6 +94,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), Workspace(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_search": op1_search,
     "op2_mix": op2_mix,
@@ -106,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
     "op11_merkle": op11_merkle,
+    "op12_collocations": op12_collocations,
 }
-SQL: dict[str, str] = {"op1_search": topk.SQL, "op11_merkle": merkle.SQL}
+SQL: dict[str, str] = {"op1_search": topk.SQL, "op11_merkle": merkle.SQL, "op12_collocations": collocations.SQL}
