@@ -98,6 +98,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievery.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", toxicity.held_out(F.col("doc_id")).alias("held_out"))
+    model = toxicity.learn(docs.where(~F.col("held_out")), _table(spark, sf_dir, "labels"), Workspace(spark))
+    spans = F.transform("blamed", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"), F.array_join(spans, ",").alias("blamed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_search": op1_search,
     "op2_mix": op2_mix,
@@ -111,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_merkle": op11_merkle,
     "op12_collocations": op12_collocations,
+    "op13_toxicity": op13_toxicity,
 }
 SQL: dict[str, str] = {"op1_search": topk.SQL, "op11_merkle": merkle.SQL, "op12_collocations": collocations.SQL}
