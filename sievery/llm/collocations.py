@@ -1,14 +1,16 @@
 """Collocations: phrases of two to four words that stick together, with exact counts.
 
-Three passes over the texts. The first sketches all phrases: each adds to one cell of a table that has about as many cells
-as the texts have phrases, so a cell's sum bounds the counts of its phrases from above. Tasks hand on the cells that
-they touched, in blocks, and blocks are summed where they meet. The second pass collects the phrases of heavy cells, the
-candidates. They are compiled into Aho-Corasick automata whose letters are words: each word of a candidate is one letter,
-and all other words and the ends of pieces are a delimiter, so no match starts or ends within a word or crosses a
-piece. The third pass scans all texts with them, counts overlapping matches, and sums; then the thresholds apply.
-
-A sketch has one row, for a wider table does more than a second one here: what a cell lets through wrongly is counted
-exactly and dropped. Where heavy cells are many, they are taken in batches, with the last two passes for each.
+Three passes over the texts. The first sketches all phrases: each adds to one cell of a table that is wider than the texts
+have phrases, so a cell's sum bounds the counts of its phrases from above. Tasks hand on the cells that they touched, in
+blocks, and blocks are summed where they meet. The second pass collects the phrases of heavy cells, the candidates: of
+each cell the task reports that added most to it. They are compiled into Aho-Corasick automata over coded words: each word
+of a candidate is a code of some letters, with letters of its own for each place of the code, and all other words and the
+ends of pieces are a delimiter, so no match starts or ends within a word or crosses a piece. The third pass scans all texts
+with them, counts overlapping matches, and sums; then the thresholds apply.
+
+What a cell lets through wrongly is counted exactly and dropped. Where the exact counts of a cell's candidates leave so much
+of its sum that another phrase might be frequent, all tasks report that cell, and its phrases are counted too. Where heavy
+cells are many, they are taken in batches, with the last two passes for each.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,14 +40,16 @@ TOP = 2000
 COVERED = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Heavy cells of a batch. The candidates of a batch, up to twice as many and some 100 bytes each, are what the driver and a worker hold at a time.
+#: Heavy cells of a batch. Its candidates, about as many and some hundred bytes each, are what the driver and a worker hold at a time.
 BATCH = 1 << 20
-#: Words of an automaton: fewer than there are code points for its letters.
-LETTERS = 1 << 20
-#: Blocks that the sketch is dealt out in, as a power of two.
-BLOCKS = 12
-#: Phrases that a task holds before it passes their cells on, and candidates that it knows to have passed on.
-HELD = 1 << 22
+#: Letters for a place of a word's code: few, for automata look for the next letter one by one.
+LETTERS = 60
+#: Blocks that the sketch is dealt out in, and cells for each two bytes of text, as powers of two.
+BLOCKS, SPARE = 11, 10
+#: Bits of a cell, at least and at most.
+BITS = 16, 60
+#: Phrases that a task holds before it passes their cells on.
+HELD = 1 << 20
 #: Bytes of text that are coded at a time.
 PIECE = 1 << 20
 #: Tasks that rank the candidates of a language before one takes the best of these.
@@ -54,7 +59,6 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _PHRASE = _byte_class([(0x20, 0x20), (0x09, 0x09), *[(b, b) for b in _BREAKS]])
 _IS_BREAK = ~_byte_class([(b, b) for b in _BREAKS])
 _BREAK = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
-_DELIMITER = "\0"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,29 +92,30 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, list[
             yield Phrases(block, of_block), of_block
 
 
-def packed(cells: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Ascending cells as the bytes of their differences, by place, and counts up to 255, so that shuffles compress them well."""
-    return np.diff(cells, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, those of equal weight together, which shuffles compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def unpacked(cells: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(cells, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+def unpacked(values: bytes) -> np.ndarray:
+    return np.frombuffer(values, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
 def _sketch(bits: int):
-    """Cells of the phrases, with counts, by block: the first bits of a cell."""
+    """Cells of the phrases, as differences, with counts, by block: the first bits of a cell."""
     inner = np.uint64(bits - min(BLOCKS, bits))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        task = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             cells, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             held.clear()
             block, first = np.unique(cells >> inner, return_index=True)
             ends = np.append(first, len(cells))
-            rows = [packed(cells[a:b], counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            return pa.RecordBatch.from_pydict({"block": pa.array(block.astype(np.int64)), "cells": pa.array([c for c, _ in rows], pa.binary()), "counts": pa.array([n for _, n in rows], pa.binary())})
+            rows = [(packed(np.diff(cells[a:b], prepend=np.uint64(0))), packed(counts[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return pa.RecordBatch.from_pydict({"block": pa.array(block.astype(np.int64)), "task": pa.array([task] * len(rows), pa.int32()), "cells": pa.array([c for c, _ in rows], pa.binary()), "counts": pa.array([n for _, n in rows], pa.binary())})
 
         for phrases, _ in _phrases(batches):
             held.append(phrases.hashes >> np.uint64(64 - bits))
@@ -122,83 +127,80 @@ def _sketch(bits: int):
 
 
 def _heavy(least: int):
+    """Of a block the cells with a sum of ``least`` or more, their sums, and the tasks that add most to them."""
+
     def heavy(parts: pa.Table) -> pa.Table:
-        cells = np.concatenate([unpacked(c) for c in parts["cells"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(n, np.uint8) for n in parts["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(cells, kind="stable")
+        each = [np.cumsum(unpacked(c), dtype=np.uint64) for c in parts["cells"].to_pylist()]
+        cells, counts = np.concatenate(each), np.concatenate([unpacked(n) for n in parts["counts"].to_pylist()]).astype(np.int64)
+        task = np.repeat(parts["task"].to_numpy(), [len(c) for c in each])
+        order = np.lexsort((counts, cells))
         cells, first = np.unique(cells[order], return_index=True)
-        # A count of 255 stands for any higher one.
-        found = cells[np.add.reduceat(counts[order], first) >= least] if len(cells) else cells
-        return pa.table({"block": parts["block"].combine_chunks()[:1], "cells": [found.tobytes()], "n": pa.array([len(found)], pa.int64())})
+        sums, last = np.add.reduceat(counts[order], first), np.append(first[1:], len(order)) - 1
+        at = np.flatnonzero(sums >= least)
+        return pa.table({"block": pa.array([parts["block"][0].as_py()] * len(at), pa.int64()), "cell": pa.array(cells[at].astype(np.int64)), "total": pa.array(sums[at]), "task": pa.array(task[order][last[at]], pa.int32())})
 
     return heavy
 
 
-def _collect(bits: int, shared):
-    """The distinct phrases of heavy cells; a task may repeat some."""
+def _collect(bits: int, shared, everywhere: bool):
+    """The distinct phrases of heavy cells, of those that the task is to report or of all; ``everywhere``, a task may repeat some."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = np.frombuffer(shared.value, np.uint64)
+        heavy, tasks = (np.frombuffer(x, np.int64) for x in shared.value)
+        heavy = (heavy if everywhere else heavy[tasks == TaskContext.get().partitionId()]).astype(np.uint64)
         known: set[int] = set()
-        for phrases, langs in _phrases(batches):
+        for phrases, langs in _phrases(batches) if len(heavy) else ():
             cells = phrases.hashes >> np.uint64(64 - bits)
             at = np.flatnonzero(heavy[np.minimum(np.searchsorted(heavy, cells), len(heavy) - 1)] == cells)
             new, first = np.unique(phrases.hashes[at], return_index=True)
-            new = [i for i, h in zip(at[first].tolist(), new.tolist(), strict=True) if h not in known]
-            at = np.array(new, np.int64)
-            if len(known) > HELD // 4:
-                known.clear()
+            at = np.array([i for i, h in zip(at[first].tolist(), new.tolist(), strict=True) if h not in known], np.int64)
             known.update(phrases.hashes[at].tolist())
             lang = [langs[i] for i in phrases.text[phrases.first[at]]]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrases.spelled(at), pa.binary()).cast(pa.string()), "words": pa.array(phrases.words[at].astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrases.spelled(at), pa.binary()).cast(pa.string()), "words": pa.array(phrases.words[at].astype(np.int32)), "cell": pa.array(cells[at].astype(np.int64))})
 
     return collect
 
 
-class Automata:
-    """Automata over the candidates of a language, whose letters are the candidates' words."""
-
-    def __init__(self, ids: list[int], phrases: list[bytes], letters: int):
-        self.ids, self.parts = np.array(ids, np.int64), []
-        self.single = {p: i for i, p in enumerate(phrases) if b" " not in p}
-        several = [i for i, p in enumerate(phrases) if b" " in p]
-        at = 0
-        while at < len(several) or not self.parts:
-            codes: dict[bytes, str] = {}
-            automaton = ahocorasick.Automaton()
-            while at < len(several) and len(codes) <= letters - LONGEST:
-                words = phrases[several[at]].split(b" ")
-                for word in words:
-                    if word not in codes:
-                        # Code points from 1, without surrogates.
-                        n = len(codes) + 1
-                        codes[word] = chr(n if n < 0xD800 else n + 0x800)
-                automaton.add_word("".join(map(codes.__getitem__, words)), several[at])
-                at += 1
-            if codes:
-                automaton.make_automaton()
-            # Words that are in several automata count once.
-            own = [(ord(letter), self.single[word]) for word, letter in codes.items() if not any(word in c for c, *_ in self.parts)]
-            self.parts.append((codes, automaton, *np.array(own, np.int64).reshape(-1, 2).T))
-        self.counts = np.zeros(len(self.ids), np.int64)
+class Automaton:
+    """The candidates of a language, words and phrases, in an automaton over coded words."""
+
+    def __init__(self, ids: list[int], phrases: list[bytes]):
+        self.ids, self.counts = np.array(ids, np.int64), np.zeros(len(ids), np.int64)
+        words = [i for i, p in enumerate(phrases) if b" " not in p]
+        self.known = {phrases[i]: k + 1 for k, i in enumerate(words)}
+        self.words = np.array([0, *words], np.int64)
+        # The code of word 0, the delimiter, is zeros, which no candidate has.
+        self.places, n = 1, len(words) + 1
+        while LETTERS**self.places < n:
+            self.places += 1
+        left, codes = np.arange(n), []
+        for place in range(self.places):
+            codes.append(left % LETTERS + place * LETTERS + 1)
+            left //= LETTERS
+        self.codes = np.stack(codes[::-1], axis=1).astype(np.uint8)
+        self.codes[0] = 0
+        self.automaton = ahocorasick.Automaton()
+        for i, phrase in enumerate(phrases):
+            if b" " in phrase:
+                self.automaton.add_word(self.coded([self.known[w] for w in phrase.split(b" ")]), i)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def coded(self, words: list[int] | np.ndarray) -> str:
+        return self.codes[words].tobytes().decode("latin-1")
 
     def scan(self, texts: list[bytes]) -> int:
         """Count the candidates in ``texts``; the number of words."""
-        total = 0
-        coded: list[list[str]] = [[] for _ in self.parts]
+        total, seen, lines = 0, np.zeros(len(self.words), np.int64), []
         for words in _pieces(texts):
             total += len(words) - words.count(b".")
-            for (codes, *_), letters in zip(self.parts, coded, strict=True):
-                letters.append("".join(map(codes.get, words, repeat(_DELIMITER))))
-        for (codes, automaton, letter, place), letters in zip(self.parts, coded, strict=True):
-            if not codes:
-                continue
-            line = "".join(letters)
-            found = np.fromiter((v for _, v in automaton.iter(line)), np.int64)
-            if len(found):
-                at, n = np.unique(found, return_counts=True)
-                self.counts[at] += n
-            self.counts[place] += np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32), minlength=0x110000)[letter]
+            known = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+            seen += np.bincount(known, minlength=len(seen))
+            lines.append(self.coded(known))
+        self.counts[self.words[1:]] += seen[1:]
+        if len(self.automaton):
+            found, n = np.unique(np.fromiter((v for _, v in self.automaton.iter("".join(lines))), np.int64), return_counts=True)
+            self.counts[found] += n
         return total
 
 
@@ -221,10 +223,10 @@ def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
     yield _BREAK.sub(b" . ", b" ".join(held).lower()).split()
 
 
-_automata: dict[str, dict[str, Automata]] = {}
+_automata: dict[str, dict[str, Automaton]] = {}
 
 
-def _count(shared, token: str, letters: int):
+def _count(shared, token: str):
     """Counts of the candidates by id, and, without id, of all words by language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +234,8 @@ def _count(shared, token: str, letters: int):
             _automata.clear()
             _automata[token] = {}
         known, candidates, totals = _automata[token], shared.value, {}
-        for automata in known.values():
-            automata.counts[:] = 0
+        for automaton in known.values():
+            automaton.counts[:] = 0
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -241,64 +243,83 @@ def _count(shared, token: str, letters: int):
             for lang, texts in by_lang.items():
                 if lang not in known:
                     ids, phrases = candidates.get(lang, (pa.array([], pa.int64()), pa.array([], pa.binary())))
-                    known[lang] = Automata(ids.to_pylist(), phrases.to_pylist(), letters)
+                    known[lang] = Automaton(ids.to_pylist(), phrases.to_pylist())
                 totals[lang] = totals.get(lang, 0) + known[lang].scan(texts)
         langs = [x for x in totals if totals[x]]
         yield pa.RecordBatch.from_pydict({"id": pa.array([None] * len(langs), pa.int64()), "lang": pa.array(langs, pa.string()), "n": pa.array([totals[x] for x in langs], pa.int64())})
-        for automata in known.values():
-            at = np.flatnonzero(automata.counts)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(automata.ids[at]), "lang": pa.nulls(len(at), pa.string()), "n": pa.array(automata.counts[at])})
+        for automaton in known.values():
+            at = np.flatnonzero(automaton.counts)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(automaton.ids[at]), "lang": pa.nulls(len(at), pa.string()), "n": pa.array(automaton.counts[at])})
 
     return count
 
 
-def counted(docs: DataFrame, work: Workspace, least: int = LEAST, batch: int = BATCH, letters: int = LETTERS) -> tuple[DataFrame, DataFrame]:
+def _candidates(texts: DataFrame, cells: DataFrame, bits: int, everywhere: bool, work: Workspace) -> DataFrame:
+    """Candidates of heavy ``cells`` (cell, task), a batch of them, and their words: lang, phrase, words, cell and id."""
+    context = texts.sparkSession.sparkContext
+    held = cells.select("cell", F.col("task").cast("long").alias("task")).toArrow()
+    order = np.argsort(held["cell"].to_numpy())
+    shared = context.broadcast(tuple(held[c].to_numpy()[order].tobytes() for c in ("cell", "task")))
+    found = work.table(texts.mapInArrow(_collect(bits, shared, everywhere), "lang string, phrase string, words int, cell long").distinct(), "candidates")
+    shared.unpersist()
+    words = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct().withColumns({"words": F.lit(1), "cell": F.lit(None).cast("long")})
+    return work.table(found.unionByName(words).withColumn("id", F.monotonically_increasing_id()), "numbered")
+
+
+def _counts(texts: DataFrame, candidates: DataFrame, token: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their counts, and all words by language."""
+    context = texts.sparkSession.sparkContext
+    held = candidates.select("id", "lang", F.col("phrase").cast("binary").alias("phrase")).toArrow()
+    langs, by_lang = held["lang"].combine_chunks().dictionary_encode(), {}
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        own = held.filter(pc.equal(langs.indices, i))
+        by_lang[lang] = own["id"].combine_chunks(), own["phrase"].combine_chunks()
+    shared = context.broadcast(by_lang)
+    sums = texts.mapInArrow(_count(shared, token), "id long, lang string, n long").groupBy("id", "lang").agg(F.sum("n").alias("n"))
+    sums = work.table(sums, "sums")
+    shared.unpersist()
+    return work.table(candidates.join(sums.drop("lang"), "id").drop("id"), "counted"), sums.where("id is null").select("lang", "n")
+
+
+def counted(docs: DataFrame, work: Workspace, least: int = LEAST, batch: int = BATCH, spare: int = SPARE) -> tuple[DataFrame, DataFrame]:
     """Phrases with their exact counts, all that occur ``least`` times or more and their words among them (lang, phrase, words, n), and all words by language (lang, n)."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(16, (size // 2).bit_length()), 60)
-    with small_batches(spark):
-        heavy = texts.mapInArrow(_sketch(bits), "block long, cells binary, counts binary").groupBy("block").applyInArrow(_heavy(least), "block long, cells binary, n long")
-        heavy = work.table(heavy, "heavy")
+    bits = min(max(BITS[0], (size // 2).bit_length() + spare), BITS[1])
+    with small_batches(docs.sparkSession):
+        sketch = texts.mapInArrow(_sketch(bits), "block long, task int, cells binary, counts binary")
+        heavy = work.table(sketch.groupBy("block").applyInArrow(_heavy(least), "block long, cell long, total long, task int"), "heavy")
         batches, room = [[]], batch
-        for block, n in sorted(tuple(r) for r in heavy.where("n > 0").select("block", "n").collect()):
+        for block, n in sorted(tuple(r) for r in heavy.groupBy("block").count().collect()):
             if n > room and batches[-1]:
                 batches.append([])
                 room = batch
             batches[-1].append(block)
             room -= n
-        counts, totals = [], []
-        for some in batches:
-            cells = heavy.where(F.col("block").isin(some)).select("cells").toArrow()["cells"].to_pylist() if some else []
-            shared = spark.sparkContext.broadcast(np.sort(np.concatenate([*[np.frombuffer(c, np.uint64) for c in cells], np.array([2**64 - 1], np.uint64)])).tobytes())
-            found = work.table(texts.mapInArrow(_collect(bits, shared), "lang string, phrase string, words int").distinct(), "candidates")
-            words = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct().withColumn("words", F.lit(1))
-            found = work.table(found.unionByName(words).withColumn("id", F.monotonically_increasing_id()), "candidates-numbered")
-            held = found.select("id", "lang", F.col("phrase").cast("binary").alias("phrase")).toArrow()
-            langs, by_lang = held["lang"].combine_chunks().dictionary_encode(), {}
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                own = held.filter(pc.equal(langs.indices, i))
-                by_lang[lang] = own["id"].combine_chunks(), own["phrase"].combine_chunks()
-            shared.unpersist()
-            shared = spark.sparkContext.broadcast(by_lang)
-            sums = texts.mapInArrow(_count(shared, f"{work.path}-{len(counts)}", letters), "id long, lang string, n long").groupBy("id", "lang").agg(F.sum("n").alias("n"))
-            sums = work.table(sums, "sums")
-            shared.unpersist()
-            counts.append(found.join(sums.drop("lang"), "id").select("lang", "phrase", "words", "n"))
-            totals.append(sums.where("id is null").select("lang", "n"))
+        counts, totals = [], None
+        for i, some in enumerate(batches):
+            cells = heavy.where(F.col("block").isin(some))
+            found, words = _counts(texts, _candidates(texts, cells, bits, False, work), f"{work.path}-{i}", work)
+            totals = totals or words
+            # What the candidates leave of a cell's sum may hold another frequent phrase.
+            left = cells.join(found.groupBy("cell").agg(F.sum("n").alias("n")), "cell", "left").where(F.col("total") - F.coalesce("n", F.lit(0)) >= least)
+            left = work.table(left.select("cell", "task"), "left")
+            if not left.isEmpty():
+                more, _ = _counts(texts, _candidates(texts, left, bits, True, work), f"{work.path}-{i}-left", work)
+                found = found.unionByName(more)
+            counts.append(found)
     every = counts[0]
     for more in counts[1:]:
         every = every.unionByName(more)
     # Batches have candidates of their own, but share words.
-    return work.table(every.groupBy("lang", "phrase", "words").agg(F.max("n").alias("n")), "counts"), totals[0]
+    return work.table(every.groupBy("lang", "phrase", "words").agg(F.max("n").alias("n")), "counts"), totals
 
 
 def _part(words: Column, first: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, first, length), " ")
 
 
-def collocations(docs: DataFrame, work: Workspace, least: int = LEAST, top: int = TOP, batch: int = BATCH, letters: int = LETTERS) -> DataFrame:
+def collocations(docs: DataFrame, work: Workspace, least: int = LEAST, top: int = TOP, batch: int = BATCH, spare: int = SPARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the ``top`` phrases of each language of ``docs`` (lang, text).
 
     a, l and r count the phrase and the parts of its lowest-scoring cut, n the words of the language; the score is ``SCALE * a / (l + r)``,
@@ -307,7 +328,7 @@ def collocations(docs: DataFrame, work: Workspace, least: int = LEAST, top: int
     table has no phrases. Rows that repeat count each time, whatever their ids; texts of any length are read whole, pieces of theirs at a time.
     Other columns are not read.
     """
-    counts, totals = counted(docs, work, least, batch, letters)
+    counts, totals = counted(docs, work, least, batch, spare)
     frequent = counts.where((F.col("words") >= SHORTEST) & (F.col("n") >= least))
     one = F.split("phrase", " ")
     cuts = frequent.select("lang", "phrase", F.col("n").alias("a"), one.alias("one"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
