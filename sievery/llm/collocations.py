@@ -23,7 +23,6 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +49,8 @@ BLOCKS, SPARE = 11, 10
 BITS = 16, 60
 #: Phrases that a task holds before it passes their cells on.
 HELD = 1 << 20
+#: Candidates whose counts a task hands on together.
+VECTOR = 1 << 13
 #: Bytes of text that are coded at a time.
 PIECE = 1 << 20
 #: Tasks that rank the candidates of a language before one takes the best of these.
@@ -164,17 +165,17 @@ def _collect(bits: int, shared, everywhere: bool):
 class Automaton:
     """The candidates of a language, words and phrases, in an automaton over coded words."""
 
-    def __init__(self, ids: list[int], phrases: list[bytes]):
-        self.ids, self.counts = np.array(ids, np.int64), np.zeros(len(ids), np.int64)
+    def __init__(self, places: np.ndarray, phrases: list[bytes]):
+        self.places, self.counts = places, np.zeros(len(places), np.int64)
         words = [i for i, p in enumerate(phrases) if b" " not in p]
         self.known = {phrases[i]: k + 1 for k, i in enumerate(words)}
         self.words = np.array([0, *words], np.int64)
         # The code of word 0, the delimiter, is zeros, which no candidate has.
-        self.places, n = 1, len(words) + 1
-        while LETTERS**self.places < n:
-            self.places += 1
+        self.letters, n = 1, len(words) + 1
+        while LETTERS**self.letters < n:
+            self.letters += 1
         left, codes = np.arange(n), []
-        for place in range(self.places):
+        for place in range(self.letters):
             codes.append(left % LETTERS + place * LETTERS + 1)
             left //= LETTERS
         self.codes = np.stack(codes[::-1], axis=1).astype(np.uint8)
@@ -227,13 +228,13 @@ _automata: dict[str, dict[str, Automaton]] = {}
 
 
 def _count(shared, token: str):
-    """Counts of the candidates by id, and, without id, of all words by language."""
+    """Counts of the candidates, a block of them at a time, and the words of each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _automata:
             _automata.clear()
             _automata[token] = {}
-        known, candidates, totals = _automata[token], shared.value, {}
+        known, (size, candidates), totals = _automata[token], shared.value, {}
         for automaton in known.values():
             automaton.counts[:] = 0
         for batch in batches:
@@ -242,18 +243,31 @@ def _count(shared, token: str):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 if lang not in known:
-                    ids, phrases = candidates.get(lang, (pa.array([], pa.int64()), pa.array([], pa.binary())))
-                    known[lang] = Automaton(ids.to_pylist(), phrases.to_pylist())
+                    places, phrases = candidates.get(lang, (np.zeros(0, np.int64), pa.array([], pa.binary())))
+                    known[lang] = Automaton(places, phrases.to_pylist())
                 totals[lang] = totals.get(lang, 0) + known[lang].scan(texts)
-        langs = [x for x in totals if totals[x]]
-        yield pa.RecordBatch.from_pydict({"id": pa.array([None] * len(langs), pa.int64()), "lang": pa.array(langs, pa.string()), "n": pa.array([totals[x] for x in langs], pa.int64())})
+        counts = np.zeros(size, np.int64)
         for automaton in known.values():
-            at = np.flatnonzero(automaton.counts)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(automaton.ids[at]), "lang": pa.nulls(len(at), pa.string()), "n": pa.array(automaton.counts[at])})
+            counts[automaton.places] += automaton.counts
+        rows = [(None, lang, n, None) for lang, n in totals.items() if n]
+        rows += [(at // VECTOR, None, None, packed(counts[at : at + VECTOR])) for at in range(0, size, VECTOR) if counts[at : at + VECTOR].any()]
+        block, lang, n, vector = zip(*rows, strict=True) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())], ["block", "lang", "n", "counts"])
 
     return count
 
 
+def _added(shared):
+    """Ids of a block's candidates and the sums of their counts."""
+
+    def added(parts: pa.Table) -> pa.Table:
+        counts = np.sum([unpacked(c) for c in parts["counts"].to_pylist()], axis=0).astype(np.int64)
+        at = np.flatnonzero(counts)
+        return pa.table({"id": pa.array(shared.value[parts["block"][0].as_py() * VECTOR + at]), "n": pa.array(counts[at])})
+
+    return added
+
+
 def _candidates(texts: DataFrame, cells: DataFrame, bits: int, everywhere: bool, work: Workspace) -> DataFrame:
     """Candidates of heavy ``cells`` (cell, task), a batch of them, and their words: lang, phrase, words, cell and id."""
     context = texts.sparkSession.sparkContext
@@ -272,13 +286,14 @@ def _counts(texts: DataFrame, candidates: DataFrame, token: str, work: Workspace
     held = candidates.select("id", "lang", F.col("phrase").cast("binary").alias("phrase")).toArrow()
     langs, by_lang = held["lang"].combine_chunks().dictionary_encode(), {}
     for i, lang in enumerate(langs.dictionary.to_pylist()):
-        own = held.filter(pc.equal(langs.indices, i))
-        by_lang[lang] = own["id"].combine_chunks(), own["phrase"].combine_chunks()
-    shared = context.broadcast(by_lang)
-    sums = texts.mapInArrow(_count(shared, token), "id long, lang string, n long").groupBy("id", "lang").agg(F.sum("n").alias("n"))
-    sums = work.table(sums, "sums")
+        own = np.flatnonzero(langs.indices.to_numpy() == i)
+        by_lang[lang] = own, held["phrase"].take(own).combine_chunks()
+    shared, ids = context.broadcast((len(held), by_lang)), context.broadcast(held["id"].to_numpy())
+    parts = work.table(texts.mapInArrow(_count(shared, token), "block long, lang string, n long, counts binary"), "parts")
+    sums = parts.where("block is not null").groupBy("block").applyInArrow(_added(ids), "id long, n long")
+    counted = work.table(candidates.join(sums, "id").drop("id"), "counted")
     shared.unpersist()
-    return work.table(candidates.join(sums.drop("lang"), "id").drop("id"), "counted"), sums.where("id is null").select("lang", "n")
+    return counted, parts.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def counted(docs: DataFrame, work: Workspace, least: int = LEAST, batch: int = BATCH, spare: int = SPARE) -> tuple[DataFrame, DataFrame]:

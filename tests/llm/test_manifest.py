@@ -152,8 +152,8 @@ def test_automaton_codes_of_several_letters(monkeypatch):
     monkeypatch.setattr(collocations, "LETTERS", 3)
     words = [f"w{i}".encode() for i in range(40)]
     pairs = [b" ".join(words[i : i + k]) for i in range(37) for k in (2, 3)]
-    automaton = collocations.Automaton(list(range(len(words + pairs))), words + pairs)
-    assert automaton.places == 4 and automaton.scan([b"w1 w2 W3 x w4", b"w4 w5. w6 w7\tw8", b""]) == 10
+    automaton = collocations.Automaton(np.arange(len(words + pairs)), words + pairs)
+    assert automaton.letters == 4 and automaton.scan([b"w1 w2 W3 x w4", b"w4 w5. w6 w7\tw8", b""]) == 10
     assert {(words + pairs)[i].decode(): n for i, n in enumerate(automaton.counts.tolist()) if n and i >= 40} == {"w1 w2": 1, "w2 w3": 1, "w1 w2 w3": 1, "w4 w5": 1, "w6 w7": 1, "w7 w8": 1, "w6 w7 w8": 1}
 
 
