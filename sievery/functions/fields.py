@@ -43,17 +43,22 @@ SUFFIX_PLACES = (
     r"(?i)^[a-z][a-z.' -]+, *(?:united states|usa|canada|uk|united kingdom|germany|france|italy|spain|portugal|netherlands|ireland|australia)$",
     r"(?i)^(?:new york|london|berlin|paris|madrid|dublin|chicago|remote within [a-z ]+|us - multiple locations)$",
 )
+# Signs of headlines in titles.
 HEADLINES = (
-    r"[!?]|[A-Za-z]{3,}[.] +[A-Z]|[.]{3}",
+    r"[!?]",
+    r"[A-Za-z]{3,}\.\s+[A-Z]",
+    r"\.\.\.",
     r"(?i)\b(?:linkedins?|article|interview|career questions|share their stories|click here|read my interview|want a .* career)\b",
 )
 SENTENCE_VERBS = r"(?i)\b(?:can|will|would|should|could|starting|read|learn|work|build|share|pivoting|explains|announces|joined|interview|impact|stands on)\b"
 NAVIGATION_TITLES = r"(?i)^(?:current openings|open positions|jobs?)$"
+# Titles that name no role.
 BAD_TITLES = (
-    r"(?i)^(?:previous|next|home|search|faq)\b",
-    r"(?i)\b(?:our impact|life at|about(?: +it)?|job explorer|the power of all voices|eeo policy statement|know your rights)\b",
-    r"(?i)\b(?:privacy|cookies?|policy statement|search jobs|careers?)\b",
-    r"(?i)^want a .* career[?]?$",
+    r"(?i)^(previous|next|home|search|faq)\b",
+    r"(?i)\b(?:our impact|life at|about(?:\s+it)?|job explorer)\b",
+    r"(?i)\b(?:the power of all voices|eeo policy statement|know your rights)\b",
+    r"(?i)\b(?:privacy|cookie(?:s)?|policy statement|search jobs|careers?)\b",
+    r"(?i)^want a .* career\??$",
 )
 BAD_PLACES = rf"(?i)\bTitle Business(?: Platform Location Date)?\b|\bPOINT *\(|\blocality\b|\bgeo(?:code)?\b|\b(?:{MONTHS})\b +[0-9]{{1,2}}, *[0-9]{{4}}"
 UNPLACED = r"(?i)\b(?:remote|hybrid|work from home|distributed team|remote-first|anywhere|global|multiple locations|various locations|location listed on application|worldwide)\b"

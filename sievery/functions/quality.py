@@ -14,12 +14,36 @@ from sievery.functions import fields
 from sievery.functions.text import normalize_whitespace
 from sievery.functions.values import clamp, confidence, let, reasons
 
-# What marks text as taken from feeds, markup or navigation, and addresses that no person applies at.
+# What marks text as taken from feeds, markup or navigation.
 JUNK = (
-    r"(?i)\bprevious\b|\bnext post\b|\bsee current openings\b|\bcareer_page\b",
-    r"(?i)\bviewBox\b|\b0/svg\b|<(?:span|svg|rss|feed)\b|<[?]xml\b",
-    r"(?i)\bPOINT *\(|\blocality\b|\bTitle Business(?: Platform Location Date)?\b",
+    r"(?i)\bprevious\b",
+    r"(?i)\bnext post\b",
+    r"(?i)\bviewBox\b",
+    r"(?i)\b0\/svg\b",
+    r"(?i)<span\b",
+    r"(?i)\bPOINT\s*\(",
+    r"(?i)\blocality\b",
+    r"(?i)\bTitle Business(?: Platform Location Date)?\b",
+    r"(?i)\bcareer_page\b",
+    r"(?i)\bBusiness\/Productivity Software\b",
+    r"(?i)\bCleantech\b",
+    r"(?i)\bOil\s*&\s*Gas\b",
+    r"(?i)\bsee current openings\b",
+    r"(?i)\bheaders?\b\s*(?:\x22\s*)+",
+    r"(?i)\b(?:taxonomy|headquarters|employee size|funding)\b",
+    r"(?i)\b(?:annual\s+)?revenue\s*(?::|:?\s*[\$€£]|:?\s*\d{2,})",
+    r"\b\d{7,10}\b",
     r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
+    r"(?i)\bBusiness and Industrial\b",
+    r"(?i)\bElectrical Distribution\b",
+    r"(?i)\bIndustrial Automation\b",
+    r"(?i)\bPower Generation\b",
+    r"(?i)\bRenewable Energy & Environment\b",
+    r"(?i)\bCleantech & Environment\b",
+    r"(?i)<\?xml\b",
+    r"(?i)<rss\b",
+    r"(?i)<feed\b",
+    r"(?i)<svg\b",
 )
 OPENING = r"^(?:[)\]},.;:|]|and |or |the will |the is )"
 VERBS = r"(?i)[a-z]{3,} +(?:is|are|will|can|should|must|plans|coordinates|executes|supports|manages|builds|seeks|works|develops|leads|drives|partners|optimizes)\b"

@@ -25,27 +25,28 @@ ALIASES = {
     "salary": ("salary", "pay", "compensation"),
     "date_posted": ("date_posted", "datePosted", "published_at"),
 }
+# Fields of work, in this order.
 SPECIALIZATIONS = (
-    ("PR / Press", r"\b(?:pr|public relations|press|media relations)\b"),
+    ("PR / Press", r"\b(?:pr|public relations|press|press secretary|media relations|press officer|press manager|press lead)\b"),
     ("Policy", r"\b(?:policy|public affairs|government affairs|external affairs|regulatory affairs|advocacy)\b"),
-    ("Communications", r"\b(?:communications?|comms)\b"),
-    ("Video", r"\b(?:video|videographer|multimedia producer|motion designer|motion graphics|youtube|documentary|creative producer|content producer|film producer|digital producer)\b"),
-    ("Social Media", r"\b(?:social media|social strategy|community manager|community lead|tiktok|instagram)\b"),
-    ("Content", r"\b(?:content|editorial|copywriter|copywriting|storytelling|writer|newsletter)\b"),
+    ("Communications", r"\b(?:communications|communication|comms|internal communications|external communications)\b"),
+    ("Video", r"\b(?:video|videographer|video editor|video producer|multimedia producer|motion designer|motion graphics|youtube|documentary|short-form video|short form video|digital video|social video|creative producer|content producer|film producer|creator lead|creator network|vertical video|digital producer)\b"),
+    ("Social Media", r"\b(?:social media|social strategy|community manager|community lead|tiktok|instagram|linkedin content|bluesky|rapid response clips)\b"),
+    ("Content", r"\b(?:content|editorial|copywriter|copywriting|storytelling|writer|newsletter|content design)\b"),
     ("Art / Creative", r"\b(?:creative|art director|artistic|illustration|visual storytelling|brand studio)\b"),
-    ("Design", r"\b(?:design|designer|ux|ui)\b"),
+    ("Design", r"\b(?:design|designer|graphic design|visual design|product design|ux|ui)\b"),
     ("Product", r"\b(?:product manager|product owner|product lead|product strategy)\b"),
-    ("Strategy", r"\b(?:strategy|strategist|strategic|planning)\b"),
-    ("Engineering", r"\b(?:firmware|engineer|engineering|developer|backend|back-end|frontend|front-end|full stack|full-stack|devops|sre|site reliability|technical architect)\b"),
+    ("Strategy", r"\b(?:strategy|strategist|strategic|planning|planning director)\b"),
+    ("Engineering", r"\b(?:firmware|platform engineer|software engineer|engineer|engineering|developer|backend|back-end|frontend|front-end|full stack|full-stack|devops|sre|site reliability|technical architect)\b"),
     ("Web", r"\b(?:web|website|webmaster|wordpress)\b"),
-    ("Operations", r"\b(?:operations|operator|supervisor|scada|mobilization|implementation|logistics|supply chain)\b"),
-    ("Programs", r"\b(?:program|programme) (?:manager|director|coordinator|lead)\b"),
+    ("Operations", r"\b(?:operations|operator|operations coordinator|operations specialist|supervisor|scada|field operations|customer operations|mobilization|implementation|logistics|supply chain)\b"),
+    ("Programs", r"\b(?:program manager|programme manager|program director|program coordinator|program lead)\b"),
     ("Admin", r"\b(?:executive assistant|administrative assistant|admin|administrator|office manager)\b"),
     ("Sales", r"\b(?:sales|account executive|account manager|business development|partnerships|customer success|consultant|revenue)\b"),
-    ("Digital", r"\b(?:digital|growth marketing|crm|email marketing|seo|sem)\b"),
-    ("Data", r"\b(?:data|analytics|analyst|business intelligence|insights)\b"),
-    ("Research", r"\b(?:research|researcher)\b"),
-    ("Campaigns", r"\b(?:campaigns?|campaigner|field organizing|organizing)\b"),
+    ("Digital", r"\b(?:digital|digital marketing|digital campaigns|growth marketing|crm|email marketing|seo|sem)\b"),
+    ("Data", r"\b(?:data|analytics|analyst|business intelligence|bi analyst|insights)\b"),
+    ("Research", r"\b(?:research|researcher|research associate|user research|market research)\b"),
+    ("Campaigns", r"\b(?:campaign|campaigns|campaigner|field organizing|organizing)\b"),
 )
 
 

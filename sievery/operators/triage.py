@@ -20,8 +20,44 @@ NO_ROLE_PAGES = (
 LISTINGS = r"(?i)^https?://[^/?#]+(?:/(?:careers|jobs))?/?$|^https?://[^/?#]+/[^?#]*(?:/careers|/jobs)/?$|/go/|/content/"
 POSTINGS = r"(?i)/postings/|/job/|/jobs/.*/[0-9]{6,}/|-[a-z]{2}-[0-9]{5,}/|^https?://[^/]+/(?:[^/]+/)*apply/[^/]+/[^/]"
 NO_ROLE_TITLES = r"(?i)^(?:home|about(?: us)?|contact(?: us)?|careers?|jobs?|news|press|blog|faq|privacy(?: policy)?|cookies?|search|previous|next|apply(?: now)?|learn more|read more|benefits|our (?:team|people|story|impact))$"
+# Titles of pages of sources that are read by hand.
+PAGE_TITLES = (
+    r"(?i)^view all jobs?\s*(?:\([^)]*\))?$",
+    r"(?i)^powered by",
+    r"(?i)^apply now?\s*$",
+    r"(?i)^apply\s*$",
+    r"(?i)^find jobs?\s+in\b",
+    r"(?i)^jobs?\s+in\b",
+    r"(?i)^discover job opportunities?\s+in\b",
+    r"(?i)^explore jobs?\s+opportunities?\s+in\b",
+    r"(?i)^explore career options?\s+in\b",
+    r"(?i)^explore programmes?\s*$",
+    r"(?i)^find out more about\b",
+    r"(?i)^join our vibrant\b",
+    r"(?i)^join our team",
+    r"(?i)^check out our\b",
+    r"(?i)^further insights on\b",
+    r"(?i)^untitled\s*$",
+    r"(?i)^welcome\s*$",
+    r"(?i)^learn more\s*$",
+    r"(?i)^funding opportunities?\s*$",
+    r"(?i)^reports?\s*$",
+    r"(?i)^articles?\s*$",
+    r"(?i)^resources\s*$",
+    r"(?i)^search jobs?\s*$",
+    r"(?i)^why work here",
+    r"(?i)^onboarding\b",
+    r"(?i)^learning & development\b",
+    r"(?i)^equal opportunity employer\b",
+    r"(?i)^statements?\s*&?\s*positions?\s*$",
+    r"(?i)^see\s+(?:nuclear|power)\s+",
+    r"(?i)^view jobs?\s*$",
+    r"(?i)^find open positions?\s*$",
+    r"(?i)^emerging leaders\b",
+    r"(?i)\b\.html\s*$",
+)
 SENIOR = "manager|director|analyst|specialist|lead|coordinator|associate|officer|engineer|consultant|representative|advisor|supervisor|technician|assistant|head|vp|chief|president|attorney|counsel|developer|architect|scientist|planner|writer|editor|producer|strategist"
-NAMED_ROLE = rf"\b([A-Z][a-z]+(?: +[A-Z][a-z]+){{0,4}} +(?i:{SENIOR}))\b"
+NAMED_ROLE = rf"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){{0,4}}\s+(?i:{SENIOR}))\b"
 UNRELATED = r"medical|beauty|retail|cosmetic|insurance|hospital|pharma"
 
 
@@ -40,30 +76,37 @@ class Terms:
     ready: int = 8
 
 
-def no_role_title(title: Column) -> Column:
+def page_title(title: Column, more: tuple[str, ...] = ()) -> Column:
+    return title.rlike(NO_ROLE_TITLES) | fields.any_of(title, (*PAGE_TITLES, *more))
+
+
+def no_role_title(title: Column, more: tuple[str, ...] = ()) -> Column:
     """Why a title names no posting: empty_title, generic_non_job_title, generic_non_specific_title, or the empty text."""
     short = title.rlike("^[a-z ]+$") & (fields.word_number(title) <= 2) & ~F.lower(title).rlike(rf"\b(?:{SENIOR})\b")
-    return F.when(title == "", "empty_title").when(title.rlike(NO_ROLE_TITLES), "generic_non_job_title").when(short, "generic_non_specific_title").otherwise("")
+    return F.when(title == "", "empty_title").when(page_title(title, more), "generic_non_job_title").when(short, "generic_non_specific_title").otherwise("")
 
 
-def no_role_url(address: Column) -> Column:
-    return fields.any_of(F.lower(address), NO_ROLE_PAGES)
+def no_role_url(address: Column, more: tuple[str, ...] = ()) -> Column:
+    return fields.any_of(F.lower(address), (*NO_ROLE_PAGES, *more))
 
 
-def recovered_title(title: Column, description: Column) -> Column:
+def recovered_title(title: Column, description: Column, more: tuple[str, ...] = ()) -> Column:
     """The title, or where it names no posting, the first phrase of the description that names a role."""
     named = F.regexp_extract(description, NAMED_ROLE, 1)
-    bad = (title == "") | title.rlike(NO_ROLE_TITLES)
+    bad = (title == "") | page_title(title, more)
     return F.when(bad & F.length(named).between(6, 150), named).otherwise(title)
 
 
-def manual_candidates(df: DataFrame) -> DataFrame:
-    """``df`` with ``manual``, a struct of ``valid``, ``bucket``, ``reason`` and ``title``, for candidates from sources that are read by hand."""
+def manual_candidates(df: DataFrame, titles: tuple[str, ...] = (), pages: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``manual``, a struct of ``valid``, ``bucket``, ``reason`` and ``title``, for candidates from sources that are read by hand.
+
+    ``titles`` and ``pages`` are patterns of single sites' own titles and lower-case addresses that are no postings, besides the general ones.
+    """
     job = quality.of(df)
-    title = recovered_title(job["title"], F.coalesce(F.nullif(job["raw_description"], F.lit("")), job["description"]))
+    title = recovered_title(job["title"], F.coalesce(F.nullif(job["raw_description"], F.lit("")), job["description"]), titles)
     address = url.normalize_url(F.coalesce(*[F.nullif(job[x], F.lit("")) for x in ("original_url", "apply_url", "source_url")], F.lit("")))
     step = df.withColumns({"_title": title, "_address": address})
-    step = step.withColumns({"_wrong": no_role_title(F.col("_title")), "_no_role": no_role_url(F.col("_address"))})
+    step = step.withColumns({"_wrong": no_role_title(F.col("_title"), titles), "_no_role": no_role_url(F.col("_address"), pages)})
     posting = (F.col("_address") != "") & ~F.col("_no_role") & F.concat("_address", F.lit("/")).rlike(POSTINGS)
     reason = (
         F.when((F.col("_wrong") == "empty_title") & posting, "manual_source_empty_title_recoverable_job_url")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,16 +40,33 @@ def content_hash(df: DataFrame) -> str:
     return ":".join(str(x) for x in df.agg(F.count(F.lit(1)), *sums).first())
 
 
+def _renamed(fs, source, target) -> bool:
+    """Whether the file system has renamed a folder; some raise where others say no."""
+    try:
+        return bool(fs.rename(source, target))
+    except Py4JJavaError:
+        return False
+
+
 def replace_table(df: DataFrame, path: str, form: str) -> None:
-    """Write beside the path, then swap: ``df`` may read the path, and a job that fails midway leaves the old table in place."""
+    """Write beside the path, then swap: ``df`` may read the path, and a job that fails midway leaves the old table in place.
+
+    If the new table cannot take the old one's place, the old one goes back to its path and the error is raised; the old table is deleted
+    last, when the new one is there.
+    """
     spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
     df.write.format(form).save(new)
     to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     before = fs.exists(to_path(path))
-    if before:
-        fs.rename(to_path(path), to_path(old))
-    fs.rename(to_path(new), to_path(path))
+    if before and not _renamed(fs, to_path(path), to_path(old)):
+        fs.delete(to_path(new), True)
+        raise OSError(f"{path} could not be moved aside and stays as it was")
+    if not _renamed(fs, to_path(new), to_path(path)):
+        if before and not _renamed(fs, to_path(old), to_path(path)):
+            raise OSError(f"{new} could not take the place of {path}, whose old table is at {old}")
+        fs.delete(to_path(new), True)
+        raise OSError(f"{path} could not be replaced and stays as it was")
     if before:
         fs.delete(to_path(old), True)
 
