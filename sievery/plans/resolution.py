@@ -11,6 +11,7 @@ from sievery.functions import description
 from sievery.operators import components, rules
 from sievery.plans.registry import Registry, Tables
 from sievery.storage import Workspace
+from sievery.streaming import sync
 
 plan = Registry()
 QUERIES, SQL = plan.queries, plan.sql
@@ -90,3 +91,21 @@ def contains_rules(t: Tables) -> DataFrame:
     short = t.part.where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("rule"), F.expr("right(p_type, cast(1 + p_partkey % 5 as int))").alias("term"))
     found = rules.contains_any(t.part, "p_partkey", F.concat_ws(" ", "p_name", "p_type"), known.unionByName(short), Workspace(t.spark))
     return found.groupBy("p_partkey").agg(F.count("rule").alias("rules"), F.min("rule").alias("first_rule"))
+
+
+@plan.query("""
+WITH e AS (SELECT user_id % 40 AS source, user_id AS id, ts AS day, event_id, event_type, (event_id % 2 = 0) AS first_half FROM events),
+old AS (SELECT source, id, min(day) AS first_seen, max(day) AS last_seen, arg_max(event_id, (day, event_id)) AS event_id FROM e WHERE first_half GROUP BY ALL),
+done AS (SELECT source FROM e WHERE NOT first_half GROUP BY source HAVING count(*) FILTER (event_type = 'error' AND event_id % 11 = 0) = 0),
+new AS (SELECT source, id, max(day) AS last_seen, arg_max(event_id, (day, event_id)) AS event_id FROM e WHERE NOT first_half AND source IN (SELECT source FROM done) GROUP BY ALL)
+SELECT source, id, first_seen, last_seen, event_id FROM old WHERE source NOT IN (SELECT source FROM done)
+UNION ALL SELECT new.source, new.id, coalesce(old.first_seen, new.last_seen), new.last_seen, new.event_id FROM new LEFT JOIN old ON old.source = new.source AND old.id = new.id
+""")
+def source_sync(t: Tables) -> DataFrame:
+    """Users by source after a second batch, in which some sources failed."""
+    rows = t.events.select((F.col("user_id") % 40).alias("source"), F.col("user_id").alias("id"), F.col("ts").alias("at"), "event_id", "event_type")
+    first = rows.where("event_id % 2 = 0").groupBy("source", "id").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.max_by("event_id", F.struct("at", "event_id")).alias("event_id"))
+    batch = rows.where("event_id % 2 <> 0").withColumn("ok", (F.col("event_type") != "error") | (F.col("event_id") % 11 != 0))
+    # Of equally late events the one with the larger number counts.
+    batch = batch.groupBy("source", "id", "at").agg(F.max("event_id").alias("event_id"), F.min("ok").alias("ok"))
+    return sync.synced(first, batch)

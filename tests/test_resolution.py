@@ -105,3 +105,55 @@ def test_grace_as_a_stream_equals_the_replay_after_a_restart(spark, tmp_path):
     run(list(enumerate(parts))[2:])
     got = spark.read.parquet(str(tmp_path / "out")).where("row < 1000").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and {r.status for r in expected} == {"live", "grace", "archived"}
+
+
+def plain_sync(current, batch):
+    failed = {s for s, _, _, ok, _ in batch if not ok}
+    done = {s for s, *_ in batch} - failed
+    new = {k: v for k, v in current.items() if k[0] not in done}
+    for s, i, at, _, v in sorted(batch, key=lambda r: r[2]):
+        if s in done and i is not None:
+            new[s, i] = (current.get((s, i), (None,))[0] if (s, i) in current else new.get((s, i), (max(r[2] for r in batch if r[:2] == (s, i)),))[0], at, v)
+    return new
+
+
+def test_sync_publishes_versions(spark, tmp_path, monkeypatch):
+    from sievery.streaming import sync
+
+    rng = random.Random(8)
+    schema = "source string, id long, at long, ok boolean, value int"
+    batches = [[(s, rng.choice([None, *range(6)]), n * 1000 + k, not (s == "c" and n == 1), rng.randrange(99)) for k, s in enumerate(rng.choices("abcd"[: 3 + n % 2], k=25))] for n in range(4)]
+    table, expected = sync.VersionedTable(spark, str(tmp_path / "table"), keep=2), {}
+    held = lambda: {(r.source, r.id): (r.first_seen, r.last_seen, r.value) for r in table.read().collect()}
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        if n == 2:
+            # Fails after the data are written and before they are published.
+            with monkeypatch.context() as m:
+                m.setattr(sync.VersionedTable, "_create", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(OSError):
+                    table.publish(sync.synced(table.read(), df), f"s/{n}")
+            assert held() == expected
+        expected = plain_sync(expected, rows)
+        assert table.publish(sync.synced(table.read(), df), f"s/{n}") and held() == expected
+        assert not table.publish(sync.synced(table.read(), df), f"s/{n}") and held() == expected
+    assert [v["version"] for v in table.versions()] == [2, 3]
+    # Another writer has published the next version meanwhile.
+    monkeypatch.setattr(table, "versions", lambda known=table.versions()[:-1]: known)
+    with pytest.raises(OSError):
+        table.publish(spark.createDataFrame(batches[0], schema), "s/9")
+
+
+def test_sync_stream_goes_on_after_a_restart(spark, tmp_path):
+    from sievery.streaming import sync
+
+    schema = "source string, id long, at long, ok boolean, value int"
+    table = sync.VersionedTable(spark, str(tmp_path / "table"))
+    for n, rows in enumerate([[("a", 1, 1, True, 5), ("b", 1, 1, True, 6)], [("a", 2, 2, True, 7), ("b", None, 2, False, None)], [("b", None, 3, True, None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in" / str(n)))
+        read = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+        query = sync.sync_stream(read, table, "s").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        found = sorted((r.source, r.id, r.first_seen, r.last_seen) for r in table.read().collect())
+        assert found == [[("a", 1, 1, 1), ("b", 1, 1, 1)], [("a", 2, 2, 2), ("b", 1, 1, 1)], [("a", 2, 2, 2)]][n]
