@@ -4,6 +4,8 @@ Test items are short and documents long, so their Jaccard similarity says little
 document contains. An item is indexed by the smallest hashes of its shingles; items are partitioned by size, and the
 number of minima grows with the size such that a document which contains the wanted share of an item cannot miss all of
 them. Documents of any length are looked up shingle by shingle, and each candidate is verified on the whole sets.
+
+An item of one to four words is one shingle of its own length, and documents are looked up by their runs of that length too.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from sievery.llm.words import blocks, shingle_sets, shingles, small_batches
+from sievery.llm.words import SHINGLE, blocks, runs, shingle_sets, shingles, small_batches
 from sievery.storage import Workspace
 
 #: Least share of an item's shingles, in hundredths.
@@ -35,15 +37,16 @@ def minima(size: int, percent: int = PERCENT) -> int:
 
 
 def item_sets(benchmark: DataFrame) -> DataFrame:
-    """item_id and the distinct shingles of each item, by hash; items without words have no row."""
+    """item_id, the distinct shingles of each item, by hash, and the words of a shingle; items without words have no row."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["item_id", "hashes"])
+            words = [min(int(n), SHINGLE) for block in blocks(batch.column(1)) for n in np.diff(block.first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(words, pa.int32())], ["item_id", "hashes", "words"])
 
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(collect, "item_id long, hashes array<long>").where(F.size("hashes") > 0).distinct()
+    return rows.mapInArrow(collect, "item_id long, hashes array<long>, words int").where(F.size("hashes") > 0).distinct()
 
 
 def _index(spark: SparkSession, items: DataFrame, percent: int):
@@ -57,24 +60,29 @@ def _index(spark: SparkSession, items: DataFrame, percent: int):
     return spark.sparkContext.broadcast((np.array([r["item_id"] for r in rows], dtype=np.int64), sets, key[order], owner[order]))
 
 
-def _search_all(shared, percent: int):
+def _short(items: DataFrame) -> tuple[int, ...]:
+    """The lengths of shingles of items of fewer words than a shingle has."""
+    return tuple(sorted(r[0] for r in items.where(F.col("words") < SHINGLE).select("words").distinct().collect()))
+
+
+def _search_all(shared, percent: int, lengths: tuple[int, ...]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, key, item = shared.value
         distinct, first = np.unique(key, return_index=True)
         last = np.append(first[1:], len(key))
         for batch in batches:
-            counts, hits, best = [], [], []
+            hits, best = [], []
             for block in blocks(batch.column(batch.schema.get_field_index("text"))):
-                found, offsets = shingles(block.hashes, block.first)
-                at = np.minimum(np.searchsorted(distinct, found), max(len(distinct) - 1, 0))
-                matched = np.flatnonzero(distinct[at] == found) if len(distinct) else np.zeros(0, np.int64)
-                owner = np.searchsorted(offsets, matched, side="right") - 1
-                for i, (low, high) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                    counts.append(int(high - low))
-                    mine = at[matched[np.searchsorted(owner, i) : np.searchsorted(owner, i, side="right")]]
+                looked = []
+                for found, offsets in (shingles(block.hashes, block.first), *[runs(block.hashes, block.first, k) for k in lengths]):
+                    at = np.minimum(np.searchsorted(distinct, found), max(len(distinct) - 1, 0))
+                    matched = np.flatnonzero(distinct[at] == found) if len(distinct) else np.zeros(0, np.int64)
+                    looked.append((found, offsets, at, matched, np.searchsorted(offsets, matched, side="right") - 1))
+                for i in range(len(block.first) - 1):
+                    mine = np.concatenate([at[matched[np.searchsorted(owner, i) : np.searchsorted(owner, i, side="right")]] for _, _, at, matched, owner in looked])
                     kept: dict[int, float] = {}
                     if len(mine):
-                        own = np.unique(found[low:high])
+                        own = np.unique(np.concatenate([found[offsets[i] : offsets[i + 1]] for found, offsets, *_ in looked]))
                         candidates = np.unique(np.concatenate([item[first[k] : last[k]] for k in np.unique(mine)]))
                         for c in candidates:
                             place = np.minimum(np.searchsorted(own, sets[c]), len(own) - 1)
@@ -88,19 +96,19 @@ def _search_all(shared, percent: int):
     return search
 
 
-def _search_joined(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+def _search_joined(docs: DataFrame, items: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """The same through joins on shingles, for an index that is too large to broadcast.
 
     Texts are taken apart once; of their shingles only those that some item has are written, with the number of their row.
     """
-    work = Workspace(docs.sparkSession)
     rows = work.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, found in zip(batch.column(0), shingle_sets(batch.column(1)), strict=True):
+            for key, found in zip(batch.column(0), shingle_sets(batch.column(1), lengths), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.repeat(key, len(found)), pa.array(found.view(np.int64))], ["key", "hash"])
 
+    lengths = _short(items)
     sized = items.withColumns({"n": F.size("hashes"), "set": F.xxhash64("hashes")})
     sized = work.table(sized, "items")
     whole = sized.select("item_id", "set", F.explode("hashes").alias("hash"))
@@ -122,14 +130,15 @@ def _search_joined(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame
 def search(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast: int = BROADCAST) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with ``items``, the ids of the items that the text contains, and ``containment``, the largest share.
 
-    An item of fewer than five words is found only in a text of just these words. Null and empty texts contain nothing,
+    An item of fewer than five words is found wherever its words stand one after the other. Null and empty texts contain nothing,
     nor are null and empty items found. Columns of ``docs`` named items or containment are replaced, others are kept
     whatever their names. Rows are judged each for itself, repeated and null ids included, and texts of any length are
     read whole. No documents give no rows, and without items nothing is contained.
     """
     docs = docs.drop("items", "containment").withColumn("text", F.col("text").cast("string"))
-    items = item_sets(benchmark)
+    work = Workspace(docs.sparkSession)
+    items = work.table(item_sets(benchmark), "items")
     if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) > broadcast:
-        return _search_joined(docs, items, percent)
+        return _search_joined(docs, items, percent, work)
     schema = StructType([*docs.schema, StructField("items", ArrayType(LongType())), StructField("containment", DoubleType())])
-    return docs.mapInArrow(_search_all(_index(docs.sparkSession, items, percent), percent), schema)
+    return docs.mapInArrow(_search_all(_index(docs.sparkSession, items, percent), percent, _short(items)), schema)

@@ -94,7 +94,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             for found in shingle_sets(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("string"))
+    some = docs.where(F.pmod(F.monotonically_increasing_id(), F.lit(SAMPLE)) == 0).select(F.col("text").cast("string"))
     counts = some.mapInArrow(explode, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
     rows = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()
     return np.sort(rows["h"].to_numpy().view(np.uint64))

@@ -229,10 +229,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low, high = block.first[i], block.first[i + 1]
                     data = block.data.tobytes() if n == 1 else block.data[block.begin[i] : block.begin[i + 1]].tobytes()
                     start = block.start[low:high] - (0 if n == 1 else block.begin[i])
-                    joined = " ".join(data[a:b].decode().translate(_LOWER) for a, b in zip(start.tolist(), (start + block.length[low:high]).tolist(), strict=True))
-                    for a, b, r in detect(joined, sorted({r for k in gated[i] for r in gates[k]})):
-                        word = joined.count(" ", 0, a)
-                        kept.append((word, word + joined.count(" ", a, b) + 1, all_rules[r].label, all_rules[r].priority))
+                    words = [data[a:b].decode().translate(_LOWER) for a, b in zip(start.tolist(), (start + block.length[low:high]).tolist(), strict=True)]
+                    found = detect(" ".join(words), sorted({r for k in gated[i] for r in gates[k]}))
+                    # The spaces before a place tell the word that it lies in.
+                    spaces = np.cumsum([len(w) + 1 for w in words]) - 1
+                    starts, ends = (np.searchsorted(spaces, [x[k] for x in found]).tolist() for k in (0, 1))
+                    kept = [(a, b + 1, all_rules[r].label, all_rules[r].priority) for a, b, (_, _, r) in zip(starts, ends, found, strict=True)]
                 out["n_words"].append(int(block.first[i + 1] - block.first[i]))
                 out["n_base"].append(int(count[i]))
                 out["first_word"].append(int(first[i]) if count[i] else None)
@@ -252,7 +254,8 @@ _FOUND = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan(docs: DataFrame) -> DataFrame:
     """Of each row of ``docs`` (doc_id, text): words, base phrases, labels, score and the detections by word.
 
-    A null text is an empty one: no words, no labels, score 0. Texts are read whole; each row is scanned for itself,
-    also where doc_id is null or repeated. The score is the priority of the strongest detection, in hundredths.
+    A null text is an empty one: no words, no labels, score 0. Texts of any length are read whole, in time that grows with their length; each
+    row is scanned for itself, also where doc_id is null or repeated. The score is the priority of the strongest detection, in hundredths.
+    An empty table gives an empty table, and columns besides doc_id and text are dropped.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, f"doc_id long, {_FOUND}")

@@ -382,7 +382,7 @@ def score(docs: DataFrame, work: Workspace) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
     training = docs.where(~F.col("held_out"))
-    hot = spark.sparkContext.broadcast(_hot_words(training.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")))
+    hot = spark.sparkContext.broadcast(_hot_words(training.where(F.pmod(F.monotonically_increasing_id(), F.lit(SAMPLE)) == 0).select("text")))
     counted = work.table(docs.select("text", "held_out").mapInArrow(_count(hot), "kind string, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
     scalars = {r["key"]: r["n"] for r in counted.where("kind = 't'").collect()}
     tokens, texts = scalars.get(0, 0), scalars.get(1, 0)

@@ -176,9 +176,17 @@ def shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(total), offsets
 
 
-def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a column."""
+def runs(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``length`` words, fewer than five, of each text, and their offsets by text: a run's is that of a text of just these words."""
+    count = np.maximum(np.diff(first) - length + 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    at = np.repeat(first[:-1] - offsets[:-1], count) + np.arange(offsets[-1])
+    return mix(np.add.reduce([hashes[at + k] * _ODD[k] for k in range(length)]) + _SHORT[length]), offsets
+
+
+def shingle_sets(column: pa.Array | pa.ChunkedArray, lengths: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a column, with those of its runs of ``lengths`` words."""
     for block in blocks(column):
-        found, offsets = shingles(block.hashes, block.first)
-        for low, high in zip(offsets[:-1], offsets[1:], strict=True):
-            yield np.unique(found[low:high])
+        found = [shingles(block.hashes, block.first), *[runs(block.hashes, block.first, k) for k in lengths]]
+        for i in range(len(block.first) - 1):
+            yield np.unique(np.concatenate([h[o[i] : o[i + 1]] for h, o in found]))
