@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievery.functions import description
-from sievery.operators import components, rules
+from sievery.functions import description, documents
+from sievery.operators import components, rules, sources
 from sievery.plans.registry import Registry, Tables
 from sievery.storage import Workspace
 from sievery.streaming import sync
@@ -109,3 +109,70 @@ def source_sync(t: Tables) -> DataFrame:
     # Of equally late events the one with the larger number counts.
     batch = batch.groupBy("source", "id", "at").agg(F.max("event_id").alias("event_id"), F.min("ok").alias("ok"))
     return sync.synced(first, batch)
+
+
+_KINDS = "CASE s_suppkey % 5 WHEN 0 THEN 'ats' WHEN 1 THEN 'custom' WHEN 2 THEN 'generic' WHEN 3 THEN 'ATS' ELSE '' END"
+
+
+@plan.query(f"""
+WITH s AS (SELECT s_suppkey, s_name, lower({_KINDS}) AS type, CASE s_suppkey % 3 WHEN 0 THEN 'lever' WHEN 1 THEN 'greenhouse' ELSE 'other' END AS provider,
+    s_suppkey % 2 = 0 AS trusted, s_suppkey % 7 < 4 AS auto_publish, s_suppkey % 11 > 0 AS enabled, s_suppkey % 13 = 0 AS community, s_suppkey % 17 = 0 AS review, contains(s_name, '7') AS hand FROM supplier),
+c AS (SELECT *, type = 'ats' AND provider <> 'other' AS reads, CASE WHEN community THEN 'community_submission_source' WHEN hand OR review THEN 'tracked_manual_org'
+    WHEN enabled AND trusted AND auto_publish AND type = 'ats' AND provider <> 'other' THEN 'trusted_ats_auto_sync' WHEN enabled AND (trusted OR type IN ('ats', 'custom')) THEN 'trusted_nonprofit_pending_review'
+    WHEN enabled AND type = 'generic' THEN 'manual_review_community' ELSE 'low_confidence_experimental' END AS classification FROM s)
+SELECT s_suppkey, classification, CASE classification WHEN 'trusted_ats_auto_sync' THEN 'high' WHEN 'trusted_nonprofit_pending_review' THEN 'medium' WHEN 'manual_review_community' THEN 'medium' ELSE 'low' END AS confidence,
+    NOT hand AND NOT community AND reads AS direct, enabled AND NOT reads AS discovery, review OR hand AS manual FROM c
+""")
+def source_classes(t: Tables) -> DataFrame:
+    """What suppliers would be as sources of each kind, and which of them a sync reads."""
+    key = F.col("s_suppkey")
+    rows = t.supplier.select(
+        "s_suppkey", F.col("s_name").alias("name"), F.expr(_KINDS).alias("type"), F.when(key % 3 == 0, "lever").when(key % 3 == 1, "greenhouse").otherwise("other").alias("provider"), (key % 2 == 0).alias("trusted"), (key % 7 < 4).alias("auto_publish"),
+        F.when(key % 11 == 0, False).alias("enabled"), (key % 13 == 0).alias("community_submission"), F.when(key % 17 == 0, True).alias("manual_review_required"),
+    )
+    found = sources.normalized(rows, ("7",))
+    return found.select("s_suppkey", "source.classification", "source.confidence", "source.direct", "source.discovery", F.col("source.manual_review_required").alias("manual"))
+
+
+@plan.query("""
+SELECT o_orderkey, o_orderstatus <> 'F' AND (o_orderstatus = 'P' OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 1) AS kept FROM orders
+""")
+def preserved_records(t: Tables) -> DataFrame:
+    """Which orders, as records of which one state is public and one archived, would stay in the store."""
+    key, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    status = F.when(F.col("o_orderstatus") == "P", "Archived").otherwise("draft")
+    kept = sources.preserved(status, F.col("o_orderstatus") == "F", F.when(key % 5 == 0, F.array(F.lit("title"))), F.when(key % 7 == 0, F.array(F.lit("pay"))).otherwise(none), F.when(key % 11 == 1, "seen").when(key % 11 == 2, " "))
+    return t.orders.select("o_orderkey", kept.alias("kept"))
+
+
+@plan.query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, p_name AS name, split_part(p_brand, '#', 1) AS brand, split_part(p_brand, '#', 2) AS number FROM part),
+c AS (SELECT k, CASE WHEN kind IN (0, 3) THEN 'Acme & Sons ' || number END AS a, CASE WHEN kind IN (1, 3) THEN 'Company ' || number END AS b, CASE WHEN kind = 2 THEN 'medium' ELSE 'high' END AS level, CASE WHEN kind = 2 THEN 'Greenleaf ' || number ELSE 'Example' END AS d FROM p)
+SELECT k AS p_partkey, coalesce(a, b, d) AS organization, CASE WHEN a IS NULL AND b IS NULL THEN level ELSE 'high' END AS confidence, CASE WHEN a IS NOT NULL THEN 'title_suffix' WHEN b IS NOT NULL THEN 'embedded_field:employer' ELSE 'address' END AS origin,
+    CAST((a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS INTEGER) AS others FROM c
+""")
+def attribution_ladder(t: Tables) -> DataFrame:
+    """Whose postings parts would be, if their brands stood in titles, payloads or addresses."""
+    kind, number = F.col("p_partkey") % 4, F.split("p_brand", "#")[1]
+    title = F.concat(F.lit("Policy Analyst"), F.when(kind.isin(0, 3), F.concat(F.lit(" - Acme & Sons "), number)).otherwise(" | Remote"))
+    payload = F.when(kind.isin(1, 3), F.parse_json(F.to_json(F.struct(F.lit("Apply now").alias("company"), F.concat(F.lit("Company "), number).alias("employer")))))
+    address = F.when(kind == 2, F.concat(F.lit("https://boards.greenhouse.io/greenleaf-"), number, F.lit("/jobs/1"))).otherwise("https://www.example.org/jobs/1")
+    found = sources.attributed(t.part.select("p_partkey", "p_brand", "p_name"), title, payload, address, F.lit(""))
+    return found.select("p_partkey", "attribution.organization", "attribution.confidence", "attribution.origin", F.size("attribution.others").alias("others"))
+
+
+@plan.query("""
+SELECT p_partkey, CASE p_partkey % 4
+    WHEN 0 THEN p_name WHEN 1 THEN p_brand || ', ' || CAST(p_size AS VARCHAR) || ', true, ' || p_type WHEN 2 THEN p_type ELSE '' END AS text FROM part
+""")
+def safe_texts(t: Tables) -> DataFrame:
+    """What documents of several shapes, made of parts, say as one text."""
+    key = F.col("p_partkey") % 4
+    shapes = [
+        F.to_json(F.struct(F.lit("u").alias("url"), F.struct(F.lit("").alias("title"), F.array("p_name").alias("value")).alias("label"))),
+        F.concat(F.lit('['), F.to_json(F.struct(F.col("p_brand").alias("name"))), F.lit(', null, "[object Object]", '), F.col("p_size").cast("string"), F.lit(', true, [[], '), F.to_json(F.struct(F.col("p_type").alias("text"))), F.lit("]]")),
+        F.to_json(F.struct(F.lit("unseen").alias("note"), F.struct(F.array(F.struct(F.col("p_type").alias("html"))).alias("team")).alias("summary"))),
+        F.lit('{"other": {"name": ""}, "tags": ["a"]}'),
+    ]
+    rows = t.part.select("p_partkey", F.when(key == 0, shapes[0]).when(key == 1, shapes[1]).when(key == 2, shapes[2]).otherwise(shapes[3]).alias("json"))
+    return documents.safe_text(rows, "p_partkey", "json", Workspace(t.spark))
