@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievery.llm.words import mix, shingle_sets, small_batches
+from sievery.llm.words import mix, release, shingle_sets, small_batches
 from sievery.storage import Workspace, broadcast_if_small
 
 #: Least similarity, in hundredths of the union.
@@ -125,6 +125,7 @@ def _describe(frequent, percent: int):
             words = np.array(sketches, np.int64).reshape(-1, len(BINS)).T
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, common)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists, *[pa.array(x) for x in words]], ["doc_id", "key", "n", "rare", "common", *BINS])
+        release()
 
     return describe
 
@@ -139,6 +140,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held > SETS_HELD or i + 1 == batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "shingles"])
                 keys, sets, held = [], [], 0
+    release()
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +153,7 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = (a, b) if len(a) >= len(b) else (b, a)
             shared.append(int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (shared, *sizes)]], ["pivot", "key", "shared", "pivot_n", "n"])
+    release()
 
 
 def connected(edges: DataFrame, work: Workspace) -> DataFrame:

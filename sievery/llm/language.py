@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievery.llm.words import release
+
 #: N-grams of a profile.
 LENGTH = 300
 #: Letters of a text that are counted at a time.
@@ -102,6 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush()
             held, size = {}, 0
     yield from flush()
+    release()
 
 
 def learn(docs: DataFrame, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -158,6 +161,7 @@ def predicted(spark, text: Column, profiles: dict[str, np.ndarray]) -> Column:
         for texts in batches:
             lang, score, scores = zip(*[compared(t.as_py(), lookup) for t in texts], strict=True) if len(texts) else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(scores, pa.list_(pa.float64()))], ["lang", "score", "scores"])
+        release()
 
     return predict(text.cast("string"))
 

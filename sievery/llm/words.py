@@ -11,6 +11,7 @@ places alike then meet by chance only, for two given words about once in 2**56;
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -65,6 +66,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system, at the end of a task that held whole texts or sets, for idle workers keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """While it lasts, Arrow batches that go to Python end at ``size`` bytes, for rows that hold whole texts or sets."""
