@@ -92,7 +92,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     folder = _workspace(spark).folder("tokens")
-    return tokens.read(spark, tokens.write(docs, folder, public_tokenizers.path("word_bpe_49k.json")))
+    return tokens.read(spark, tokens.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), keep=False))
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from sievery.llm.words import SHINGLE, blocks, runs, shingle_sets, shingles, small_batches
+from sievery.llm.words import SHINGLE, blocks, release, runs, shingle_sets, shingles, small_batches
 from sievery.storage import Workspace
 
 #: Least share of an item's shingles, in hundredths.
@@ -92,6 +92,7 @@ def _search_all(shared, percent: int, lengths: tuple[int, ...]):
                     hits.append(sorted(kept))
                     best.append(max(kept.values(), default=0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*batch.schema.names, "items", "containment"])
+        release()
 
     return search
 

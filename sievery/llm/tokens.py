@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievery.llm.words import SPACED, blocks
+from sievery.llm.words import SPACED, blocks, release
 
 END = 1
 #: Token ids of a sequence, and sequences of a record batch.
@@ -138,7 +138,7 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 _MANIFEST = "part int, tokens string, docs string, n_tokens long"
 
 
-def _writer(folder: str, tokenizer: str, end: int, width: int, rows: int):
+def _writer(folder: str, tokenizer: str, end: int, width: int, rows: int, keep: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(tokenizer)
         fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -171,22 +171,27 @@ def _writer(folder: str, tokenizer: str, end: int, width: int, rows: int):
             for x in (tokens, docs, sink, listed):
                 x.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": [f"{folder}/{name}.arrow"], "docs": [f"{folder}/{name}.docs.arrow"], "n_tokens": [total]})
+        del coder
+        if not keep:
+            _coders.clear()
+        release()
 
     return write
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, width: int = SEQUENCE, rows: int = BATCH) -> list[tuple[int, str, str, int, int]]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, width: int = SEQUENCE, rows: int = BATCH, keep: bool = True) -> list[tuple[int, str, str, int, int]]:
     """Write ``docs`` (doc_id, text) to ``folder``; the files in order: part, token file, document file, ids, ids before.
 
     Null ids come first, equal ids in the order of their texts; a null text is an empty one and has only the end id. A
     task that is run again writes files of a new name, and only those that the list names count. The driver sees this
-    list, which has a row for each partition. An empty table gives no files.
+    list, which has a row for each partition. An empty table gives no files. Texts of any length are encoded whole, and other columns are
+    dropped. ``keep``: workers keep the tokenizer and the words that they know for their next tasks, or else give that memory back.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows_in.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(tuple(r) for r in ordered.mapInArrow(_writer(folder, tokenizer, end, width, rows), _MANIFEST).collect())
+    files = sorted(tuple(r) for r in ordered.mapInArrow(_writer(folder, tokenizer, end, width, rows, keep), _MANIFEST).collect())
     listed, before = [], 0
     for file in files:
         listed.append((*file, before))
