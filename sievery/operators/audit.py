@@ -32,3 +32,19 @@ def drift(previous: DataFrame, current: DataFrame, tolerance: float) -> DataFram
     met = a.join(b, "metric", "full_outer")
     change = F.when(F.col("before") == 0, None).otherwise((F.col("after") - F.col("before")) / F.col("before"))
     return met.withColumn("change", change).withColumn("alert", F.coalesce(F.abs("change") > tolerance, F.lit(True)))
+
+
+#: Examples that a count keeps.
+EXAMPLES = 10
+
+
+def counted(found: DataFrame, by: list[str], id_: str, **others: Column) -> DataFrame:
+    """Groups of ``found`` with ``n``, sums ``others``, and up to ten ids as ``examples``, however large a group is.
+
+    Ids fall into sixteen parts by their MD5, and each part keeps its smallest: sixteen rows of a group are all that is
+    ever gathered, and they are combined before the shuffle. Rows without id count but are no example.
+    """
+    key = F.col(id_).cast("string")
+    parts = found.withColumn("_part", F.substring(F.md5(key.cast("binary")), 1, 1)).groupBy(*by, "_part")
+    parts = parts.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("_first"), *[F.sum(c).alias(name) for name, c in others.items()])
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(name).alias(name) for name in others], F.slice(F.array_sort(F.collect_list("_first")), 1, EXAMPLES).alias("examples"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievery.functions.values import changed_fields, prefer
+from sievery.functions.values import changed_fields, has_value, prefer
+from sievery.operators.audit import counted
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -55,6 +56,47 @@ def compare_snapshots(old: DataFrame, new: DataFrame, key: str, fields: list[str
     return marked.withColumn("status", status).drop("_old", "_new")
 
 
+def compare_versions(versions: dict[str, DataFrame], key: str, fields: list[str]) -> DataFrame:
+    """Rows of any of the versions by key: ``present`` (their names) and ``differences``, the fields on which they do not all agree.
+
+    A difference has the field, its ``pattern`` and ``blanked``. The pattern has a letter for each version in order, that
+    of the first version with the same value, and ``-`` where the row is missing: of three, AAC was changed by the last,
+    ABA taken back, and A-C missed one. ``blanked`` says that the last version present has no value where an earlier one has. One union and
+    one aggregate, whatever the number of versions; of rows of a version that repeat a key the largest counts.
+    """
+    names, tagged = list(versions), None
+    for i, df in enumerate(versions.values()):
+        part = df.select(key, F.lit(i).alias("_version"), F.struct(*fields).alias("_values"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    met = tagged.groupBy(key).agg(*[F.max(F.when(F.col("_version") == i, F.col("_values"))).alias(f"_{i}") for i in range(len(names))])
+    there = [F.col(f"_{i}").isNotNull() for i in range(len(names))]
+
+    def letter(f: str, i: int) -> Column:
+        out = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"[i])
+        for j in reversed(range(i)):
+            out = F.when(there[j] & F.col(f"_{j}.{f}").eqNullSafe(F.col(f"_{i}.{f}")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[j]).otherwise(out)
+        return F.when(there[i], out).otherwise("-")
+
+    def difference(f: str) -> Column:
+        values = [F.col(f"_{i}.{f}") for i in range(len(names))]
+        last = F.coalesce(*[F.when(there[i], F.coalesce(has_value(values[i]), F.lit(False))) for i in reversed(range(len(names)))])
+        some = F.lit(False)
+        for i, v in enumerate(values):
+            some = some | (there[i] & has_value(v))
+        pattern = F.concat(*[letter(f, i) for i in range(len(names))])
+        several = F.size(F.array_distinct(F.filter(F.split(pattern, ""), lambda c: ~c.isin("-", "")))) > 1
+        return F.when(several, F.struct(F.lit(f).alias("field"), pattern.alias("pattern"), (some & ~last).alias("blanked")))
+
+    present = F.array_compact(F.array(*[F.when(there[i], F.lit(n)) for i, n in enumerate(names)]))
+    return met.select(key, present.alias("present"), F.array_compact(F.array(*[difference(f) for f in fields])).alias("differences"))
+
+
+def count_differences(compared: DataFrame, key: str) -> DataFrame:
+    """Differences of ``compare_versions`` by field and pattern: ``n``, how many of them blanked a value, and a few examples."""
+    rows = compared.select(key, F.explode("differences").alias("d")).select(key, "d.*")
+    return counted(rows, ["field", "pattern"], key, blanked=F.col("blanked").cast("long"))
+
+
 def safe_merge(current: DataFrame, proposed: DataFrame, key: str, fields: list[str], risky: dict[str, Column]) -> DataFrame:
     """Current rows with the proposed values, but for blanks and what ``risky`` (over old_ and new_ columns) forbids, listed in ``kept``."""
     a = current.select(key, *[F.col(f).alias(f"old_{f}") for f in fields])
