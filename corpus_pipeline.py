@@ -37,8 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and those without letters, are in none and go. Without labelled documents, none is kept.
     """
     work = _workspace(spark)
-    profiles = language.learn(docs)
     with small_batches(spark):
+        profiles = language.learn(docs)
         told = work.table(docs.select(F.struct("*").alias("row"), "lang", language.predicted(spark, F.col("text"), profiles).alias("told")), "told")
     least = language.least_score(told.select("lang", "told.scores"), sorted(profiles))
     return told.where((F.col("told.lang") != language.UNKNOWN) & (F.col("told.score") >= least)).select("row.*")
@@ -51,7 +51,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     work = _workspace(spark)
     rows = work.table(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
-    found = jaccard.components(rows.select(F.col("number").alias("doc_id"), "row.text"), work).where("n_shingles > 0")
+    with small_batches(spark):
+        found = jaccard.components(rows.select(F.col("number").alias("doc_id"), "row.text"), work).where("n_shingles > 0")
     order = rows.select("number", F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", F.xxhash64("row").alias("hash"), "number").alias("place"))
     found = work.table(found.select(F.col("doc_id").alias("number"), "component_id"), "components")
     # Only components of several rows have copies.
@@ -65,10 +66,11 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain an item of the benchmark. Null and empty texts contain none; an empty benchmark drops nothing."""
-    _workspace(spark)
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    work = _workspace(spark)
+    rows = docs.select(F.struct("*").alias("row"), "text")
     found = decontamination.search(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("items") == 0).select("row.*")
+    with small_batches(spark):
+        return work.table(found.where(F.size("items") == 0).select("row.*"), "kept")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +94,9 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     folder = _workspace(spark).folder("tokens")
-    return tokens.read(spark, tokens.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), keep=False))
+    with small_batches(spark):
+        files = tokens.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), keep=False)
+    return tokens.read(spark, files)
 
 
 STAGES = [

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from sievery.llm.words import SHINGLE, blocks, release, runs, shingle_sets, shingles, small_batches
 from sievery.storage import Workspace
@@ -25,6 +24,8 @@ from sievery.storage import Workspace
 PERCENT = 75
 #: Shingles of all items up to which the index is broadcast (16 bytes each); beyond, it is joined.
 BROADCAST = 2_000_000
+#: What a text contains.
+FOUND = "struct<items: array<bigint>, containment: double>"
 
 
 def minima(size: int, percent: int = PERCENT) -> int:
@@ -66,13 +67,15 @@ def _short(items: DataFrame) -> tuple[int, ...]:
 
 
 def _search_all(shared, percent: int, lengths: tuple[int, ...]):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A function of texts: the items in each and the largest share. Only texts go to Python, and rows wait in the JVM."""
+
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, sets, key, item = shared.value
         distinct, first = np.unique(key, return_index=True)
         last = np.append(first[1:], len(key))
-        for batch in batches:
+        for texts in batches:
             hits, best = [], []
-            for block in blocks(batch.column(batch.schema.get_field_index("text"))):
+            for block in blocks(texts):
                 looked = []
                 for found, offsets in (shingles(block.hashes, block.first), *[runs(block.hashes, block.first, k) for k in lengths]):
                     at = np.minimum(np.searchsorted(distinct, found), max(len(distinct) - 1, 0))
@@ -91,10 +94,10 @@ def _search_all(shared, percent: int, lengths: tuple[int, ...]):
                                 kept[int(ids[c])] = max(kept.get(int(ids[c]), 0.0), share / len(sets[c]))
                     hits.append(sorted(kept))
                     best.append(max(kept.values(), default=0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*batch.schema.names, "items", "containment"])
+            yield pa.StructArray.from_arrays([pa.array(hits, pa.list_(pa.int64())), pa.array(best, pa.float64())], ["items", "containment"])
         release()
 
-    return search
+    return F.arrow_udf(search, FOUND).asNondeterministic()
 
 
 def _search_joined(docs: DataFrame, items: DataFrame, percent: int, work: Workspace) -> DataFrame:
@@ -141,5 +144,6 @@ def search(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadc
     items = work.table(item_sets(benchmark), "items")
     if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) > broadcast:
         return _search_joined(docs, items, percent, work)
-    schema = StructType([*docs.schema, StructField("items", ArrayType(LongType())), StructField("containment", DoubleType())])
-    return docs.mapInArrow(_search_all(_index(docs.sparkSession, items, percent), percent, _short(items)), schema)
+    found = _search_all(_index(docs.sparkSession, items, percent), percent, _short(items))
+    met = docs.select(F.struct("*").alias("row"), found(F.col("text")).alias("found"))
+    return met.select("row.*", "found.items", "found.containment")
