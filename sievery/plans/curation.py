@@ -8,13 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievery.functions import article, pay, quality, url, values
+from sievery.functions import article, pay, quality, text, url, values
 from sievery.operators import board, canonical, findings, keys, lifecycle, triage
 from sievery.plans.registry import Registry, Tables
 
 plan = Registry()
 QUERIES, SQL = plan.queries, plan.sql
 
+
+def _decoded(sql: str) -> str:
+    for name, value in text.ENTITIES:
+        sql = "replace({}, '{}', '{}')".format(sql, name.replace("'", "''"), value.replace("'", "''"))
+    return sql
+
+
+def _squeezed(sql: str) -> str:
+    return f"trim(regexp_replace({sql}, '[ \\t\\n\\x0B\\f\\r\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g'), ' ')"
+
+
 #: Titles, places, kinds of work, companies and pay of the shapes; {} is a price.
 SHAPES = (
     ("Communications Manager - Remote", "Chicago, IL", "", "Acme Inc", "Salary range: ${a} - ${b} per year."),
@@ -127,15 +138,31 @@ def triage_pending(t: Tables) -> DataFrame:
     return kept.unionByName(out.select("p_partkey", F.lit("rejected_noise").alias("bucket"), "reason"))
 
 
-@plan.query("""
-WITH d AS (SELECT doc_id, text, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r\\x{00A0}\\x{FEFF}]+', ' ', 'g'), ' ') AS flat, lower(source) AS place, CASE doc_id % 5 WHEN 0 THEN '$600,000' WHEN 1 THEN '$0' WHEN 2 THEN '$6' ELSE '' END AS salary, doc_id % 7 AS k FROM documents),
-f AS (
-    SELECT doc_id, 'invalid_pay' AS "check" FROM d WHERE salary <> '' UNION ALL
-    SELECT doc_id, 'title_location' FROM d WHERE k = 1 UNION ALL SELECT doc_id, 'title_location' FROM d WHERE k = 2 UNION ALL
-    SELECT doc_id, 'bad_link' FROM d WHERE k = 3 UNION ALL
-    SELECT doc_id, 'work_mode' FROM d WHERE k = 4 UNION ALL
+def _one(patterns: tuple[str, ...]) -> str:
+    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else p for p in patterns)
+
+
+_SAID = "lower(flat)"
+_COUNT = lambda phrases: " + ".join(f"CAST(contains({_SAID}, '{p}') AS INTEGER)" for p in phrases)
+#: Findings in texts, over doc_id, text, flat (white space normalised) and title.
+_IN_TEXT = f"""
+    SELECT doc_id, 'dead_role' AS "check" FROM d WHERE regexp_matches(title || ' ' || flat, '{_one(canonical.CLOSED)}') UNION ALL
     SELECT doc_id, 'structure' FROM d WHERE length(text) > 500 AND NOT contains(text, chr(10)) UNION ALL
-    SELECT doc_id, 'description' FROM d WHERE regexp_matches(text, '(?i)viewBox|<svg|<span[> ]|<div[> ]|<style'))
+    SELECT doc_id, 'structure' FROM d WHERE length(text) >= 200 AND regexp_matches(text, '[•●○]') AND regexp_matches(text, '(?m)^[ \\t]*[•●○*-]\\s') AND regexp_matches(text, '[^\\n \\t][ \\t]*[•●○]\\s') UNION ALL
+    SELECT doc_id, 'description' FROM d WHERE regexp_matches(text, '(?i)viewBox|<svg|<span[> ]|<div[> ]|<style') UNION ALL
+    SELECT doc_id, 'description' FROM d WHERE {_COUNT(findings.SEVERAL_ROLES)} >= 3 UNION ALL
+    SELECT doc_id, 'description' FROM d WHERE ({" OR ".join(f"starts_with({_SAID}, '{p}')" for p in findings.OTHER_SECTIONS)}) AND length(text) > 150 AND {_COUNT(findings.ROLE_PHRASES)} = 0
+"""
+_TEXTS = f"SELECT doc_id, coalesce(text, '') AS text, {_squeezed("coalesce(text, '')")} AS flat"
+
+
+@plan.query(f"""
+WITH d AS ({_TEXTS}, CASE doc_id % 5 WHEN 0 THEN '$600,000' WHEN 1 THEN '$0' WHEN 2 THEN '$6' ELSE '' END AS salary, doc_id % 7 AS k, CASE doc_id % 7 WHEN 1 THEN 'Analyst (Data' WHEN 2 THEN 'Hybrid' ELSE 'Data Analyst' END AS title FROM documents),
+f AS ({_IN_TEXT} UNION ALL
+    SELECT doc_id, 'invalid_pay' FROM d WHERE salary <> '' UNION ALL
+    SELECT doc_id, 'title_location' FROM d WHERE k IN (1, 2) UNION ALL
+    SELECT doc_id, 'bad_link' FROM d WHERE k = 3 UNION ALL
+    SELECT doc_id, 'work_mode' FROM d WHERE k = 4)
 SELECT "check", count(*) AS n_findings, count(DISTINCT doc_id) AS n_records FROM f GROUP BY "check"
 """)
 def quality_checks(t: Tables) -> DataFrame:
@@ -148,19 +175,19 @@ def quality_checks(t: Tables) -> DataFrame:
         F.when(k == 4, "Remote").otherwise("Boston, MA").alias("location"), F.lit("remote").alias("workplace_type"),
         F.when(F.col("doc_id") % 5 == 0, "$600,000").when(F.col("doc_id") % 5 == 1, "$0").when(F.col("doc_id") % 5 == 2, "$6").otherwise("").alias("salary"),
     )
-    found = findings.findings(records, "doc_id").where("check IN ('invalid_pay', 'title_location', 'bad_link', 'work_mode', 'structure') OR issue = 'raw html'")
+    found = findings.findings(records, "doc_id")
     return found.groupBy("check").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("doc_id").alias("n_records"))
 
 
-@plan.query("""
-WITH f AS (SELECT doc_id, [CASE WHEN doc_id % 3 = 0 THEN 'invalid_pay' END, CASE WHEN doc_id % 2 = 0 THEN 'title_location' END, CASE WHEN length(text) > 500 AND NOT contains(text, chr(10)) THEN 'structure' END] AS l FROM documents),
-c AS (SELECT doc_id, list_sort(list_filter(l, lambda x: x IS NOT NULL)) AS l FROM f)
-SELECT doc_id, CAST(len(l) AS BIGINT) AS n_findings, array_to_string(l, ',') AS checks, CASE WHEN list_contains(l, 'invalid_pay') THEN 'review' ELSE 'repair' END AS route FROM c WHERE len(l) > 0
+@plan.query(f"""
+WITH d AS ({_TEXTS}, CASE WHEN doc_id % 2 = 0 THEN 'Remote' ELSE 'Data Analyst' END AS title FROM documents),
+f AS ({_IN_TEXT} UNION ALL SELECT doc_id, 'invalid_pay' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'title_location' FROM d WHERE doc_id % 2 = 0)
+SELECT doc_id, count(*) AS n_findings, string_agg(DISTINCT "check", ',' ORDER BY "check") AS checks, CASE WHEN bool_and("check" IN ({", ".join(f"'{c}'" for c in findings.REPAIRABLE)})) THEN 'repair' ELSE 'review' END AS route FROM f GROUP BY doc_id
 """)
 def repair_routing(t: Tables) -> DataFrame:
-    records = t.documents.select("doc_id", F.regexp_replace("text", "(?i)closed|<|•|404|not found", "").alias("raw"), F.when(F.col("doc_id") % 2 == 0, "Remote").otherwise("Data Analyst").alias("title"), F.when(F.col("doc_id") % 3 == 0, "$0").otherwise("").alias("salary"), F.col("text").alias("description"))
-    found = findings.findings(records.drop("raw"), "doc_id").where("check IN ('invalid_pay', 'title_location', 'structure') AND issue <> 'bullets within lines'")
-    return findings.routed(found, "doc_id")
+    """Where documents with findings go."""
+    records = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Remote").otherwise("Data Analyst").alias("title"), F.when(F.col("doc_id") % 3 == 0, "$0").otherwise("").alias("salary"), F.col("text").alias("description"))
+    return findings.routed(findings.findings(records, "doc_id"), "doc_id")
 
 
 _RECORDS = """
@@ -245,13 +272,13 @@ _CUT = "CASE WHEN length({0}) <= 170 THEN {0} WHEN length(regexp_extract(substr(
 
 
 @plan.query(f"""
-WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r\\x{{00A0}}\\x{{FEFF}}]+', ' ', 'g'), ' ') AS x FROM documents WHERE NOT contains(coalesce(text, ''), '&')),
+WITH t AS (SELECT doc_id, {_squeezed(_decoded("regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g')"))} AS x FROM documents),
 s AS (SELECT *, list_filter(list_transform(regexp_extract_all(x, '([^.!?]+[.!?]+)', 1), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM t)
 SELECT doc_id, {_CUT.format('x')} AS short, coalesce(l[len(l)], x) AS last FROM s
 """)
 def article_excerpt(t: Tables) -> DataFrame:
     """Texts cut at a word, and their last sentences."""
-    rows = t.documents.where(~F.contains(F.coalesce("text", F.lit("")), F.lit("&"))).select("doc_id", article.plain(F.col("text")).alias("x"))
+    rows = t.documents.select("doc_id", article.plain(F.col("text")).alias("x"))
     return rows.select("doc_id", article.truncate_at_word(F.col("x")).alias("short"), article.last_sentence(F.col("x")).alias("last"))
 
 
