@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievery.plans import aggregates, curation, joins, merges, pages, records, resolution, states, texts, validation, windows
+from sievery.plans import aggregates, curation, governance, joins, merges, pages, records, resolution, states, texts, validation, windows
 
-MODULES = (aggregates, curation, joins, merges, pages, records, resolution, states, texts, validation, windows)
+MODULES = (aggregates, curation, governance, joins, merges, pages, records, resolution, states, texts, validation, windows)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:
