@@ -166,10 +166,14 @@ def title_parts(title: Column) -> Column:
     return let(let(let(x, after_bracket), after_dash), after_tail)
 
 
+#: A part between bars that directly repeats.
+REPEATED_PART = r"(?i)(?:(?<=^)|(?<=\| ))([^|]+?)(?:\s*\|\s*\1(?=\s*(?:\||$)))+"
+
+
 def clean_title(title: Column, organization: Column) -> Column:
-    """A title freed of markup, addresses, navigation, kinds of contract, the company, workplace and place."""
+    """A title freed of markup, addresses, navigation, kinds of contract, the company, workplace and place, and parts between bars said once."""
     x = cut(F.regexp_replace(strip_html(F.coalesce(title, F.lit(""))), r"[. ]+$", ""), TITLE_CUTS)
-    return title_parts(without_company(x, organization))["title"]
+    return title_parts(F.regexp_replace(without_company(x, organization), REPEATED_PART, "$1"))["title"]
 
 
 def clean_organization(x: Column) -> Column:

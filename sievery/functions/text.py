@@ -174,13 +174,18 @@ def first_tag(html: Column, tag: str) -> Column:
     return normalize_whitespace(decode_entities(strip_tags(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))))
 
 
+#: A value in double, single or no quotes.
+VALUE = "(\"[^\"]+\"|'[^']+'|[^\\s\"'>]+)"
+
+
 def attribute(html: Column, tag: str, name: str) -> Column:
-    return F.regexp_extract(html, f'(?is)<{tag}[^>]*\\b{name}="([^"]*)"', 1)
+    """An attribute of the first element of a kind that has it, or the empty text; in any quotes and case."""
+    return F.regexp_replace(F.regexp_extract(html, f"(?i)<{tag}\\b[^>]*?\\b{name}\\s*=\\s*{VALUE}", 1), "^[\"']|[\"']$", "")
 
 
 def links(html: Column) -> Column:
     """Targets of anchors, in order, the first of equal ones; in double, single or no quotes, in any case."""
-    quoted = F.regexp_extract_all(html, F.lit("(?i)<a\\b[^>]*?\\bhref\\s*=\\s*(\"[^\"]+\"|'[^']+'|[^\\s\"'>]+)"), F.lit(1))
+    quoted = F.regexp_extract_all(html, F.lit(f"(?i)<a\\b[^>]*?\\bhref\\s*=\\s*{VALUE}"), F.lit(1))
     return F.array_distinct(F.transform(quoted, lambda t: F.regexp_replace(t, "^[\"']|[\"']$", "")))
 
 

@@ -71,9 +71,11 @@ def streaks(df: DataFrame, by: list[str], order: Order, failed: Column) -> DataF
     return runs.withColumn("streak", F.sum("_failed").over(inner)).drop("_failed", "_run")
 
 
-def neighbours(df: DataFrame, order: Order, row: str, by: list[str] | None = None) -> DataFrame:
-    """The rows before and after, within a group where one is named."""
-    w = (Window.partitionBy(*by) if by else Window).orderBy(*order)
+def neighbours(df: DataFrame, order: Order, row: str, by: list[str]) -> DataFrame:
+    """The rows before and after within a group; ``by`` names at least one column, for without groups all rows would pass through one task."""
+    if not by:
+        raise ValueError("neighbours are those of a group: name its columns")
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumns({"previous": F.lag(row).over(w), "following": F.lead(row).over(w)})
 
 

@@ -132,8 +132,8 @@ def embedded_objects(df: DataFrame, html: str = "html", wanted: tuple[str, ...]
 
 
 def anchors(df: DataFrame, html: str = "html") -> DataFrame:
-    """Links of pages with their text, one row for each target of a page."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)(<a[^>]*href="[^"]+"[^>]*>.*?</a>)'), F.lit(1))
+    """Links of pages with their text, one row for each different anchor of a page, whatever its quotes and case."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)(<a\b[^>]*?\bhref\s*=\s*(?:{text.VALUE[1:-1]})[^>]*>.*?</a>)"), F.lit(1))
     rows = df.select(*[c for c in df.columns if c != html], F.posexplode(F.array_distinct(found)).alias("position", "_a"))
     return rows.withColumns({"href": text.attribute(F.col("_a"), "a", "href"), "label": text.normalize_whitespace(text.decode_entities(text.strip_tags(F.col("_a"))))}).drop("_a")
 
