@@ -12,6 +12,7 @@ plan = Registry()
 QUERIES, SQL = plan.queries, plan.sql
 
 LONG = "Responsibilities: the analyst leads work on energy policy with partners in many towns, writes reports and plans meetings."
+#: An address that says 404 is a page that is gone: nothing there is fresh.
 #: Descriptions with the points that each gets for itself.
 SAID = (("", 35), ("A short note on the work here, at best.", 50), (LONG, 75), (LONG + " Apply now.", 60), ("Work. <span>", 15))
 PAY = (("high", 40), ("medium", 25), ("low", 10), ("", 0))
@@ -50,7 +51,7 @@ pkeys AS (SELECT k, concat_ws('|', 'ot', org, t) AS key FROM pub UNION ALL SELEC
 dup AS (SELECT keys.k, count(*) FILTER (key IN (SELECT key FROM pkeys)) AS n_public, count(*) FILTER (key IN (SELECT key FROM keys GROUP BY key HAVING count(DISTINCT k) > 1)) AS n_pending FROM keys GROUP BY keys.k),
 f AS (SELECT k, least(100, {_points(SAID, 'k')} + CASE WHEN k % 7 = 0 THEN 15 ELSE 0 END + CASE WHEN k % 11 = 0 THEN 10 ELSE 0 END) AS d, {_points(LINKS, 'k')} AS u,
     least(100, {_points(PAY, 'k')} + CASE WHEN k % 5 < 3 THEN 25 ELSE 0 END + CASE WHEN k % 5 = 4 THEN 5 ELSE 10 END + CASE WHEN k % 13 = 0 THEN 10 ELSE 0 END + CASE k % 5 WHEN 0 THEN 10 WHEN 1 THEN 5 ELSE 0 END) AS y,
-    greatest(0, least(100, 50 + CASE k % 3 WHEN 0 THEN 10 WHEN 1 THEN -30 ELSE 0 END + CASE k % 4 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END + CASE WHEN k % 40 < 3 THEN 15 WHEN k % 40 < 7 THEN 5 WHEN k % 40 > 30 THEN -10 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 0 WHEN k % 120 < 14 THEN 15 WHEN k % 120 > 90 THEN -10 ELSE 0 END)) AS r,
+    CASE WHEN k % 4 < 3 AND contains(CAST(k AS VARCHAR), '404') THEN 0 ELSE greatest(0, least(100, 50 + CASE k % 3 WHEN 0 THEN 10 WHEN 1 THEN -30 ELSE 0 END + CASE k % 4 WHEN 0 THEN 10 WHEN 1 THEN -10 ELSE 0 END + CASE WHEN k % 40 < 3 THEN 15 WHEN k % 40 < 7 THEN 5 WHEN k % 40 > 30 THEN -10 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 0 WHEN k % 120 < 14 THEN 15 WHEN k % 120 > 90 THEN -10 ELSE 0 END)) END AS r,
     CAST(place AS INTEGER) AS l, greatest(0, 100 - 60 * coalesce(n_public, 0) - 30 * coalesce(n_pending, 0)) AS c, CASE WHEN k % 3 = 0 THEN 95 WHEN k % 2 = 0 THEN 5 ELSE 30 END AS s, coalesce(n_public, 0) AS n_public FROM pen LEFT JOIN dup USING (k)),
 g AS (SELECT *, CAST((25 * d + 15 * u + 20 * y + 10 * (r + l + c + s) + 50) // 100 AS BIGINT) AS score FROM f)
 SELECT k AS id, CAST(d AS BIGINT) AS description_quality, CAST(u AS BIGINT) AS url_quality, CAST(y AS BIGINT) AS pay_confidence, CAST(r AS BIGINT) AS freshness, CAST(l AS BIGINT) AS location, CAST(c AS BIGINT) AS duplicate, CAST(s AS BIGINT) AS source_trust, score,
