@@ -32,10 +32,12 @@ def matched(left: DataFrame, right: DataFrame, row: str, how: str = "left_semi")
 def guard(incoming: DataFrame, archive: DataFrame, row: str, archive_row: str, weak: tuple[str, ...] = ("ot",)) -> DataFrame:
     """The first archived row (by id) that each incoming row matches by a key strong enough to block it.
 
-    Keys of a weak kind never block alone. What was a set comparison of each with each is a hash join on keys.
+    Keys of a weak kind never block alone. What was a set comparison of each with each is a hash join on keys. Of each key only the first
+    archived row takes part, so that a key which many rows share makes no pairs of these.
     """
     strong = lambda df, name: df.select(name, F.explode("keys").alias("_key")).where(~F.substring_index("_key", ":", 1).isin(*weak))
-    met = strong(incoming, row).join(strong(archive, archive_row), "_key")
+    first = strong(archive, archive_row).groupBy("_key").agg(F.min(archive_row).alias(archive_row))
+    met = strong(incoming, row).join(first, "_key")
     return met.groupBy(row).agg(F.min(archive_row).alias(archive_row), F.array_sort(F.collect_set(F.substring_index("_key", ":", 1))).alias("matched"))
 
 

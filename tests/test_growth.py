@@ -29,6 +29,12 @@ def shared(spark, n, name, first=0):
     return spark.range(first, first + n).select(F.col("id").alias(name), F.array(F.lit("pr:1"), F.concat(F.lit("id:"), F.col("id").cast("string"))).alias("keys"))
 
 
+def test_guard_makes_no_pairs_of_a_shared_key(spark):
+    found, most = most_rows(keys.guard(shared(spark, 300, "row"), shared(spark, 200, "old", 100), "row", "old"))
+    assert {r.row: (r.old, r.matched) for r in found} == {i: (100, ["id", "pr"] if i >= 100 else ["pr"]) for i in range(300)}
+    assert most <= 600
+
+
 def test_rules_with_one_term_are_counted_without_pairs(spark):
     texts = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "Blue Ring").otherwise("hot bolt").alias("text"))
     texts = texts.unionByName(spark.createDataFrame([(500, None), (501, "green"), (502, "ring"), (502, "bolt")], "id long, text string"))
