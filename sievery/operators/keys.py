@@ -44,10 +44,10 @@ def guard(incoming: DataFrame, archive: DataFrame, row: str, archive_row: str, w
 def first_by_priority(left: DataFrame, right: DataFrame, row: str, right_row: str) -> DataFrame:
     """For each row of ``left`` the row of ``right`` that its first key finds, keys being listed by priority.
 
-    Ties within a key go to the smallest ``right_row``. Rows without a match are left out.
+    Ties within a key go to the smallest ``right_row``, which alone stands for its key in the join. Rows without a match are left out.
     """
     own = left.select(row, F.posexplode("keys").alias("_priority", "_key"))
-    other = right.select(right_row, F.explode("keys").alias("_key"))
+    other = right.select(right_row, F.explode("keys").alias("_key")).groupBy("_key").agg(F.min(right_row).alias(right_row))
     best = F.min(F.struct("_priority", right_row, "_key"))
     return own.join(other, "_key").groupBy(row).agg(best.alias("_b")).select(row, F.col(f"_b.{right_row}").alias(right_row), F.substring_index("_b._key", ":", 1).alias("method"))
 

@@ -35,6 +35,12 @@ def test_guard_makes_no_pairs_of_a_shared_key(spark):
     assert most <= 600
 
 
+def test_lookup_makes_no_pairs_of_a_shared_key(spark):
+    found, most = most_rows(keys.first_by_priority(shared(spark, 300, "row"), shared(spark, 200, "other", 100), "row", "other"))
+    assert {r.row: (r.other, r.method) for r in found} == {i: (100, "pr") for i in range(300)}
+    assert most <= 600
+
+
 def test_rules_with_one_term_are_counted_without_pairs(spark):
     texts = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "Blue Ring").otherwise("hot bolt").alias("text"))
     texts = texts.unionByName(spark.createDataFrame([(500, None), (501, "green"), (502, "ring"), (502, "bolt")], "id long, text string"))
