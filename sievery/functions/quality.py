@@ -6,6 +6,7 @@ A record is given as a mapping of field names to columns; a field that a table l
 from __future__ import annotations
 
 from collections import UserDict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,22 +80,34 @@ def junk(x: Column) -> Column:
     return fields.any_of(x, JUNK)
 
 
+#: Fields that the scores below read.
+SCORED = ("title", "title_confidence", "organization", "location", "workplace_type", "description", "description_snippet", "raw_description", "salary", "pay_parse_warning", "parse_warning", "apply_url", "source_url", "original_url", "specialization", "specialization_confidence", "source")
+
+
+def _made_once(job: Fields, body: Callable[[Fields], Column]) -> Column:
+    """``body`` of the fields, each of which is normalised once, however often the body names it."""
+    return let(F.struct(*[job[x].alias(x) for x in SCORED]), lambda r: body(Fields({x: r[x] for x in SCORED})))
+
+
+def _usable(description: Column, title: Column, organization: Column, is_junk: Column) -> Column:
+    said = F.lower(description)
+    return description.rlike("[A-Za-z]{3,}") & ~is_junk & (said != F.lower(title)) & (said != F.lower(organization)) & ~description.rlike(r"^[>\"'< |/\\-]+$")
+
+
 def usable_description(description: Column, title: Column, organization: Column) -> Column:
     """Text of words that is neither junk nor only the title or the company."""
-    said = F.lower(description)
-    return description.rlike("[A-Za-z]{3,}") & ~junk(description) & (said != F.lower(title)) & (said != F.lower(organization)) & ~description.rlike(r"^[>\"'< |/\\-]+$")
+    return _usable(description, title, organization, junk(description))
 
 
-def content_quality(job: Fields) -> Column:
-    """100 less what is wrong with the description."""
+def _content(job: Fields, junk_text: Column, junk_raw: Column) -> Column:
     text, snippet = job["description"], job["description_snippet"]
     mentions = F.when(job["organization"] == "", 0).otherwise((F.length(text) - F.length(F.replace(F.lower(text), F.lower(job["organization"]), F.lit("")))) / F.greatest(F.length(job["organization"]), F.lit(1)))
     cases = (
         (45, text == ""),
         (10, (text != "") & (F.length(text) < 140)),
         (30, F.lower(text).rlike(OPENING) | F.lower(snippet).rlike(OPENING)),
-        (30, junk(text) | junk(snippet)),
-        (12, junk(job["raw_description"])),
+        (30, junk_text | junk(snippet)),
+        (12, junk_raw),
         (10, mentions >= 3),
         (10, ~text.rlike(VERBS)),
         (6, (job["salary"] == "") & (job["pay_parse_warning"] != "")),
@@ -103,17 +116,28 @@ def content_quality(job: Fields) -> Column:
     return clamp(F.lit(100) - sum((F.when(c, n).otherwise(0) for n, c in cases), F.lit(0)))
 
 
-def parser_confidence(job: Fields) -> Column:
-    """How far the parsed fields can be trusted, 0 to 100."""
-    title = F.when(job["title_confidence"] == "high", 25).when(job["title_confidence"] == "medium", 16).when(job["title_confidence"] == "low", 4).otherwise(0)
+def content_quality(job: Fields) -> Column:
+    """100 less what is wrong with the description."""
+    return _made_once(job, lambda job: _content(job, junk(job["description"]), junk(job["raw_description"])))
+
+
+def _facts(job: Fields) -> Column:
+    """A struct of what several scores ask of a record, so that each is found out once."""
     apply_to = F.coalesce(F.nullif(job["apply_url"], F.lit("")), job["original_url"])
-    source = F.coalesce(F.nullif(job["source_url"], F.lit("")), F.nullif(job["original_url"], F.lit("")), job["apply_url"])
+    source = F.coalesce(F.nullif(job["source_url"], F.lit("")), job["original_url"])
+    return F.struct(junk(job["description"]).alias("junk_text"), junk(job["raw_description"]).alias("junk_raw"), fields.valid_location(job["location"]).alias("placed"), apply_url(apply_to).alias("applies"), web_url(source).alias("from_web"), apply_to.alias("apply_to"), source.alias("source"))
+
+
+def _parsed(job: Fields, facts: Column, usable: Column) -> Column:
+    title = F.when(job["title_confidence"] == "high", 25).when(job["title_confidence"] == "medium", 16).when(job["title_confidence"] == "low", 4).otherwise(0)
+    # Where no source is known, the address to apply at stands for it.
+    from_web = F.when(facts["source"] != "", facts["from_web"]).otherwise(web_url(job["apply_url"]))
     cases = (
-        (20, usable_description(job["description"], job["title"], job["organization"])),
-        (10, ~junk(job["description"]) & ~junk(job["raw_description"])),
-        (15, apply_url(apply_to)),
-        (8, web_url(source)),
-        (6, fields.valid_location(job["location"])),
+        (20, usable),
+        (10, ~facts["junk_text"] & ~facts["junk_raw"]),
+        (15, facts["applies"]),
+        (8, from_web),
+        (6, facts["placed"]),
         (4, job["workplace_type"] != ""),
         (4, job["specialization"] != ""),
         (4, job["specialization_confidence"] == "high"),
@@ -122,34 +146,48 @@ def parser_confidence(job: Fields) -> Column:
         (-20, junk(job["title"]) | junk(job["location"])),
         (-20, (job["title"] == "") | (job["organization"] == "")),
     )
-    return clamp(title + sum((F.when(c, n).otherwise(0) for n, c in cases), F.lit(0)) + F.floor(content_quality(job) * 0.12 + 0.5))
+    return clamp(title + sum((F.when(c, n).otherwise(0) for n, c in cases), F.lit(0)) + F.floor(_content(job, facts["junk_text"], facts["junk_raw"]) * 0.12 + 0.5))
+
+
+def _judged(job: Fields, body: Callable[[Fields, Column, Column, Column], Column]) -> Column:
+    """``body`` of the fields, the facts, whether the description is usable, and the confidence of the parser."""
+
+    def scored(job: Fields, facts: Column) -> Column:
+        usable = _usable(job["description"], job["title"], job["organization"], facts["junk_text"])
+        return let(usable, lambda usable: let(_parsed(job, facts, usable), lambda score: body(job, facts, usable, score)))
+
+    return _made_once(job, lambda job: let(_facts(job), lambda facts: scored(job, facts)))
+
+
+def parser_confidence(job: Fields) -> Column:
+    """How far the parsed fields can be trusted, 0 to 100."""
+    return _judged(job, lambda job, facts, usable, score: score)
 
 
 def readiness(job: Fields, threshold: int = 70) -> Column:
     """A struct of ``ready``, ``reasons`` against it, ``score`` and ``confidence``."""
-    apply_to = F.coalesce(F.nullif(job["apply_url"], F.lit("")), job["original_url"])
-    source = F.coalesce(F.nullif(job["source_url"], F.lit("")), job["original_url"])
-    board = F.lower(F.concat_ws(" ", job["source"], apply_to, source)).contains("workable")
 
-    def against(score: Column) -> Column:
+    def against(job: Fields, facts: Column, usable: Column, score: Column) -> Column:
+        board = F.lower(F.concat_ws(" ", job["source"], facts["apply_to"], facts["source"])).contains("workable")
         return reasons(
             ("missing_title", job["title"] == ""),
             ("missing_organization", job["organization"] == ""),
             ("low_title_confidence", job["title_confidence"] == "low"),
-            ("description_not_usable", ~usable_description(job["description"], job["title"], job["organization"])),
-            ("junk_content_detected", junk(job["description"]) | junk(job["raw_description"])),
-            ("invalid_location", ~fields.valid_location(job["location"])),
-            ("invalid_source_url", ~web_url(source)),
-            ("workable_no_human_apply_page", ~apply_url(apply_to) & board),
-            ("invalid_apply_url", ~apply_url(apply_to) & ~board),
+            ("description_not_usable", ~usable),
+            ("junk_content_detected", facts["junk_text"] | facts["junk_raw"]),
+            ("invalid_location", ~facts["placed"]),
+            ("invalid_source_url", ~facts["from_web"]),
+            ("workable_no_human_apply_page", ~facts["applies"] & board),
+            ("invalid_apply_url", ~facts["applies"] & ~board),
             ("pay_uncertain", job["pay_parse_warning"] != ""),
             ("parser_confidence_below_public_threshold", score < threshold),
         )
 
-    def told(score: Column) -> Column:
-        return let(against(score), lambda found: F.struct((F.size(found) == 0).alias("ready"), found.alias("reasons"), score.alias("score"), confidence(score).alias("confidence")))
+    def told(*known) -> Column:
+        score = known[-1]
+        return let(against(*known), lambda found: F.struct((F.size(found) == 0).alias("ready"), found.alias("reasons"), score.alias("score"), confidence(score).alias("confidence")))
 
-    return let(parser_confidence(job), told)
+    return _judged(job, told)
 
 
 def mission_score(text: Column, categories: tuple[str, ...] = (), organizations: str | None = None) -> Column:

@@ -54,7 +54,7 @@ def changed_fields(df: DataFrame, fields: list[str], old: str, new: str) -> Colu
 
 def clamp(x: Column, low: float = 0, high: float = 100) -> Column:
     """Half-up rounded and within bounds; null and NaN count as zero."""
-    safe = F.when(x.isNull() | F.isnan(x.cast("double")), 0.0).otherwise(x.cast("double"))
+    safe = F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))  # x is named once, as what it stands for may be long
     return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(safe + 0.5))).cast("long")
 
 

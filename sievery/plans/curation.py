@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sievery.functions import article, pay, quality, text, url, values
 from sievery.operators import board, canonical, findings, keys, lifecycle, triage
 from sievery.plans.registry import Registry, Tables
+from sievery.storage import Workspace, spread
 
 plan = Registry()
 QUERIES, SQL = plan.queries, plan.sql
@@ -54,7 +55,7 @@ def _postings(t: Tables) -> DataFrame:
 
     said = F.replace(F.replace(shape(4), F.lit("{a}"), low), F.lit("{b}"), high)
     url = F.concat(F.lit("https://jobs.example.org/job/"), key.cast("string"), F.when(kind == 5, "x/feed.xml").otherwise("x"))
-    return t.part.select(
+    return spread(t.part.select("p_partkey", "p_retailprice"), "p_partkey").select(
         "p_partkey", kind.alias("kind"), shape(0).alias("title"), shape(1).alias("location"), shape(2).alias("workplace_type"), shape(3).alias("organization"),
         F.concat(F.lit("<p>The person leads work on climate and energy with the team, writes, plans and reports.</p><p>"), said, F.lit("</p>")).alias("description"),
         url.alias("apply_url"), url.alias("source_url"), F.lit("").alias("job_type"), F.when(kind == 2, "renewable power").otherwise("").alias("sector"), F.lit("made").alias("source"),
@@ -120,7 +121,8 @@ SELECT p_partkey, kind NOT IN (5, 7) AS ready, {_case(*["''"] * 5, "'invalid_sou
 FROM ({_PRICES}) WHERE kind <> 6
 """)
 def public_readiness(t: Tables) -> DataFrame:
-    out = _canonical(t)
+    # Written, so that a field is not made anew wherever the score reads it.
+    out = Workspace(t.spark).table(_canonical(t), "canonical")
     return out.withColumn("r", quality.readiness(quality.of(out))).select("p_partkey", "r.ready", F.array_join("r.reasons", ",").alias("reasons"))
 
 
@@ -132,7 +134,7 @@ FROM ({_PRICES})
 def triage_pending(t: Tables) -> DataFrame:
     """Buckets of the shapes: excluded ones first, then the first rule that holds."""
     raw = _postings(t)
-    clean = _canonical(t)
+    clean = Workspace(t.spark).table(_canonical(t), "canonical")
     kept = triage.triaged(clean, TERMS, F.lit("")).select("p_partkey", "triage.bucket", "triage.reason")
     out = raw.select("p_partkey", canonical.exclusion(quality.of(raw)).alias("reason")).where("reason <> ''")
     return kept.unionByName(out.select("p_partkey", F.lit("rejected_noise").alias("bucket"), "reason"))

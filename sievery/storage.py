@@ -65,3 +65,12 @@ def broadcast_if_small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) ->
             held = held + F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
     found = df.select(held.alias("held")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("held").alias("held")).first()
     return F.broadcast(df) if found.n <= rows and (found.held or 0) <= size else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by some of its columns over several tasks for each core.
+
+    For rows that are thin but dear: a file with a million of them may be read by one task, which others cannot help.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from sievery.functions import quality, values
 from sievery.operators import keys, rules
+from sievery.plans import curation
+from sievery.plans.registry import Tables
 from sievery.storage import Workspace
 
 
@@ -53,3 +56,22 @@ def test_rules_with_one_term_are_counted_without_pairs(spark):
     assert {r.id: (r.rules, r.first) for r in found if r.id in (0, 1, 502)} == {0: (301, 6), 1: (2, 6), 502: (302, 6)}
     assert most <= 1000
     assert rules.counted(texts, "id", F.col("text"), known.limit(0), Workspace(spark)).count() == 0
+
+
+def test_readiness_names_each_field_once():
+    """What a field stands for is evaluated wherever it is named, and a field may stand for much."""
+    for score in (quality.readiness, quality.parser_confidence, quality.content_quality):
+        said = str(score(quality.Fields({x: F.col(f"given_{x}") for x in quality.SCORED})))
+        assert all(said.count(f"given_{x} ") + said.count(f"given_{x},") + said.count(f"given_{x})") <= 1 for x in quality.SCORED)
+        assert "given_description" in said
+
+
+def test_clamp_names_its_value_once(spark):
+    assert str(values.clamp(F.col("given"))).count("given") == 1
+    rows = spark.sql("SELECT explode(array(null, double('NaN'), -1D, 2.5D, 100.4D, 1e300D)) AS x").select(values.clamp(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [0, 0, 0, 3, 100, 100]
+
+
+def test_postings_are_spread_over_all_cores(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert curation._postings(t)._jdf.rdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
