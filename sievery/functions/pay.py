@@ -58,7 +58,12 @@ def windows(text: Column, before: int = 160, after: int = 240, markers: Iterable
         return F.transform(starts, lambda p: F.substring(clean, F.greatest(p - before, F.lit(0)) + 1, p + after - F.greatest(p - before, F.lit(0))))
 
     named = F.array(*map(F.lit, markers))
-    return let(normalize_whitespace(F.coalesce(text, F.lit(""))), lambda clean: F.array_distinct(F.flatten(F.transform(named, lambda m: around(clean, m)))))
+
+    def all_of(clean: Column) -> Column:
+        there = let(F.lower(clean), lambda low: F.filter(named, lambda m: F.contains(low, m)))
+        return F.array_distinct(F.flatten(F.transform(there, lambda m: around(clean, m))))
+
+    return let(normalize_whitespace(F.coalesce(text, F.lit(""))), all_of)
 
 
 def paragraphs(text: Column) -> Column:
@@ -83,11 +88,14 @@ def _stated(text: Column) -> Column:
 def best_statement(text: Column) -> Column:
     """The surest statement of pay: the last paragraphs first, then any that speak of pay, then windows, then the whole; empty if none."""
 
-    def contexts(clean: Column) -> Column:
-        return F.concat(F.reverse(F.filter(paragraphs(clean), in_context)), F.filter(windows(clean), in_context), F.array(normalize_whitespace(clean)))
+    def first(parts: Column) -> Column:
+        return F.get(F.filter(F.transform(parts, _stated), lambda s: s.isNotNull()), F.lit(0))
+
+    # Windows are made only of texts whose paragraphs state nothing.
+    def found(clean: Column) -> Column:
+        return F.coalesce(first(F.reverse(F.filter(paragraphs(clean), in_context))), first(F.filter(windows(clean), in_context)), _stated(normalize_whitespace(clean)), F.lit(""))
 
-    found = F.filter(F.transform(let(strip_html(F.coalesce(text, F.lit(""))), contexts), _stated), lambda s: s.isNotNull())
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+    return let(strip_html(F.coalesce(text, F.lit(""))), found)
 
 
 def by_location(text: Column) -> Column:
