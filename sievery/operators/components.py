@@ -12,25 +12,27 @@ from sievery.storage import Workspace
 def components(keyed: DataFrame, work: Workspace) -> DataFrame:
     """``row`` and ``component``, the smallest row that is reached through shared keys, from ``keyed`` (row, key).
 
-    Labels go from rows to their keys and back, as minima, and then each row takes the label of the row that its own label names, so long
-    chains take few rounds: about the logarithm of their length. Each round is two aggregates, combined before the shuffle, so that a key
-    of very many rows is no single task's; no pair of rows is made. Null rows and keys link nothing and have no row in the result.
+    A key is told by its smallest row, which is enough: keys that have it in common are linked by it. Only rows that share a key take part
+    in the rounds. Labels go from rows to their keys and back, as minima, and then each row takes the label of the row that its own label
+    names, so long chains take few rounds: about the logarithm of their length. Each round is two aggregates, combined before the shuffle,
+    so that a key of very many rows is no single task's; no pair of rows is made. Null rows and keys link nothing and have no row in the result.
     """
-    edges = work.table(keyed.select("row", "key").where(F.col("row").isNotNull() & F.col("key").isNotNull()).distinct(), "edges")
-    labels = work.table(edges.select("row").distinct().withColumn("component", F.col("row")), "labels")
+    given = keyed.select("row", "key").where(F.col("row").isNotNull() & F.col("key").isNotNull())
+    hubs = given.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("last")).where("hub <> last").select("key", "hub")
+    edges = work.table(given.join(hubs, "key").select("row", "hub").distinct(), "edges")
+    labels = work.table(edges.groupBy("row").agg(F.min("hub").alias("component")), "labels")
     while True:
-        of_key = edges.join(labels, "row").groupBy("key").agg(F.min("component").alias("label"))
-        near = work.table(edges.join(of_key, "key").groupBy("row").agg(F.min("label").alias("near")), "near")
+        of_hub = work.table(edges.join(labels, "row").groupBy("hub").agg(F.min("component").alias("label"), F.max("component").alias("most")), "hubs")
+        if of_hub.where("label <> most").isEmpty():
+            break
+        near = work.table(edges.join(of_hub, "hub").groupBy("row").agg(F.min("label").alias("near")), "near")
         far = near.select(F.col("row").alias("near"), F.col("near").alias("far"))
-        new = work.table(near.join(far, "near").select("row", F.least("near", "far").alias("component")), "labels")
-        settled = new.join(labels.withColumnRenamed("component", "before"), "row").where("component <> before").isEmpty()
-        labels = new
-        if settled:
-            return labels
+        labels = work.table(near.join(far, "near").select("row", F.least("near", "far").alias("component")), "labels")
+    return given.select("row").distinct().join(labels, "row", "left").select("row", F.coalesce("component", "row").alias("component"))
 
 
 def runs(df: DataFrame, row: str, same: list[Column], at: Column, days: int) -> DataFrame:
-    """``row`` and ``key`` of rows that are alike in ``same``: a key for each run whose neighbours in time are at most ``days`` apart.
+    """``row`` and ``key`` of rows that are alike in ``same``: a key, its first row, for each run whose neighbours in time are at most ``days`` apart.
 
     A window by what is alike splits no further, so ``same`` should be as narrow as records that could be the same are. Rows without time
     are one run, and rows that lack a value of ``same`` are in none.
@@ -40,8 +42,8 @@ def runs(df: DataFrame, row: str, same: list[Column], at: Column, days: int) ->
     order = Window.partitionBy(*names).orderBy("_at", row)
     before = F.lag("_at").over(order)
     fresh = F.lag(row).over(order).isNull() | F.coalesce(F.datediff("_at", before) > days, F.col("_at").isNotNull() & before.isNull())
-    turn = F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return given.withColumn("_turn", turn).select(row, F.concat(F.lit("run::"), F.to_json(F.struct(*names, "_turn"))).alias("key"))
+    start = F.last(F.when(fresh, F.col(row)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return given.withColumn("_start", start).select(row, F.concat(F.lit("run::"), F.col("_start").cast("string")).alias("key"))
 
 
 def last_values(df: DataFrame, by: str, at: Column, order: str, fields: list[str], lists: list[str]) -> DataFrame:
@@ -70,7 +72,6 @@ def deduplicated(df: DataFrame, row: str, key: Column, same: list[Column], at: C
     """
     keyed = df.select(F.col(row).alias("row"), F.concat(F.lit("key::"), key.cast("string")).alias("key"))
     similar = runs(df, row, same, at, days).withColumnRenamed(row, "row")
-    alone = df.select(F.col(row).alias("row"), F.concat(F.lit("row::"), F.col(row).cast("string")).alias("key"))
-    found = components(keyed.unionByName(similar).unionByName(alone), work)
-    placed = df.join(found.withColumnRenamed("row", row), row)
+    found = components(keyed.unionByName(similar), work)
+    placed = df.join(found.withColumnRenamed("row", row), row, "left").withColumn("component", F.coalesce("component", row))
     return last_values(placed, "component", at, row, fields, lists)

@@ -1,9 +1,11 @@
 """Steps whose rows must not grow with the square of what shares a key: the most rows that a step of the plan makes."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from sievery.functions import quality, values
-from sievery.operators import keys, rules
+from sievery.operators import components, keys, rules
 from sievery.plans import curation
 from sievery.plans.registry import Tables
 from sievery.storage import Workspace
@@ -75,3 +77,13 @@ def test_clamp_names_its_value_once(spark):
 def test_postings_are_spread_over_all_cores(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert curation._postings(t)._jdf.rdd().getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_rows_that_share_no_key_take_no_part_in_rounds(spark):
+    """Lone rows were written in each round, with keys as long texts."""
+    work = Workspace(spark)
+    alone = spark.range(20_000).select(F.col("id").alias("row"), F.concat(F.lit("a key of some length "), F.md5(F.col("id").cast("string").cast("binary"))).alias("key"))
+    few = spark.createDataFrame([(5, "x"), (7, "x"), (7, "y"), (9, "y"), (9, "y"), (None, "x"), (11, None)], "row long, key string")
+    found = {r.row: r.component for r in components.components(alone.unionByName(few), work).collect()}
+    assert found == {i: 5 if i in (7, 9) else i for i in range(20_000)}
+    assert sum(os.path.getsize(os.path.join(folder, f)) for folder, _, files in os.walk(work.path.removeprefix("file://")) for f in files) < 200_000
