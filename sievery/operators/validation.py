@@ -150,7 +150,8 @@ def row_findings(jobs: DataFrame, id_: str, specializations: tuple[str, ...], ri
     rows = rows.withColumns({"f_snippet": F.when(F.col("f_description_snippet") != "", F.col("f_description_snippet")).otherwise(F.col("f_summary")), "f_pay": pay_numbers(F.col("f_salary")), "f_slug": text.slugify(F.col("f_organization"))})
     job = Fields({n: F.col(f"f_{n}") for n in (*names, "snippet", "slug")})
     texts = [job["description"], job["snippet"], job["summary"]]
-    usable = quality.usable_description(job["description"], job["title"], F.lit(""))
+    rows = rows.withColumn("f_usable", quality.usable_description(job["description"], job["title"], F.lit("")))
+    usable = F.col("f_usable")
     full_time = job["job_type"].rlike("(?i)full[-\\s]?time") & ~job["title"].rlike(r"(?i)\b(?:intern|internship|fellow|volunteer|part[-\s]?time|contractor|hourly)\b")
     either = lambda condition: condition(texts[0]) | condition(texts[1]) | condition(texts[2])
     fragment = lambda x: x.rlike(r"^[a-z][^!?]{12,}") & ~x.rlike(r"(?i)^(?:e\.g\.|i\.e\.)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievery.functions import quality, values
 from sievery.operators import components, keys, rules
-from sievery.plans import curation
+from sievery.plans import curation, validation
 from sievery.plans.registry import Tables
 from sievery.storage import Workspace
 
@@ -87,3 +87,9 @@ def test_rows_that_share_no_key_take_no_part_in_rounds(spark):
     found = {r.row: r.component for r in components.components(alone.unionByName(few), work).collect()}
     assert found == {i: 5 if i in (7, 9) else i for i in range(20_000)}
     assert sum(os.path.getsize(os.path.join(folder, f)) for folder, _, files in os.walk(work.path.removeprefix("file://")) for f in files) < 200_000
+
+
+def test_drift_reads_texts_once(spark):
+    """Two reports of the same findings looked at every text twice."""
+    plan = validation.validation_drift(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in plan and "text#" not in plan
