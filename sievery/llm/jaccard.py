@@ -11,12 +11,13 @@ The sets with a shingle in common form a region around a pivot:
   while the others are done;
 * sets outside the ball stay as well, and what stayed is divided again around new pivots, more of them each round,
   until no region is left that holds two sets not yet known to be connected. Sets that are connected already, through
-  whatever links, are not compared. Regions of at most ``SMALL`` sets, after the first round ``LARGE``, have all their
-  sets as pivots.
+  whatever links, are not compared. Regions of at most ``SMALL`` sets have all their sets as pivots, those of at most
+  ``LARGE`` after the first round all that are outside the label of most of their sets. Pivots of larger regions are sets
+  with the least share of shingles of their own, for the centre of many near copies is within r of most of them.
 
 After the first round, two sets that can still link share a known number of regions at least, all of them large: they
-meet only in a region that is early enough in the order of both, smaller regions first, for that number to follow. Of
-each set an odd sketch is kept, the parities of its shingles in each of ``SKETCH`` bins. Sets differ in as many shingles
+meet only in a region that is early enough in the order of both, smaller regions first, for that number to follow, and
+that is the first they share, as far as the ``FIRST_REGIONS`` first of each tell. Of each set an odd sketch is kept, the parities of its shingles in each of ``SKETCH`` bins. Sets differ in as many shingles
 as their sketches do in bins, or more, so a pair whose sketches differ too much cannot link. Neither loses a link.
 
 Equal sets are one. Regions are rows, never lists, and a pivot meets its region by a join. Only shingles that are not
@@ -54,6 +55,8 @@ BINS = [f"bins{i}" for i in range(SKETCH // 64)]
 SETS_HELD = 1 << 22
 #: Ids that a broadcast table may hold (16 bytes each).
 IDS_BROADCAST = 1_000_000
+#: Of each set, its first regions that are told to the others, so that a pair that shares several is made in the first.
+FIRST_REGIONS = 16
 
 
 def set_key(found: np.ndarray) -> int:
@@ -105,12 +108,13 @@ def _describe(frequent, percent: int):
         last = frequent.value
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, sketches, rare, common = [], [], [], [], []
+            keys, sizes, sketches, odd, rare, common = [], [], [], [], [], []
             for doc_id, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 key = set_key(found)
                 keys.append(key)
                 sizes.append(len(found))
                 sketches.append(odd_sketch(found))
+                odd.append(0)
                 if doc_id is None or not len(found) or key in seen:
                     rare.append(np.zeros(0, np.int64))
                     common.append(rare[-1])
@@ -119,12 +123,13 @@ def _describe(frequent, percent: int):
                     seen.clear()
                 seen.add(key)
                 late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found if len(last) else np.zeros(len(found), bool)
+                odd[-1] = 1000 * int((~late).sum()) // len(found)
                 length = prefix_length(len(found), percent)
                 rare.append(found[~late][:length].view(np.int64))
                 common.append(found[late][: length - len(rare[-1])].view(np.int64))
             words = np.array(sketches, np.int64).reshape(-1, len(BINS)).T
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, common)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists, *[pa.array(x) for x in words]], ["doc_id", "key", "n", "rare", "common", *BINS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (keys, sizes, odd)], *lists, *[pa.array(x) for x in words]], ["doc_id", "key", "n", "odd", "rare", "common", *BINS])
         release()
 
     return describe
@@ -204,19 +209,31 @@ def _as_pivots(columns: list[str], of: str = "") -> list[Column]:
 
 
 def _pivots(members: DataFrame, pivots: int, columns: list[str]) -> DataFrame:
-    """Of each region, ``pivots`` sets, the first by hash of so many parts: h, the columns as ``pivot`` (the key) and ``pivot_...``, and ``first``, true for one of them."""
-    turn = F.xxhash64("key")
-    parts = members.groupBy("h", F.pmod(turn, F.lit(pivots)).alias("part")).agg(F.min(F.struct(turn.alias("turn_"), *columns)).alias("p"))
+    """Of each region, ``pivots`` sets, the first of so many parts by hash: h, the columns as ``pivot`` (the key) and ``pivot_...``, and ``first``, true for one of them.
+
+    Sets with the least share of shingles of their own come first: the centre of many near copies is nearer to each than most are to one another.
+    """
+    hashed = F.xxhash64("key")
+    turn = F.struct("odd", hashed.alias("hash"))
+    parts = members.groupBy("h", F.pmod(hashed, F.lit(pivots)).alias("part")).agg(F.min(F.struct(turn.alias("turn_"), *columns)).alias("p"))
     least = parts.groupBy("h").agg(F.min("p.turn_").alias("least"))
     return parts.join(least, "h").select("h", *_as_pivots(columns, "p."), (F.col("p.turn_") == F.col("least")).alias("first"))
 
 
 def _with_turns(members: DataFrame, described: DataFrame) -> DataFrame:
-    """Members with the number of regions that their set is in (``held``), their turn among them, smaller regions first, and its sketch."""
+    """Members with the number of regions that their set is in (``held``), their turn among them, smaller regions first, the first regions ``before`` theirs, and its sketch."""
     own = Window.partitionBy("key")
     turns = members.withColumn("held", F.count(F.lit(1)).over(own)).withColumn("turn", F.row_number().over(own.orderBy("members", "h")))
     sketches = described.join(members.select("key").distinct(), "key", "left_semi").select("key", *BINS).dropDuplicates(["key"])
-    return turns.join(sketches, "key")
+    first = turns.where(F.col("turn") <= FIRST_REGIONS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("turn", "h")))["h"].alias("first"))
+    before = F.slice("first", F.lit(1), F.least(F.col("turn") - 1, F.lit(FIRST_REGIONS)))
+    return turns.join(first, "key").withColumn("before", before).drop("first").join(sketches, "key")
+
+
+def _with_most(members: DataFrame, whole: int) -> DataFrame:
+    """Members with ``main``, the label of most sets of their region, if it has at most ``whole``."""
+    counts = members.where(F.col("members") <= whole).groupBy("h", "label").agg(F.count(F.lit(1)).alias("sets"))
+    return members.join(counts.groupBy("h").agg(F.max_by("label", F.struct("sets", "label")).alias("main")), "h", "left")
 
 
 def _differing_bins() -> Column:
@@ -259,11 +276,14 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     with small_batches(spark):
-        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, rare array<long>, common array<long>, " + ", ".join(f"{x} long" for x in BINS)), "described")
+        described = work.table(docs.mapInArrow(_describe(frequent, percent), "doc_id long, key long, n long, odd long, rare array<long>, common array<long>, " + ", ".join(f"{x} long" for x in BINS)), "described")
     # Frequent shingles are dealt by shingle and set, the others by shingle alone, which saves a shuffle.
-    rare = _counted(described.select("key", "n", F.explode("rare").alias("h")).repartition("h").distinct())
-    common = _counted(described.select("key", "n", F.explode("common").alias("h")).distinct())
-    members = work.table(rare.unionByName(common).withColumn("label", F.col("key")), "members")
+    # Size and share of own shingles travel as one number, for there are many rows here.
+    size = (F.col("n") * 1024 + F.col("odd")).alias("size")
+    rare = _counted(described.select("key", size, F.explode("rare").alias("h")).repartition("h").distinct())
+    common = _counted(described.select("key", size, F.explode("common").alias("h")).distinct())
+    told = rare.unionByName(common).withColumns({"n": F.shiftright("size", 10), "odd": F.col("size").bitwiseAND(1023), "label": F.col("key")})
+    members = work.table(told.drop("size"), "members")
     # Far apart in size is far apart: the distance is at least 1 - smaller / larger.
     close = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     distances, known, labels = _Distances(docs, described, work, percent), None, None
@@ -273,10 +293,12 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
     while not members.isEmpty():
         columns = ["key", "n", "label", *turns]
         picked = work.table(_pivots(members.where(F.col("members") > whole), pivots, columns), "pivots")
-        head = members.where(F.col("members") <= whole).select("h", *_as_pivots(columns)).unionByName(picked.drop("first"))
-        # Each pair once: its smaller key is the pivot.
-        other = (F.col("key") > F.col("pivot")) | ((F.col("members") > whole) & (F.col("key") < F.col("pivot")))
-        met = members.join(head, "h").where(other & (F.col("label") != F.col("pivot_label")) & close)
+        # Of two sets that are not connected one at least is outside the main label of their region: only those are pivots.
+        every = _with_most(members, whole) if turns else members.withColumn("main", F.lit(None).cast("long"))
+        head = every.where((F.col("members") <= whole) & ~F.col("label").eqNullSafe(F.col("main"))).select("h", *_as_pivots(columns)).unionByName(picked.drop("first"))
+        # Each pair once: its smaller key is the pivot, where both may be one.
+        other = (F.col("key") > F.col("pivot")) | (F.col("members") > whole) & (F.col("key") < F.col("pivot")) | F.col("label").eqNullSafe(F.col("main"))
+        met = every.join(head, "h").where(other & (F.col("label") != F.col("pivot_label")) & close)
         pair = [F.least("pivot", "key").alias("pivot"), F.greatest("pivot", "key").alias("key")]
         needed = _least_in_prefixes(F.col("n"), F.col("pivot_n"), percent)
         if not turns:
@@ -289,7 +311,9 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
             # Pairs that share a small region have been compared: all regions that these share are among those held.
             early = (F.col("turn") + needed - 1 <= F.col("held")) & (F.col("pivot_turn") + needed - 1 <= F.col("pivot_held"))
             near = _differing_bins() <= F.col("n") + F.col("pivot_n") - 2 * _least_shared(F.col("n"), F.col("pivot_n"), percent)
-            wanted = met.where(early & near).withColumn("most", -_differing_bins()).groupBy(*pair).agg(F.max("most").alias("most"))
+            # A pair is made in the first region that it shares.
+            once = ~F.arrays_overlap("before", "pivot_before")
+            wanted = met.where(early & near & once).withColumn("most", -_differing_bins()).groupBy(*pair).agg(F.max("most").alias("most"))
         wanted = work.table(wanted.select("pivot", "key", "most"), "wanted")
         # In the first round, the likeliest pivot of each set comes first; then only the pairs that this has left apart.
         for likeliest in (True, False) if not turns else (False,):
@@ -325,7 +349,7 @@ def components(docs: DataFrame, work: Workspace, percent: int = PERCENT) -> Data
         settled = met.where("inside").join(nearest, "h", "left").where(F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > radius))
         members = _counted(rest.join(settled.select("h", "key"), ["h", "key"], "left_anti"))
         if not turns:
-            members, turns = _with_turns(members, described), ["turn", "held", *BINS]
+            members, turns = _with_turns(members, described), ["turn", "held", "before", *BINS]
         members = work.table(members, "members")
         pivots, whole = pivots * SMALL, LARGE
     thin = described.select("doc_id", "key", "n")

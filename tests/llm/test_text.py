@@ -118,6 +118,23 @@ def test_jaccard(spark, seed, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_jaccard_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(7)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))
+    rows = list(enumerate(edited(rng, base, rng.randint(1, 6) / 150) for _ in range(400)))
+    pairs, table = [], Workspace.table
+
+    def counted(self, df, name):
+        made = table(self, df, name)
+        pairs.extend([made.count()] if name == "wanted" else [])
+        return made
+
+    monkeypatch.setattr(Workspace, "table", counted)
+    got = jaccard.components(docs(spark, [t for _, t in rows]), Workspace(spark)).collect()
+    assert sorted(tuple(r) for r in got) == brute_components(rows)
+    assert sum(pairs) <= 8 * len(rows)  # pairs that are looked at are some for each text, not a share of all pairs
+
+
 def test_jaccard_edges(spark):
     assert jaccard.components(docs(spark, []), Workspace(spark)).count() == 0
     got = jaccard.components(docs(spark, ["a b c d e f"], [(None, "a b c d e f"), (None, "alone here"), (None, None), (0, "a b c d e f"), (7, None)]), Workspace(spark)).collect()
