@@ -53,8 +53,9 @@ def first_sentence(x: Column) -> Column:
 
 
 def last_sentence(x: Column) -> Column:
-    found = F.filter(F.transform(F.regexp_extract_all(x, F.lit("([^.!?]+[.!?]+)"), F.lit(1)), lambda s: F.trim(s)), lambda s: s != "")
-    return F.trim(F.coalesce(F.try_element_at(found, F.lit(-1)), x))
+    """The last run of other characters with the ends of a sentence behind it, else all. Read from the end, so that no character is passed twice."""
+    found = F.reverse(F.regexp_extract(F.reverse(x), r"^[^.!?]*+([.!?]++[^.!?]++)", 1))
+    return F.trim(F.coalesce(F.nullif(F.trim(found), F.lit("")), x))
 
 
 def pull_quote(html: Column, otherwise: Column) -> Column:

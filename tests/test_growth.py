@@ -1,10 +1,11 @@
 """Steps whose rows must not grow with the square of what shares a key: the most rows that a step of the plan makes."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
-from sievery.functions import quality, values
+from sievery.functions import article, quality, values
 from sievery.operators import components, keys, rules
 from sievery.plans import curation, validation
 from sievery.plans.registry import Tables
@@ -93,3 +94,12 @@ def test_drift_reads_texts_once(spark):
     """Two reports of the same findings looked at every text twice."""
     plan = validation.validation_drift(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "documents" not in plan and "text#" not in plan
+
+
+def test_last_sentence_of_a_long_text_without_end(spark):
+    texts = ["One. Two! Three?! rest", "...", "... a. ", "", "no end", "a\nb. c\nd.. e", "ä😀. 😀ö!", "a" * 400_000, "One. " + "b " * 200_000]
+    told = [" Three?!", None, " a.", None, None, " c\nd..", " 😀ö!", None, "One."]
+    start = time.monotonic()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string").select("id", article.last_sentence(F.col("x")).alias("last")).collect()
+    assert [r["last"] for r in sorted(rows)] == [(t if t is not None else x).strip(" ") for t, x in zip(told, texts, strict=True)]
+    assert time.monotonic() - start < 20
