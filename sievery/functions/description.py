@@ -7,11 +7,16 @@ sentences, and the first of them that say something about the work are the descr
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievery.functions import text
 from sievery.functions.fields import MONTHS, any_of
+from sievery.functions.values import let
 
 # Headings of sections about the role, by name.
 ROLE_SECTIONS = (
@@ -214,23 +219,54 @@ def without_careers_pages(x: Column, opening: tuple[str, ...] = CAREERS_PAGES, e
     return F.array_join(F.aggregate(paragraphs(x), start, step)["kept"], "\n\n")
 
 
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case runs of letters, one of which stands in the lower case of whatever ``pattern`` finds; none where that isn't plain to see."""
+    bare = re.sub(r"^\(\?[im]+\)", "", pattern)
+    if one := re.match(r"\(\?:([A-Za-z|]+)\)(?![?*])", bare):
+        return tuple(one[1].lower().split("|"))
+    while (less := re.sub(r"\((?:[^()\\]|\\.)*\)[?*+]?", " ", bare)) != bare:
+        bare = less
+    if re.search(r"[\[\]{}()]", bare):
+        return ()
+    bare = re.sub(r".[?*]", " ", re.sub(r"\\.[?*+]?", " ", bare))
+    runs = [max(re.findall("[a-z]+", part.lower()), key=len, default="") for part in bare.split("|")]
+    return tuple(runs) if all(len(run) > 1 for run in runs) else ()
+
+
+def _gated(x: Column, low: Column, pattern: str) -> Column:
+    """Whether ``pattern`` is found in ``x``; only asked where its letters are in ``low``, the lower case of ``x``."""
+    may = [F.contains(low, F.lit(run)) for run in literals(pattern)]
+    return functools.reduce(operator.or_, may) & x.rlike(pattern) if may else x.rlike(pattern)
+
+
 def role_section(found: Column, sections: tuple[tuple[str, str], ...] = ROLE_SECTIONS, others: tuple[str, ...] = OTHER_SECTIONS) -> Column:
     """A struct of ``text`` and ``heading`` from paragraphs: before the first section about the role those that may be about it, then all but others.
 
     The heading is the first line of the first such section, or the section's name where that line is longer than 80 characters.
     """
 
-    def step(state: Column, p: Column) -> Column:
-        name = F.coalesce(*[F.when(p.rlike(pattern), label) for label, pattern in sections])
-        other = any_of(p, others)
-        line = F.trim(F.split(p, "\n")[0])
-        heading = F.when(name.isNull() | (state["heading"] != ""), state["heading"]).when(F.length(line) <= 80, line).otherwise(name)
-        fits = ~other & (state["role"] | ((F.length(p) >= SHORTEST_SECTION) & p.rlike("[A-Z]")))
-        kept = F.when(name.isNotNull() | fits, F.concat(state["kept"], F.array(p))).otherwise(state["kept"])
-        return F.struct((state["role"] | name.isNotNull()).alias("role"), heading.alias("heading"), kept.alias("kept"))
-
-    start = F.struct(F.lit(False).alias("role"), F.lit("").alias("heading"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(found, start, step, lambda s: F.struct(F.array_join(s["kept"], "\n\n").alias("text"), s["heading"].alias("heading")))
+    def named(p: Column, low: Column) -> Column:
+        return F.coalesce(*[F.when(_gated(p, low, pattern), label) for label, pattern in sections])
+
+    def heading(q: Column) -> Column:
+        line = F.trim(F.split(q["text"], "\n")[0])
+        return F.when(F.length(line) <= 80, line).otherwise(q["name"])
+
+    def read(m: Column, at: Column) -> Column:
+        def stays(q: Column, i: Column) -> Column:
+            fits = ((at > 0) & (i >= at)) | ((F.length(q["text"]) >= SHORTEST_SECTION) & q["text"].rlike("[A-Z]"))
+            other = F.lit(False)
+            for pattern in others:
+                other = other | _gated(q["text"], q["low"], pattern)
+            return q["name"].isNotNull() | (fits & ~other)
+
+        kept = F.array_join(F.transform(F.filter(m, stays), lambda q: q["text"]), "\n\n")
+        headings = F.filter(F.transform(F.filter(m, lambda q: q["name"].isNotNull()), heading), lambda h: h != "")
+        return F.when(m.isNotNull(), F.struct(kept.alias("text"), F.coalesce(F.get(headings, F.lit(0)), F.lit("")).alias("heading")))
+
+    # A paragraph is named once; where the first name stands, from 1, is known before paragraphs are kept.
+    told = F.transform(found, lambda p: let(F.lower(p), lambda low: F.struct(p.alias("text"), low.alias("low"), named(p, low).alias("name"))))
+    return let(told, lambda m: let(F.array_position(F.transform(m, lambda q: q["name"].isNotNull()), F.lit(True)), lambda at: read(m, at)))
 
 
 def sentence_paragraphs(x: Column) -> Column:

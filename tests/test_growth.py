@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sievery.functions import article, quality, values
+from sievery.functions import article, description, quality, values
 from sievery.operators import components, keys, rules
 from sievery.plans import curation, validation
 from sievery.plans.registry import Tables
@@ -103,3 +103,13 @@ def test_last_sentence_of_a_long_text_without_end(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, x string").select("id", article.last_sentence(F.col("x")).alias("last")).collect()
     assert [r["last"] for r in sorted(rows)] == [(t if t is not None else x).strip(" ") for t, x in zip(told, texts, strict=True)]
     assert time.monotonic() - start < 20
+
+
+def test_role_section_of_many_paragraphs(spark):
+    assert [description.literals(p) for p in (r"(?i)reports?\s+to", r"(?i)DEI\b|equal\s+way", r"(?i)(?:view|see)\s+all\b", r"(?i)(?:a\d|b)\s", r"(?i)e-?verify\b", "x")] == [("report",), ("dei", "equal"), ("view", "see"), (), ("verify",), ()]
+    found = ["short", "What a role of Thirty letters in it, or so", "BENEFITS", "KEY RESPONSIBILITIES\nall", "x", "See All Jobs", "Summary", *["Data"] * 100_000]
+    start = time.monotonic()
+    rows = spark.createDataFrame([(found,), ([],), (None,)], "found array<string>").select(description.role_section(F.col("found")).alias("s")).select("s.*").collect()
+    kept = [found[1], found[3], "x", "Summary", *["Data"] * 100_000]
+    assert [tuple(r) for r in rows] == [("\n\n".join(kept), "KEY RESPONSIBILITIES"), ("", ""), (None, None)]
+    assert time.monotonic() - start < 20
