@@ -369,6 +369,62 @@ def test_topk(spark):
     assert topk.top_k(table.limit(0), table).count() == 0
 
 
+def test_topk_deals_a_bounded_number_of_copies(spark, monkeypatch):
+    """Queries are copied for tasks of the cores there are, however many shuffle partitions, and each meets each candidate once."""
+    rng = np.random.default_rng(5)
+    values = rng.integers(-40, 40, (900, 6)) / 256
+    values[100:400] = values[0]
+    values[500] = 2.0**14
+    order = rng.permutation(900).tolist()
+    table = spark.createDataFrame([(i, values[i].tolist()) for i in order], "vec_id long, embedding array<double>").repartition(3)
+    queries = table.where("vec_id % 20 = 0")
+    whole = np.floor(values * 256).astype(int)
+    score = whole @ whole.T
+    expected = [(q, k + 1, i, int(score[q, i])) for q in range(0, 900, 20) for k, i in enumerate(sorted((i for i in range(900) if i != q), key=lambda i: (-score[q, i], i))[:5])]
+    for name, value in (("QUERIES", 8), ("CANDIDATES", 64), ("ROWS", 4), ("FIRST", 7)):
+        monkeypatch.setattr(topk, name, value)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    copies = set()
+    try:
+        for column, left, partitions in ((1 << 20, 1 / 8, 4), (1 << 20, 1.0, 400), (512, 1 / 8, 4)):
+            monkeypatch.setattr(topk, "COLUMN", column)
+            monkeypatch.setattr(topk, "LEFT", left)
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert sorted(tuple(r) for r in topk.top_k(queries, table).collect()) == sorted(expected)
+            met = topk.dealt(queries.coalesce(1), table).where("not candidates")
+            if column > 512:
+                copies.add(met.count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert copies == {6 * topk.TASKS * spark.sparkContext.defaultParallelism}
+
+
+def test_best_by_bounds_and_without():
+    """Candidates in segments of their own: bounds prune, and what they leave is computed as a rectangle or one by one."""
+    rng = np.random.default_rng(6)
+    at, sign = np.repeat(np.arange(16), 40), rng.choice([-1, 1], 640)
+    vectors = np.zeros((640, 64))
+    for row, (a, s) in enumerate(zip(at, sign, strict=True)):
+        vectors[row, 4 * a : 4 * a + 4] = s * (90 + rng.integers(0, 3, 4))
+    ids, queries = np.arange(640), np.arange(0, 640, 10)
+    score = (vectors[queries] @ vectors.T).astype(int)
+    expected = {(int(q), i, int(score[r, i])) for r, q in enumerate(queries) for i in sorted((i for i in range(640) if i != q), key=lambda i: (-score[r, i], i))[:5]}
+    used = []
+    for few in (0, 1 / 64, 1):
+        for step in (64, 640):
+            best = topk.Best(queries, vectors[queries], 5)
+            levels = best._levels
+            best._levels = lambda v, f=levels: used.append(f(v)) or used[-1]
+            topk.FEW, kept = few, topk.FEW
+            try:
+                for low in range(0, 640, step):
+                    best.meet(ids[low : low + step], vectors[low : low + step])
+            finally:
+                topk.FEW = kept
+            assert set(zip(*(c.to_pylist() for c in best.found().columns), strict=True)) == expected
+    assert any(used)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.integers(-300, 300, (20, 13)).astype(float), rng.integers(-300, 300, (30, 13)).astype(float)
