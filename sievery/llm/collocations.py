@@ -1,34 +1,35 @@
 """Collocations: phrases of two to four words that stick together, with exact counts.
 
-Three passes over the texts. The first sketches all phrases: each adds to one cell of a table that is wider than the texts
-have phrases, so a cell's sum bounds the counts of its phrases from above. Tasks hand on the cells that they touched, in
-blocks, and blocks are summed where they meet. The second pass collects the phrases of heavy cells, the candidates: of
-each cell the task reports that added most to it. They are compiled into Aho-Corasick automata over coded words: each word
-of a candidate is a code of some letters, with letters of its own for each place of the code, and all other words and the
-ends of pieces are a delimiter, so no match starts or ends within a word or crosses a piece. The third pass scans all texts
-with them, counts overlapping matches, and sums; then the thresholds apply.
-
-What a cell lets through wrongly is counted exactly and dropped. Where the exact counts of a cell's candidates leave so much
-of its sum that another phrase might be frequent, all tasks report that cell, and its phrases are counted too. Where heavy
-cells are many, they are taken in batches, with the last two passes for each.
+Texts are taken in parts of bounded size. A first pass sketches all words and phrases: each adds to one cell of a table that
+is wider than the texts have phrases, so a cell's sum bounds the counts of its phrases from above. Parts hand on the cells
+that they touched, in blocks, and blocks are summed where they meet; each part is told which of its own cells are heavy.
+The second pass joins the parts with these. A part's phrases in heavy cells are its candidates, as many as its own texts have
+at most. They are compiled into Aho-Corasick automata over coded words: each word of a candidate is a code of some letters,
+with letters of its own for each place of the code, and all other words and the ends of pieces are a delimiter, so no match
+starts or ends within a word or crosses a piece. The part is scanned with them, overlapping matches are counted, and the
+parts' counts of a phrase are summed; then the thresholds apply.
+
+A phrase that occurs often enough lies in a heavy cell, and so all parts that have it count it; what a cell lets through
+wrongly is counted exactly and dropped. Texts are read twice, however many candidates there are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
+from math import ceil
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievery.llm.words import Block, _byte_class, blocks, mix, small_batches
+from sievery.llm.words import Block, _byte_class, blocks, mix, release, small_batches
 from sievery.storage import Workspace
 
 #: Words of a phrase, at least and at most.
@@ -39,18 +40,20 @@ TOP = 2000
 COVERED = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
-#: Heavy cells of a batch. Its candidates, about as many and some hundred bytes each, are what the driver and a worker hold at a time.
+#: Candidates of an automaton, some hundred bytes each. A part that has more is scanned with several.
 BATCH = 1 << 20
+#: Bytes of text of a part.
+PART = 1 << 24
 #: Letters for a place of a word's code: few, for automata look for the next letter one by one.
 LETTERS = 60
 #: Blocks that the sketch is dealt out in, and cells for each two bytes of text, as powers of two.
 BLOCKS, SPARE = 11, 10
 #: Bits of a cell, at least and at most.
 BITS = 16, 60
-#: Phrases that a task holds before it passes their cells on.
-HELD = 1 << 20
-#: Candidates whose counts a task hands on together.
-VECTOR = 1 << 13
+#: Words and phrases that a part holds before it passes their cells on.
+HELD = 1 << 22
+#: Blocks that counts are dealt out in, as a power of two.
+SUMS = 10
 #: Bytes of text that are coded at a time.
 PIECE = 1 << 20
 #: Tasks that rank the candidates of a language before one takes the best of these.
@@ -64,7 +67,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Phrases:
-    """The phrases of a block of texts: hash, number of words, and which of the block's words is the first."""
+    """The words and phrases of a block of texts: hash, number of words, and which of the block's words is the first."""
 
     def __init__(self, block: Block, langs: list[str]):
         self.block, self.text = block, np.repeat(np.arange(len(langs)), np.diff(block.first))
@@ -72,20 +75,28 @@ class Phrases:
         # Pieces of all texts, numbered by the breaks before them.
         piece = np.searchsorted(np.flatnonzero(_IS_BREAK[block.data]), block.start) + self.text * (len(block.data) + 1)
         found, value = [], mix(block.hashes ^ salts[self.text])
-        for words in range(2, LONGEST + 1):
-            value = mix(value[:-1] * _ODD + block.hashes[words - 1 :])
+        for words in range(1, LONGEST + 1):
+            if words > 1:
+                value = mix(value[:-1] * _ODD + block.hashes[words - 1 :])
             at = np.flatnonzero(piece[words - 1 :] == piece[: max(0, len(piece) - words + 1)])
             found.append((value[at], at, np.full(len(at), words)))
         self.hashes, self.first, self.words = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def spelled(self, at: np.ndarray) -> list[bytes]:
         """Phrases, with one space between words."""
-        block, last = self.block, self.first[at] + self.words[at] - 1
-        data = block.data.tobytes().lower()
-        return [b" ".join(data[a:b].split()) for a, b in zip(block.start[self.first[at]].tolist(), (block.start[last] + block.length[last]).tolist(), strict=True)]
-
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, list[str]]]:
+        block, first, last = self.block, self.first[at], self.first[at] + self.words[at] - 1
+        data, total = block.data.tobytes().lower(), np.cumsum(block.length)
+        start, end = block.start[first], block.start[last] + block.length[last]
+        found = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if b"\t" in data:
+            return [b" ".join(p.split()) for p in found]
+        for i in np.flatnonzero(end - start != total[last] - total[first] + block.length[first] + self.words[at] - 1).tolist():
+            found[i] = b" ".join(found[i].split())
+        return found
+
+
+def _phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Phrases, list[str]]]:
+    """Phrases of batches (lang, text), a block of texts at a time, and the languages of these."""
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for block in blocks(batch.column(1), _PHRASE):
@@ -93,6 +104,16 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Phrases, list[
             yield Phrases(block, of_block), of_block
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where the part, their first column, changes; without it."""
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low < high:
+                yield int(part[low]), batch.select(batch.schema.names[1:]).slice(low, high - low)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers as bytes, those of equal weight together, which shuffles compress well."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -103,12 +124,12 @@ def unpacked(values: bytes) -> np.ndarray:
 
 
 def _sketch(bits: int):
-    """Cells of the phrases, as differences, with counts, by block: the first bits of a cell."""
+    """Cells of each part's phrases, as differences, with counts, by block: the first bits of a cell."""
     inner = np.uint64(bits - min(BLOCKS, bits))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        task = TaskContext.get().partitionId()
+        now = -1
 
         def flush() -> pa.RecordBatch:
             cells, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
@@ -116,52 +137,43 @@ def _sketch(bits: int):
             block, first = np.unique(cells >> inner, return_index=True)
             ends = np.append(first, len(cells))
             rows = [(packed(np.diff(cells[a:b], prepend=np.uint64(0))), packed(counts[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            return pa.RecordBatch.from_pydict({"block": pa.array(block.astype(np.int64)), "task": pa.array([task] * len(rows), pa.int32()), "cells": pa.array([c for c, _ in rows], pa.binary()), "counts": pa.array([n for _, n in rows], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": pa.array(block.astype(np.int64)), "part": pa.array([now] * len(rows), pa.int32()), "cells": pa.array([c for c, _ in rows], pa.binary()), "counts": pa.array([n for _, n in rows], pa.binary())})
 
-        for phrases, _ in _phrases(batches):
-            held.append(phrases.hashes >> np.uint64(64 - bits))
-            if sum(map(len, held)) >= HELD:
+        for part, run in _runs(batches):
+            if part != now and held:
                 yield flush()
-        yield flush()
+            now = part
+            for phrases, _ in _phrases([run]):
+                held.append(phrases.hashes >> np.uint64(64 - bits))
+                if sum(map(len, held)) >= HELD:
+                    yield flush()
+        if held:
+            yield flush()
 
     return sketch
 
 
 def _heavy(least: int):
-    """Of a block the cells with a sum of ``least`` or more, their sums, and the tasks that add most to them."""
+    """For each part of a block, those of its cells that have a sum of ``least`` or more, as differences."""
 
     def heavy(parts: pa.Table) -> pa.Table:
         each = [np.cumsum(unpacked(c), dtype=np.uint64) for c in parts["cells"].to_pylist()]
-        cells, counts = np.concatenate(each), np.concatenate([unpacked(n) for n in parts["counts"].to_pylist()]).astype(np.int64)
-        task = np.repeat(parts["task"].to_numpy(), [len(c) for c in each])
-        order = np.lexsort((counts, cells))
-        cells, first = np.unique(cells[order], return_index=True)
-        sums, last = np.add.reduceat(counts[order], first), np.append(first[1:], len(order)) - 1
-        at = np.flatnonzero(sums >= least)
-        return pa.table({"block": pa.array([parts["block"][0].as_py()] * len(at), pa.int64()), "cell": pa.array(cells[at].astype(np.int64)), "total": pa.array(sums[at]), "task": pa.array(task[order][last[at]], pa.int32())})
+        counts = np.concatenate([unpacked(n) for n in parts["counts"].to_pylist()]).astype(np.int64)
+        part = np.repeat(parts["part"].to_numpy(), [len(c) for c in each])
+        cells, at = np.unique(np.concatenate(each), return_inverse=True)
+        some = np.flatnonzero((np.bincount(at, counts, len(cells)) >= least)[at])
+        some = some[np.lexsort((at[some], part[some]))]
+        part, at = part[some], at[some]
+        new = np.append(True, (np.diff(part) != 0) | (np.diff(at) != 0))[: len(at)]
+        part, at = part[new], at[new]
+        of, first = np.unique(part, return_index=True)
+        ends = np.append(first, len(at))
+        rows = [packed(np.diff(cells[at[a:b]], prepend=np.uint64(0))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"part": pa.array(of.astype(np.int32)), "cells": pa.array(rows, pa.binary())})
 
     return heavy
 
 
-def _collect(bits: int, shared, everywhere: bool):
-    """The distinct phrases of heavy cells, of those that the task is to report or of all; ``everywhere``, a task may repeat some."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, tasks = (np.frombuffer(x, np.int64) for x in shared.value)
-        heavy = (heavy if everywhere else heavy[tasks == TaskContext.get().partitionId()]).astype(np.uint64)
-        known: set[int] = set()
-        for phrases, langs in _phrases(batches) if len(heavy) else ():
-            cells = phrases.hashes >> np.uint64(64 - bits)
-            at = np.flatnonzero(heavy[np.minimum(np.searchsorted(heavy, cells), len(heavy) - 1)] == cells)
-            new, first = np.unique(phrases.hashes[at], return_index=True)
-            at = np.array([i for i, h in zip(at[first].tolist(), new.tolist(), strict=True) if h not in known], np.int64)
-            known.update(phrases.hashes[at].tolist())
-            lang = [langs[i] for i in phrases.text[phrases.first[at]]]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrases.spelled(at), pa.binary()).cast(pa.string()), "words": pa.array(phrases.words[at].astype(np.int32)), "cell": pa.array(cells[at].astype(np.int64))})
-
-    return collect
-
-
 class Automaton:
     """The candidates of a language, words and phrases, in an automaton over coded words."""
 
@@ -181,9 +193,13 @@ class Automaton:
         self.codes = np.stack(codes[::-1], axis=1).astype(np.uint8)
         self.codes[0] = 0
         self.automaton = ahocorasick.Automaton()
-        for i, phrase in enumerate(phrases):
-            if b" " in phrase:
-                self.automaton.add_word(self.coded([self.known[w] for w in phrase.split(b" ")]), i)
+        longer = [i for i, p in enumerate(phrases) if b" " in p]
+        # One split of all, for many small lists are dear.
+        each = b" ".join([phrases[i] for i in longer]).split(b" ") if longer else []
+        coded = self.coded(np.fromiter(map(self.known.__getitem__, each), np.int64, len(each)))
+        ends = (np.cumsum([phrases[i].count(b" ") + 1 for i in longer], dtype=np.int64) * self.letters).tolist()
+        for i, low, high in zip(longer, [0, *ends], ends, strict=False):
+            self.automaton.add_word(coded[low:high], i)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -200,8 +216,7 @@ class Automaton:
             lines.append(self.coded(known))
         self.counts[self.words[1:]] += seen[1:]
         if len(self.automaton):
-            found, n = np.unique(np.fromiter((v for _, v in self.automaton.iter("".join(lines))), np.int64), return_counts=True)
-            self.counts[found] += n
+            self.counts += np.bincount(np.fromiter(map(itemgetter(1), self.automaton.iter("".join(lines))), np.int64), minlength=len(self.counts))
         return total
 
 
@@ -224,110 +239,117 @@ def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
     yield _BREAK.sub(b" . ", b" ".join(held).lower()).split()
 
 
-_automata: dict[str, dict[str, Automaton]] = {}
-
-
-def _count(shared, token: str):
-    """Counts of the candidates, a block of them at a time, and the words of each language."""
+def _candidates(texts: list[pa.RecordBatch], heavy: np.ndarray, bits: int) -> dict[str, tuple[list[bytes], list[int]]]:
+    """The distinct words and phrases of ``texts`` in cells of ``heavy``, and their blocks, by language."""
+    found: dict[str, tuple[list[bytes], list[int]]] = {}
+    known, met = set(), np.zeros(len(heavy), bool)
+    for phrases, langs in _phrases(texts) if len(heavy) else ():
+        hashes, at = np.unique(phrases.hashes, return_index=True)
+        cells = hashes >> np.uint64(64 - bits)
+        place = np.minimum(np.searchsorted(heavy, cells), len(heavy) - 1)
+        some = np.flatnonzero(heavy[place] == cells)
+        met[place[some]] = True
+        some = some[np.fromiter((h not in known for h in hashes[some].tolist()), bool, len(some))]
+        known.update(hashes[some].tolist())
+        at, block = at[some], (hashes[some] >> np.uint64(64 - SUMS)).tolist()
+        for text, phrase, b in zip(phrases.text[phrases.first[at]].tolist(), phrases.spelled(at), block, strict=True):
+            own = found.setdefault(langs[text], ([], []))
+            own[0].append(phrase)
+            own[1].append(b)
+    if not met.all():
+        raise RuntimeError("a part has other texts than in the pass before: its table is not read in the same order each time")
+    return found
+
+
+def _counted(texts: list[bytes], phrases: list[bytes], batch: int) -> tuple[np.ndarray, int]:
+    """How often each of ``phrases``, words and longer ones, occurs in ``texts``, and the number of words."""
+    counts, total = np.zeros(len(phrases), np.int64), 0
+    single, longer = ([i for i, p in enumerate(phrases) if (b" " in p) == long] for long in (False, True))
+    for low in range(0, max(1, len(longer)), batch):
+        own, some = [] if low else single, longer[low : low + batch]
+        first, last = [phrases[i] for i in own], [phrases[i] for i in some]
+        words = list(set(b" ".join(last).split()).difference(first))
+        automaton = Automaton(np.arange(len(first) + len(words) + len(last)), [*first, *words, *last])
+        total = automaton.scan(texts)
+        counts[own], counts[some] = automaton.counts[: len(first)], automaton.counts[len(first) + len(words) :]
+    return counts, total
+
+
+def _count(bits: int, batch: int):
+    """Counts of each part's candidates by block, and at block -1 its words, by language; a part's cells come before its texts."""
+
+    def counted(texts: list[pa.RecordBatch], cells: list[bytes]) -> pa.RecordBatch:
+        heavy = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpacked(c), dtype=np.uint64) for c in cells)]))
+        candidates, by_lang, rows = _candidates(texts, heavy, bits), {}, []
+        for run in texts:
+            for lang, text in zip(run.column(0).to_pylist(), run.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+        for lang, own in by_lang.items():
+            phrases, block = candidates.get(lang, ([], []))
+            counts, total = _counted(own, phrases, batch)
+            block = np.array(block, np.int64)
+            order = np.argsort(block, kind="stable")
+            blocks_of, first = np.unique(block[order], return_index=True)
+            ends = np.append(first, len(order))
+            rows.append((-1, lang, None, packed(np.array([total]))))
+            rows += [(b, lang, b"\n".join([phrases[i] for i in order[low:high].tolist()]), packed(counts[order[low:high]])) for b, low, high in zip(blocks_of.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        block, lang, phrases, counts = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], ["block", "lang", "phrases", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _automata:
-            _automata.clear()
-            _automata[token] = {}
-        known, (size, candidates), totals = _automata[token], shared.value, {}
-        for automaton in known.values():
-            automaton.counts[:] = 0
-        for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                if lang not in known:
-                    places, phrases = candidates.get(lang, (np.zeros(0, np.int64), pa.array([], pa.binary())))
-                    known[lang] = Automaton(places, phrases.to_pylist())
-                totals[lang] = totals.get(lang, 0) + known[lang].scan(texts)
-        counts = np.zeros(size, np.int64)
-        for automaton in known.values():
-            counts[automaton.places] += automaton.counts
-        rows = [(None, lang, n, None) for lang, n in totals.items() if n]
-        rows += [(at // VECTOR, None, None, packed(counts[at : at + VECTOR])) for at in range(0, size, VECTOR) if counts[at : at + VECTOR].any()]
-        block, lang, n, vector = zip(*rows, strict=True) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(n, pa.int64()), pa.array(vector, pa.binary())], ["block", "lang", "n", "counts"])
+        now, cells, texts = -1, [], []
+        for part, run in _runs(batches):
+            if part != now:
+                if texts or cells:
+                    yield counted(texts, cells)
+                now, cells, texts = part, [], []
+            cells += run.column(0).drop_null().to_pylist()
+            texts.append(run.select(["lang", "text"]).filter(run.column(0).is_null()))
+        if texts or cells:
+            yield counted(texts, cells)
+        release()
 
     return count
 
 
-def _added(shared):
-    """Ids of a block's candidates and the sums of their counts."""
+def _added(least: int):
+    """Phrases of a block that occur ``least`` times or more, with their counts; of block -1 the words of each language."""
 
     def added(parts: pa.Table) -> pa.Table:
-        counts = np.sum([unpacked(c) for c in parts["counts"].to_pylist()], axis=0).astype(np.int64)
-        at = np.flatnonzero(counts)
-        return pa.table({"id": pa.array(shared.value[parts["block"][0].as_py() * VECTOR + at]), "n": pa.array(counts[at])})
+        sums: dict[str, dict[bytes | None, int]] = {}
+        for lang, phrases, counts in zip(*(parts[c].to_pylist() for c in ("lang", "phrases", "counts")), strict=True):
+            own = sums.setdefault(lang, {})
+            for phrase, n in zip([None] if phrases is None else phrases.split(b"\n"), unpacked(counts).tolist(), strict=True):
+                own[phrase] = own.get(phrase, 0) + n
+        rows = [(lang, p, 0 if p is None else p.count(b" ") + 1, n) for lang, own in sums.items() for p, n in own.items() if p is None or n >= least]
+        lang, phrase, words, n = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.table({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string()), "words": pa.array(words, pa.int32()), "n": pa.array(n, pa.int64())})
 
     return added
 
 
-def _candidates(texts: DataFrame, cells: DataFrame, bits: int, everywhere: bool, work: Workspace) -> DataFrame:
-    """Candidates of heavy ``cells`` (cell, task), a batch of them, and their words: lang, phrase, words, cell and id."""
-    context = texts.sparkSession.sparkContext
-    held = cells.select("cell", F.col("task").cast("long").alias("task")).toArrow()
-    order = np.argsort(held["cell"].to_numpy())
-    shared = context.broadcast(tuple(held[c].to_numpy()[order].tobytes() for c in ("cell", "task")))
-    found = work.table(texts.mapInArrow(_collect(bits, shared, everywhere), "lang string, phrase string, words int, cell long").distinct(), "candidates")
-    shared.unpersist()
-    words = found.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct().withColumns({"words": F.lit(1), "cell": F.lit(None).cast("long")})
-    return work.table(found.unionByName(words).withColumn("id", F.monotonically_increasing_id()), "numbered")
-
-
-def _counts(texts: DataFrame, candidates: DataFrame, token: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Candidates with their counts, and all words by language."""
-    context = texts.sparkSession.sparkContext
-    held = candidates.select("id", "lang", F.col("phrase").cast("binary").alias("phrase")).toArrow()
-    langs, by_lang = held["lang"].combine_chunks().dictionary_encode(), {}
-    for i, lang in enumerate(langs.dictionary.to_pylist()):
-        own = np.flatnonzero(langs.indices.to_numpy() == i)
-        by_lang[lang] = own, held["phrase"].take(own).combine_chunks()
-    shared, ids = context.broadcast((len(held), by_lang)), context.broadcast(held["id"].to_numpy())
-    parts = work.table(texts.mapInArrow(_count(shared, token), "block long, lang string, n long, counts binary"), "parts")
-    sums = parts.where("block is not null").groupBy("block").applyInArrow(_added(ids), "id long, n long")
-    counted = work.table(candidates.join(sums, "id").drop("id"), "counted")
-    shared.unpersist()
-    return counted, parts.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
-
-
 def counted(docs: DataFrame, work: Workspace, least: int = LEAST, batch: int = BATCH, spare: int = SPARE) -> tuple[DataFrame, DataFrame]:
-    """Phrases with their exact counts, all that occur ``least`` times or more and their words among them (lang, phrase, words, n), and all words by language (lang, n)."""
+    """Words and phrases that occur ``least`` times or more with their exact counts (lang, phrase, words, n), and all words by language (lang, n).
+
+    ``docs`` is read twice and has to give the same rows in the same order each time, as files do.
+    """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = texts.select(F.spark_partition_id().alias("p"), F.octet_length("text").alias("size")).groupBy("p").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
+    size = sum(r["size"] for r in sizes)
     bits = min(max(BITS[0], (size // 2).bit_length() + spare), BITS[1])
+    each = max([1, *(ceil(r["size"] / PART) for r in sizes)])
+    rows = max([1, *(ceil(r["rows"] / each) for r in sizes)])
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    part = (F.spark_partition_id() * each + F.least((row / rows).cast("int"), F.lit(each - 1))).cast("int")
+    texts = texts.select(part.alias("part"), "lang", "text")
+    parts = each * (1 + max([0, *(r["p"] for r in sizes)]))
     with small_batches(docs.sparkSession):
-        sketch = texts.mapInArrow(_sketch(bits), "block long, task int, cells binary, counts binary")
-        heavy = work.table(sketch.groupBy("block").applyInArrow(_heavy(least), "block long, cell long, total long, task int"), "heavy")
-        batches, room = [[]], batch
-        for block, n in sorted(tuple(r) for r in heavy.groupBy("block").count().collect()):
-            if n > room and batches[-1]:
-                batches.append([])
-                room = batch
-            batches[-1].append(block)
-            room -= n
-        counts, totals = [], None
-        for i, some in enumerate(batches):
-            cells = heavy.where(F.col("block").isin(some))
-            found, words = _counts(texts, _candidates(texts, cells, bits, False, work), f"{work.path}-{i}", work)
-            totals = totals or words
-            # What the candidates leave of a cell's sum may hold another frequent phrase.
-            left = cells.join(found.groupBy("cell").agg(F.sum("n").alias("n")), "cell", "left").where(F.col("total") - F.coalesce("n", F.lit(0)) >= least)
-            left = work.table(left.select("cell", "task"), "left")
-            if not left.isEmpty():
-                more, _ = _counts(texts, _candidates(texts, left, bits, True, work), f"{work.path}-{i}-left", work)
-                found = found.unionByName(more)
-            counts.append(found)
-    every = counts[0]
-    for more in counts[1:]:
-        every = every.unionByName(more)
-    # Batches have candidates of their own, but share words.
-    return work.table(every.groupBy("lang", "phrase", "words").agg(F.max("n").alias("n")), "counts"), totals
+        sketch = texts.mapInArrow(_sketch(bits), "block long, part int, cells binary, counts binary")
+        heavy = sketch.groupBy("block").applyInArrow(_heavy(least), "part int, cells binary")
+        both = heavy.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("cells").isNull())
+        counts = both.mapInArrow(_count(bits, batch), "block long, lang string, phrases binary, counts binary")
+        sums = work.table(counts.groupBy("block").applyInArrow(_added(least), "lang string, phrase string, words int, n long"), "counts")
+    return sums.where("words > 0"), sums.where("words = 0").select("lang", "n")
 
 
 def _part(words: Column, first: Column | int, length: Column | int) -> Column:

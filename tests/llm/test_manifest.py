@@ -141,6 +141,39 @@ def test_collocations(spark, monkeypatch, batch, bits, piece):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_collocations_read_the_texts_twice_however_many_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [("en" if i % 3 else "de", " ".join(f"w{int(k)}" for k in rng.zipf(1.6, 60) % 300)) for i in range(300)]
+    monkeypatch.setattr(collocations, "PART", 3000)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    context, jobs = spark.sparkContext, []
+    for batch in (1 << 20, 50):
+        context.setJobGroup(f"collocations-{batch}", "")
+        counts, totals = collocations.counted(docs, Workspace(spark), 8, batch)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"collocations-{batch}")))
+        assert counts.where("words > 1").count() > 200 and {tuple(r) for r in totals.collect()} == {("en", 200 * 60), ("de", 100 * 60)}
+        context.setJobGroup("other", "")
+        got = collocations.collocations(docs, Workspace(spark), least=8, top=200, batch=batch).collect()
+        assert sorted(map(tuple, got)) == sorted(phrases_of(rows, 8, 200))
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_heavy_cells_go_back_to_the_parts_that_touched_them():
+    rows = [(3, [5, 9], [20, 1]), (4, [5, 7], [15, 29]), (3, [7], [1]), (8, [9], [28]), (4, [5], [1])]
+    cells = [collocations.packed(np.diff(np.array(c, np.uint64), prepend=np.uint64(0))) for _, c, _ in rows]
+    table = pa.table({"block": [0] * 5, "part": pa.array([p for p, _, _ in rows], pa.int32()), "cells": cells, "counts": [collocations.packed(np.array(n)) for _, _, n in rows]})
+    told = collocations._heavy(30)(table).to_pydict()
+    assert {p: np.cumsum(collocations.unpacked(c)).tolist() for p, c in zip(told["part"], told["cells"], strict=True)} == {3: [5, 7], 4: [5, 7]}
+
+
+def test_a_part_that_changed_between_the_passes_is_told():
+    texts = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["a b"]})]
+    own = np.sort(next(collocations._phrases(texts))[0].hashes)
+    assert sorted(collocations._candidates(texts, own, 64)["en"][0]) == [b"a", b"a b", b"b"]
+    with pytest.raises(RuntimeError, match="same order"):
+        collocations._candidates(texts, np.sort(np.append(own, np.uint64(1))), 64)
+
+
 def test_collocations_of_a_long_text_and_of_none(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string"), Workspace(spark)).count() == 0
     text = " ".join(f"w{i * i % 977}" + "." * (i % 5 == 0) for i in range(120_000))
